@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, map_batches, pieces, release, saved, text_bytes
+from .common import documents, drop_saved, id_and_text, map_batches, pieces, release, saved, text_bytes
 from .counting import hashed_counts
 from .graphs import components
 from .hashing import U, set_id, shingles, word_hashes, words
@@ -129,15 +129,25 @@ def link_sets(table: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     matrix = saved(rows.join(shared, "token").select("token", "set_id", "n", "low").distinct(), "matrix")
     release(spark)
 
-    one = sets.groupBy("set_id").agg(F.min("doc_id").alias("one"))
-    wanted = matrix.select("set_id").distinct().join(one, "set_id")
-    whole = full_sets(docs, wanted, size)
-    release(spark)
+    one = sets.groupBy("set_id").agg(F.min("doc_id").alias("one"), F.first("n").alias("n"))
 
+    def decided(pairs: DataFrame) -> DataFrame:
+        """The links among the pairs; only the texts of their sets are read again."""
+        pairs = saved(pairs.distinct(), "pairs")
+        ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+        whole = full_sets(docs, saved(ends.join(one, "set_id").select("set_id", "one"), "wanted"), size)
+        release(spark)
+        links = saved(linked(pairs, whole, percent), "links")
+        drop_saved(whole)
+        release(spark)
+        return links
+
+    # First each set with the smallest set of its tokens, where that alone is enough; what this misses is found below.
     best = Window.partitionBy("set_id").orderBy(F.desc("shared"), "low")
-    stars = matrix.where("set_id != low").groupBy("set_id", "low").agg(F.count("*").alias("shared"))
-    pairs = stars.withColumn("k", F.row_number().over(best)).where("k <= 2").select(F.col("low").alias("a"), F.col("set_id").alias("b"))
-    links = saved(linked(pairs, whole, percent), "links-1")
+    low_n = one.select(F.col("set_id").alias("low"), F.col("n").alias("low_n"))
+    stars = matrix.where("set_id != low").groupBy("set_id", "low", "n").agg(F.count("*").alias("shared")).join(low_n, "low")
+    stars = stars.where(enough(F.col("shared"), F.col("n"), F.col("low_n"), F.col("low_n"), percent))
+    links = decided(stars.withColumn("k", F.row_number().over(best)).where("k <= 2").select(F.col("low").alias("a"), F.col("set_id").alias("b")))
     groups = components(links, "a", "b")
 
     for opened in (False, True):
@@ -170,8 +180,7 @@ def link_sets(table: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 .where(enough(F.col("shared"), F.col("n"), F.col("n_b"), F.col("n_b"), percent))
                 .select("a", "b")
             )
-        more = saved(linked(pairs.distinct(), whole, percent), "links-more")
-        release(spark)
+        more = decided(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
             groups = components(links, "a", "b")
