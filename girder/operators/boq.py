@@ -11,3 +11,56 @@ def section_totals(lines: DataFrame, section: str = "section", total: str = "tot
     sums = lines.groupBy(section).agg(F.count("*").alias("n_lines"), F.sum(total).alias("section_total"))
     everything = F.sum("section_total").over(Window.partitionBy())  # one row per section
     return sums.withColumn("share_pct", F.try_divide(F.col("section_total") * 100, everything))
+
+
+def row_filter(lines: DataFrame, description: str, quantity: str) -> DataFrame:
+    """Lines with a description and a quantity other than zero."""
+    return lines.where((F.trim(F.coalesce(F.col(description), F.lit(""))) != "") & (F.coalesce(F.col(quantity), F.lit(0)) != 0))
+
+
+def work_key(description: str) -> Column:
+    """Description in lower case with runs of other characters than letters and digits as one blank."""
+    return F.trim(F.regexp_replace(F.lower(F.col(description)), "[^a-z0-9]+", " "))
+
+
+def merge_lines(lines: DataFrame, description: str, quantity: str, total: str, order: list[str]) -> DataFrame:
+    """One line for each work key: quantities and totals summed, the first line's unit cost kept."""
+    first = F.min_by("unit_cost", F.struct(*order))
+    return lines.groupBy(work_key(description).alias("work")).agg(
+        F.count("*").alias("n_lines"), F.sum(quantity).alias("quantity"), F.sum(total).alias("total_cost"), first.alias("unit_cost")
+    )
+
+
+def unit_rates(lines: DataFrame, by: list[str], rate: str, least: int = 2) -> DataFrame:
+    """n, median, quartiles, lowest and highest rate of each group with ``least`` rates or more."""
+    stats = [F.percentile(rate, F.lit(p)).alias(name) for p, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]
+    return lines.groupBy(*by).agg(F.count(rate).alias("n"), *stats, F.min(rate).alias("low"), F.max(rate).alias("high")).where(F.col("n") >= least)
+
+
+def tiered_price(lines: DataFrame, exact: DataFrame, by_category: DataFrame, by_section: DataFrame) -> DataFrame:
+    """Rate of each line: its section and category's, else its category's, else its section's, else none; and which."""
+    priced = (
+        lines.join(exact.withColumnRenamed("rate", "rate_1"), ["section", "category"], "left")
+        .join(by_category.withColumnRenamed("rate", "rate_2"), "category", "left")
+        .join(by_section.withColumnRenamed("rate", "rate_3"), "section", "left")
+    )
+    source = F.when(F.col("rate_1").isNotNull(), "exact").when(F.col("rate_2").isNotNull(), "category").when(F.col("rate_3").isNotNull(), "section").otherwise("no rate")
+    return priced.withColumn("rate", F.coalesce("rate_1", "rate_2", "rate_3")).withColumn("rate_source", source).drop("rate_1", "rate_2", "rate_3")
+
+
+def line_flags(lines: DataFrame, quantity: str, rate: str, total: str, share: float = 0.001, absolute: float = 0.5) -> DataFrame:
+    """``lines`` with ``flag``: 'zero' for suspicious zeros, 'mismatch' where quantity times rate is not the total, else 'ok'."""
+    product = F.col(quantity) * F.col(rate)
+    off = F.abs(product - F.col(total))
+    wrong = (off > absolute) & (F.try_divide(off, F.greatest(F.abs(product), F.abs(F.col(total)))) > share)
+    zero = (F.col(quantity) == 0) | (F.col(rate) == 0)
+    return lines.withColumn("flag", F.when(zero, "zero").when(wrong, "mismatch").otherwise("ok"))
+
+
+def variance(actual: Column, expected: Column) -> Column:
+    """Difference in percent of what was expected; null where that is 0."""
+    return F.try_divide((actual - expected) * 100, expected)
+
+
+def severity(percent: Column, threshold: float) -> Column:
+    return F.when(F.abs(percent) > 2 * threshold, "high").when(F.abs(percent) > threshold, "medium").otherwise("low")

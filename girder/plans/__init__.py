@@ -1,3 +1,3 @@
 """Operators bound to tables; importing a module registers its queries."""
 
-from . import boq  # noqa: F401
+from . import boq, integrity, texts, windows  # noqa: F401
