@@ -223,7 +223,10 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    # Only where ids repeat does a row need more than its id to be told from others.
+    unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    row = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), row.alias("row"), text.alias("text"))
     spans = repeated_spans(keyed, length).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
