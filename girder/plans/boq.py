@@ -52,11 +52,11 @@ def boq_row_filter(t: Tables) -> DataFrame:
 @query(
     "boq_merge_lines",
     f"""SELECT trim(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g')) AS work, count(*) AS n_lines, sum(quantity::DECIMAL(38,4))::DOUBLE AS quantity,
-    sum(total_cost)::DOUBLE AS total_cost, arg_min(unit_cost, (order_id, line_no)) AS unit_cost FROM {LINES} GROUP BY 1""",
+    sum(total_cost)::DOUBLE AS total_cost, arg_min(unit_cost, (order_id, line_no, item_key, unit_cost)) AS unit_cost FROM {LINES} GROUP BY 1""",
 )
 def boq_merge_lines(t: Tables) -> DataFrame:
     exact = lines(t).withColumn("quantity", F.col("quantity").cast(MONEY))
-    merged = boq.merge_lines(exact, "description", "quantity", "total_cost", ["order_id", "line_no"])
+    merged = boq.merge_lines(exact, "description", "quantity", "total_cost", ["order_id", "line_no", "item_key", "unit_cost"])
     return merged.withColumn("quantity", F.col("quantity").cast("double")).withColumn("total_cost", F.col("total_cost").cast("double"))
 
 
