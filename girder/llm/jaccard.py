@@ -5,8 +5,8 @@ first of each, its prefix. Documents with equal sets are one set from the start.
 prefix token that several sets share and tells which groups of similar sets it occurs in: the union of the
 group's tokens. Groups are at first what linked when sets were compared with the smallest set of their tokens;
 for each set and each other group, the tokens that they share bound the overlap with every member, and only
-groups that the bound leaves are opened: first at a few members that stand for them, then, where still no link
-is found, at all members that the bound leaves. Every pair is decided on the whole sets.
+groups that the bound leaves are opened: first for the likeliest set of each two groups, then, where these
+are still apart, for every set that the bound leaves. Links are decided on the whole sets, block by block.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .hashing import U, set_id, shingles, word_hashes, words
 SIZE, PERCENT = 5, 80
 #: Counters that tell how common a token is; any order of tokens gives the same links.
 COUNTERS = 1 << 20
-#: Members of a group that a set is compared with before the group is opened whole.
-STAND_INS = 4
+#: Bytes of the sets that meet at once, on either side.
+CELL_BYTES = 2 << 20
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -84,25 +84,61 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return saved(found.dropDuplicates(["set_id"]), "sets")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose sets overlap by ``percent`` of their union or more."""
+class Block:
+    """Sets by their tokens, so that a set meets all of them at once."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, sets: list[tuple[int, np.ndarray]]):
+        self.ids = [i for i, _ in sets]
+        self.sizes = np.array([len(t) for _, t in sets])
+        tokens, owner = np.concatenate([t for _, t in sets]), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.owner = owner[order]
+        self.tokens, starts = np.unique(tokens[order], return_index=True)
+        self.starts = np.append(starts, len(tokens))
+
+    def first_link(self, tokens: np.ndarray, percent: int) -> int | None:
+        """The first of the sets that shares ``percent`` of the union or more with ``tokens``."""
+        at = np.searchsorted(self.tokens, tokens)
+        at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == tokens]
+        sizes = self.starts[at + 1] - self.starts[at]
+        held = np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        shared = np.bincount(self.owner[held], minlength=len(self.ids))
+        found = np.flatnonzero(100 * shared >= percent * (len(tokens) + self.sizes - shared))
+        return self.ids[found[0]] if len(found) else None
+
+
+def linked(asks: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each (set_id, n, other) of ``asks``, a link from the set to a member of the group, if there is one.
+
+    ``members`` is (other, set_id, n). The members of a group and the sets that ask for it are cut into blocks of
+    about CELL_BYTES; each two blocks meet in one task, so that a set travels once for each block and not for each pair.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, block = None, [], None
         for batch in batches:
             a, b = [], []
-            for x, y, left, right in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                s, t = np.frombuffer(left, U), np.frombuffer(right, U)
-                both = np.concatenate([s, t])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    a.append(x)
-                    b.append(y)
+            for other, left, right, asking, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != (other, left, right):
+                    cell, held, block = (other, left, right), [], None
+                if not asking:
+                    held.append((node, np.frombuffer(raw, U)))
+                elif held:
+                    block = block or Block(held)
+                    link = block.first_link(np.frombuffer(raw, U), percent)
+                    if link is not None:
+                        a.append(node)
+                        b.append(link)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("left")), "a")
-    whole = left.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("right")), "b").select("a", "b", "left", "right")
-    return map_batches(whole, check, "a long, b long")
+    blocks = lambda df, name: df.groupBy("other").agg(F.ceil(F.sum("n") * 8 / CELL_BYTES).alias(name))
+    shape = blocks(asks, "lefts").join(blocks(members, "rights"), "other")
+    block = lambda of: F.pmod(F.xxhash64("set_id"), F.col(of))
+    each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    left = asks.join(shape, "other").select("other", block("lefts").alias("l"), each("rights").alias("r"), F.lit(True).alias("asking"), "set_id")
+    right = members.join(shape, "other").select("other", each("lefts").alias("l"), block("rights").alias("r"), F.lit(False).alias("asking"), "set_id")
+    rows = left.unionByName(right).join(sets, "set_id").select("other", "l", "r", "asking", "set_id", "tokens")
+    return map_batches(rows.repartition("other", "l", "r").sortWithinPartitions("other", "l", "r", "asking"), meet, "a long, b long")
 
 
 def enough(shared: Column, n: Column, low: Column, high: Column, percent: int) -> Column:
@@ -131,13 +167,13 @@ def link_sets(table: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
     one = sets.groupBy("set_id").agg(F.min("doc_id").alias("one"), F.first("n").alias("n"))
 
-    def decided(pairs: DataFrame) -> DataFrame:
-        """The links among the pairs; only the texts of their sets are read again."""
-        pairs = saved(pairs.distinct(), "pairs")
-        ends = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    def decided(asks: DataFrame, members: DataFrame) -> DataFrame:
+        """The links that are asked for; only the texts of their sets are read again."""
+        asks, members = saved(asks, "asks"), saved(members, "members")
+        ends = asks.select("set_id").unionByName(members.select("set_id")).distinct()
         whole = full_sets(docs, saved(ends.join(one, "set_id").select("set_id", "one"), "wanted"), size)
         release(spark)
-        links = saved(linked(pairs, whole, percent), "links")
+        links = saved(linked(asks, members, whole, percent), "links")
         drop_saved(whole)
         release(spark)
         return links
@@ -147,40 +183,34 @@ def link_sets(table: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     low_n = one.select(F.col("set_id").alias("low"), F.col("n").alias("low_n"))
     stars = matrix.where("set_id != low").groupBy("set_id", "low", "n").agg(F.count("*").alias("shared")).join(low_n, "low")
     stars = stars.where(enough(F.col("shared"), F.col("n"), F.col("low_n"), F.col("low_n"), percent))
-    links = decided(stars.withColumn("k", F.row_number().over(best)).where("k <= 2").select(F.col("low").alias("a"), F.col("set_id").alias("b")))
+    stars = saved(stars.withColumn("k", F.row_number().over(best)).where("k <= 2"), "stars")
+    smallest = stars.select(F.col("low").alias("other"), F.col("low").alias("set_id"), F.col("low_n").alias("n")).distinct()
+    links = decided(stars.select("set_id", "n", F.col("low").alias("other")), smallest)
     groups = components(links, "a", "b")
 
-    for opened in (False, True):
+    for every in (False, True):
         placed = matrix.join(groups, matrix.set_id == groups.node, "left").select("token", "set_id", "n", F.coalesce("root", "set_id").alias("group"))
         mixed = placed.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select("token")
         placed = saved(placed.join(mixed, "token"), "placed")
-        stand_in = F.min_by("set_id", F.xxhash64("set_id", "token"))
-        unions = placed.groupBy("token", F.col("group").alias("other")).agg(stand_in.alias("member"), F.min("n").alias("least"), F.max("n").alias("most"))
+        unions = placed.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
         bound = (
             placed.join(unions, "token")
-            .where("group > other")
-            .groupBy("set_id", "n", "other")
-            .agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"), F.collect_set("member").alias("members"))
+            .where((F.col("group") > F.col("other")) & fits)
+            .groupBy("set_id", "n", "group", "other")
+            .agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
             .where(enough(F.col("shared"), F.col("n"), F.col("least"), F.col("most"), percent))
         )
         bound = saved(bound, "bound")
         if bound.isEmpty():
             return groups
-        if not opened:
-            some = F.slice(F.array_sort("members"), 1, STAND_INS)
-            pairs = bound.select(F.col("set_id").alias("a"), F.explode(some).alias("b"))
-        else:
-            inside = placed.select("token", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("other"))
-            pairs = (
-                placed.select("token", "set_id", "n")
-                .join(bound.select("set_id", "other"), "set_id")
-                .join(inside, ["token", "other"])
-                .groupBy(F.col("set_id").alias("a"), F.col("b"), "n", "n_b")
-                .agg(F.count("*").alias("shared"))
-                .where(enough(F.col("shared"), F.col("n"), F.col("n_b"), F.col("n_b"), percent))
-                .select("a", "b")
-            )
-        more = decided(pairs)
+        if every:
+            asks = bound.select("set_id", "n", "other")
+        else:  # of each two groups the likeliest set, as one link is enough
+            likeliest = F.max_by(F.struct("set_id", "n"), F.struct("shared", "set_id")).alias("ask")
+            asks = bound.groupBy("group", "other").agg(likeliest).select("ask.*", "other")
+        held = placed.select(F.col("group").alias("other"), "set_id", "n").distinct()
+        more = decided(asks, held.join(asks.select("other").distinct(), "other"))
         if not more.isEmpty():
             links = links.unionByName(more)
             groups = components(links, "a", "b")
