@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, drop_saved, id_and_text, map_batches, pieces, release, saved, text_bytes
-from .counting import hashed_counts
+from .counting import hashed_counts, hashed_marks, places
 from .graphs import components
 from .hashing import U, set_id, shingles, word_hashes, words
 
 SIZE, PERCENT = 5, 80
 #: Counters that tell how common a token is; any order of tokens gives the same links.
 COUNTERS = 1 << 20
+#: Hashed marks of the documents whose sets are read again.
+MARKS = 1 << 23
 #: Bytes of the sets that meet at once, on either side.
 CELL_BYTES = 2 << 20
 
@@ -70,18 +72,23 @@ def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_id, tokens) of the wanted (set_id, doc_id), a row for each set."""
+    """(set_id, tokens) of the wanted (set_id, one), a row for each set; ``one`` is a document that has it.
+
+    Hashed marks of the wanted documents keep most others from being shuffled; the join decides.
+    """
+    marks = hashed_marks(wanted.select("one"), MARKS)
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marks).tobytes())  # MARKS bits
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         for batch in batches:
-            rows = {}
-            for s, want in zip(shingle_sets(batch.column(1), size), batch.column(2).to_pylist(), strict=True):
-                if len(s) and set_id(s) == want:
-                    rows[want] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.int64()), pa.array(rows.values(), pa.binary())], names=["set_id", "tokens"])
-
-    found = map_batches(docs.join(wanted, docs.doc_id.eqNullSafe(wanted.one)).select(docs.doc_id, "text", "set_id"), sets, "set_id long, tokens binary")
-    return saved(found.dropDuplicates(["set_id"]), "sets")
+            batch = batch.filter(pa.array(marks[places(batch.column(0), MARKS)]))
+            rows = [(i, set_id(s), s.tobytes()) for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True) if len(s)]
+            ids, keys, raw = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "set_id", "tokens"])
+
+    found = map_batches(docs, sets, "doc_id long, set_id long, tokens binary").join(wanted, "set_id")
+    return saved(found.where(F.col("doc_id").eqNullSafe(F.col("one"))).select("set_id", "tokens").dropDuplicates(["set_id"]), "sets")
 
 
 class Block:
