@@ -46,7 +46,7 @@ def needed(n: int | np.ndarray, percent: int):
 
 
 def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, set_id, prefix) of each row; set_id is null without words."""
+    """(doc_id, n, set_id, last, prefix) of each row; set_id is null without words; last tells where the prefix ends in the order of tokens."""
 
     def all_tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         held = [s >> U(44) for s in shingle_sets(batch.column(1), size)]
@@ -57,18 +57,21 @@ def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ids, prefixes = [], [], []
+            sizes, ids, lasts, prefixes = [], [], [], []
             for s in shingle_sets(batch.column(1), size):
                 n = len(s)
                 sizes.append(n)
                 ids.append(set_id(s) if n else None)
-                order = np.argsort(common[(s >> U(44)).astype(np.int64)], kind="stable")
-                prefixes.append(s[order[: n - needed(n, percent) + 1]].astype(np.int64) if n else np.zeros(0, np.int64))
+                level = common[(s >> U(44)).astype(np.int64)]
+                order = np.argsort(level, kind="stable")[: n - needed(n, percent) + 1]
+                lasts.append((int(level[order[-1]]) << 56) + (int(s[order[-1]]) >> 8) if n else None)
+                prefixes.append(s[order].astype(np.int64) if n else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), tokens], names=["doc_id", "n", "set_id", "prefix"])
+            made = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, ids, lasts)), tokens]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n", "set_id", "last", "prefix"])
 
-    return saved(map_batches(docs, table, "doc_id long, n long, set_id long, prefix array<long>"), "shingles")
+    return saved(map_batches(docs, table, "doc_id long, n long, set_id long, last long, prefix array<long>"), "shingles")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -163,16 +166,38 @@ def enough(shared: Column, n: Column, low: Column, high: Column, percent: int) -
     return (lower <= upper) & (shared >= F.least(gap(lower), gap(upper)) - 1)
 
 
+def with_own(matrix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``matrix`` with n and last of its sets and ``own``: how many tokens of a set's prefix the matrix has not."""
+    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    known = matrix.groupBy("set_id").agg(F.count("*").alias("rows")).join(sets, "set_id")
+    return matrix.join(known.select("set_id", "n", "last", (prefix - F.col("rows")).alias("own")), "set_id")
+
+
+def near(percent: int) -> Column:
+    """Whether a set may link with any set of a part of a group.
+
+    An overlap o of sets of n and m tokens links if (100 + percent) * o >= percent * (n + m). Of two sets, that
+    whose prefix ends first has its own tokens alone: were one in the other set, it would be in its prefix. So o
+    is at most the size of that set less its own tokens.
+    """
+    p, both, n, own = F.lit(percent), F.lit(100 + percent), F.col("n"), F.col("own")
+    ends_first = (F.col("last") <= F.col("last_end")) & (p * (n + F.col("least")) <= both * (n - own))
+    ends_later = (F.col("last") >= F.col("first_end")) & (p * n + both * F.col("lacks") <= 100 * F.col("most"))
+    return (p * F.col("least") <= 100 * n) & (p * n <= 100 * F.col("most")) & (ends_first | ends_later)
+
+
 def link_sets(table: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of the sets that have links, over all sets of ``table``."""
     spark = docs.sparkSession
     sets = table.where("n > 0")
-    rows = sets.select("set_id", "n", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high")
-    matrix = saved(rows.join(shared, "token").select("token", "set_id", "n", "low").distinct(), "matrix")
+    one = saved(sets.groupBy("set_id").agg(F.min("doc_id").alias("one"), F.first("n").alias("n"), F.first("last").alias("last")), "one")
+    known = one.select("set_id", "n", "last")
+    rows = sets.select("set_id", F.explode("prefix").alias("token"))
+    shared = saved(rows.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("token"), "shared")
+    release(spark)
+    matrix = saved(rows.join(shared, "token").select("token", "set_id").distinct(), "matrix")
+    drop_saved(shared)
     release(spark)
-
-    one = sets.groupBy("set_id").agg(F.min("doc_id").alias("one"), F.first("n").alias("n"))
 
     def decided(asks: DataFrame, members: DataFrame) -> DataFrame:
         """The links that are asked for; only the texts of their sets are read again."""
@@ -185,26 +210,34 @@ def link_sets(table: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
         release(spark)
         return links
 
-    # First each set with the smallest set of its tokens, where that alone is enough; what this misses is found below.
-    best = Window.partitionBy("set_id").orderBy(F.desc("shared"), "low")
-    low_n = one.select(F.col("set_id").alias("low"), F.col("n").alias("low_n"))
-    stars = matrix.where("set_id != low").groupBy("set_id", "low", "n").agg(F.count("*").alias("shared")).join(low_n, "low")
-    stars = stars.where(enough(F.col("shared"), F.col("n"), F.col("low_n"), F.col("low_n"), percent))
+    # First each set with the most central set of its tokens, the one with the smallest share of own tokens, where that
+    # alone is enough; what this misses is found below.
+    owned = saved(with_own(matrix, known, percent), "owned")
+    central = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "set_id", "n", "own", "last")).alias("c")
+    of_centre = {"set_id": "other", "n": "least", "own": "lacks", "last": "first_end"}
+    centres = owned.groupBy("token").agg(central).select("token", *(F.col(f"c.{a}").alias(b) for a, b in of_centre.items()))
+    centres = centres.select("*", F.col("least").alias("most"), F.col("first_end").alias("last_end"))
+    met = owned.join(centres, "token").where((F.col("set_id") != F.col("other")) & near(percent))
+    stars = met.groupBy("set_id", "n", "other", "most").agg(F.count("*").alias("shared"))
+    stars = stars.where(enough(F.col("shared"), F.col("n"), F.col("most"), F.col("most"), percent))
+    best = Window.partitionBy("set_id").orderBy(F.desc("shared"), "other")
     stars = saved(stars.withColumn("k", F.row_number().over(best)).where("k <= 2"), "stars")
-    smallest = stars.select(F.col("low").alias("other"), F.col("low").alias("set_id"), F.col("low_n").alias("n")).distinct()
-    links = decided(stars.select("set_id", "n", F.col("low").alias("other")), smallest)
+    members = stars.select("other", F.col("other").alias("set_id"), F.col("most").alias("n")).distinct()
+    links = decided(stars.select("set_id", "n", "other"), members)
     groups = components(links, "a", "b")
 
     for every in (False, True):
-        placed = matrix.join(groups, matrix.set_id == groups.node, "left").select("token", "set_id", "n", F.coalesce("root", "set_id").alias("group"))
+        placed = matrix.join(groups, matrix.set_id == groups.node, "left").select("token", "set_id", F.coalesce("root", "set_id").alias("group"))
         mixed = placed.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select("token")
-        placed = saved(placed.join(mixed, "token"), "placed")
-        unions = placed.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
+        placed = saved(with_own(placed.join(mixed, "token"), known, percent), "placed")  # own: in no other group
+        # A group's row is parted by the share of own tokens, so that the bounds of each part are close.
+        part = F.floor(F.col("own") * 20 / F.col("n")).alias("part")
+        ends = [F.min("own").alias("lacks"), F.min("last").alias("first_end"), F.max("last").alias("last_end")]
+        unions = placed.groupBy("token", F.col("group").alias("other"), part).agg(F.min("n").alias("least"), F.max("n").alias("most"), *ends)
         bound = (
             placed.join(unions, "token")
-            .where((F.col("group") > F.col("other")) & fits)
-            .groupBy("set_id", "n", "group", "other")
+            .where((F.col("group") > F.col("other")) & near(percent))
+            .groupBy("set_id", "n", "group", "other", "part")
             .agg(F.count("*").alias("shared"), F.min("least").alias("least"), F.max("most").alias("most"))
             .where(enough(F.col("shared"), F.col("n"), F.col("least"), F.col("most"), percent))
         )
@@ -212,7 +245,7 @@ def link_sets(table: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
         if bound.isEmpty():
             return groups
         if every:
-            asks = bound.select("set_id", "n", "other")
+            asks = bound.select("set_id", "n", "other").distinct()
         else:  # of each two groups the likeliest set, as one link is enough
             likeliest = F.max_by(F.struct("set_id", "n"), F.struct("shared", "set_id")).alias("ask")
             asks = bound.groupBy("group", "other").agg(likeliest).select("ask.*", "other")
