@@ -75,11 +75,12 @@ def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set_id, tokens) of the wanted (set_id, one), a row for each set; ``one`` is a document that has it.
+    """(one, set_id, tokens) of at least the wanted documents; ``one`` is the document that has the set.
 
-    Hashed marks of the wanted documents keep most others from being shuffled; the join decides.
+    Hashed marks of the wanted documents leave out most others; a join on both columns leaves out the rest. A set
+    has several rows where rows repeat or ids are null.
     """
-    marks = hashed_marks(wanted.select("one"), MARKS)
+    marks = hashed_marks(wanted, MARKS)
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marks).tobytes())  # MARKS bits
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +89,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             batch = batch.filter(pa.array(marks[places(batch.column(0), MARKS)]))
             rows = [(i, set_id(s), s.tobytes()) for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True) if len(s)]
             ids, keys, raw = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "set_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(raw, pa.binary())], names=["one", "set_id", "tokens"])
 
-    found = map_batches(docs, sets, "doc_id long, set_id long, tokens binary").join(wanted, "set_id")
-    return saved(found.where(F.col("doc_id").eqNullSafe(F.col("one"))).select("set_id", "tokens").dropDuplicates(["set_id"]), "sets")
+    return saved(map_batches(docs, sets, "one long, set_id long, tokens binary"), "sets")
 
 
 class Block:
@@ -118,19 +118,22 @@ class Block:
 
 
 def linked(asks: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each (set_id, n, other) of ``asks``, a link from the set to a member of the group, if there is one.
+    """(a, b): for each (set_id, one, n, other) of ``asks``, a link from the set to a member of the group, if there is one.
 
-    ``members`` is (other, set_id, n). The members of a group and the sets that ask for it are cut into blocks of
+    ``members`` is (other, set_id, one, n). The members of a group and the sets that ask for it are cut into blocks of
     about CELL_BYTES; each two blocks meet in one task, so that a set travels once for each block and not for each pair.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, block = None, [], None
+        cell, held, block, last = None, [], None, None
         for batch in batches:
             a, b = [], []
             for other, left, right, asking, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if cell != (other, left, right):
-                    cell, held, block = (other, left, right), [], None
+                    cell, held, block, last = (other, left, right), [], None, None
+                if last == (asking, node):  # the same set from another row
+                    continue
+                last = (asking, node)
                 if not asking:
                     held.append((node, np.frombuffer(raw, U)))
                 elif held:
@@ -145,10 +148,12 @@ def linked(asks: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -
     shape = blocks(asks, "lefts").join(blocks(members, "rights"), "other")
     block = lambda of: F.pmod(F.xxhash64("set_id"), F.col(of))
     each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
-    left = asks.join(shape, "other").select("other", block("lefts").alias("l"), each("rights").alias("r"), F.lit(True).alias("asking"), "set_id")
-    right = members.join(shape, "other").select("other", each("lefts").alias("l"), block("rights").alias("r"), F.lit(False).alias("asking"), "set_id")
-    rows = left.unionByName(right).join(sets, "set_id").select("other", "l", "r", "asking", "set_id", "tokens")
-    return map_batches(rows.repartition("other", "l", "r").sortWithinPartitions("other", "l", "r", "asking"), meet, "a long, b long")
+    left = asks.join(shape, "other").select("other", block("lefts").alias("l"), each("rights").alias("r"), F.lit(True).alias("asking"), "set_id", "one")
+    right = members.join(shape, "other").select("other", each("lefts").alias("l"), block("rights").alias("r"), F.lit(False).alias("asking"), "set_id", "one")
+    sets = sets.withColumnsRenamed({"set_id": "id", "one": "of"})
+    rows = left.unionByName(right).join(sets, (F.col("set_id") == F.col("id")) & F.col("one").eqNullSafe(F.col("of")))
+    rows = rows.select("other", "l", "r", "asking", "set_id", "tokens").repartition("other", "l", "r")
+    return map_batches(rows.sortWithinPartitions("other", "l", "r", "asking", "set_id"), meet, "a long, b long")
 
 
 def enough(shared: Column, n: Column, low: Column, high: Column, percent: int) -> Column:
@@ -201,9 +206,9 @@ def link_sets(table: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
     def decided(asks: DataFrame, members: DataFrame) -> DataFrame:
         """The links that are asked for; only the texts of their sets are read again."""
-        asks, members = saved(asks, "asks"), saved(members, "members")
-        ends = asks.select("set_id").unionByName(members.select("set_id")).distinct()
-        whole = full_sets(docs, saved(ends.join(one, "set_id").select("set_id", "one"), "wanted"), size)
+        least = one.select("set_id", "one")
+        asks, members = saved(asks.join(least, "set_id"), "asks"), saved(members.join(least, "set_id"), "members")
+        whole = full_sets(docs, asks.select("one").unionByName(members.select("one")).distinct(), size)
         release(spark)
         links = saved(linked(asks, members, whole, percent), "links")
         drop_saved(whole)
