@@ -1,25 +1,38 @@
 """Personal data: fixed patterns, and what bootstrapped context patterns find beyond them.
 
 The fixed patterns give seed entities. The words before an entity, or what is written right before it in the same
-word, are lexical patterns; any word with digits that follows such a pattern is an instance of it. Patterns and
-instances form a graph that is scored in turns: a pattern by the confidence of its instances, an instance by the
-patterns that it follows. Patterns of high confidence then mark the instances that no fixed pattern knows.
+word, are lexical patterns; whatever follows such a pattern is an instance of it: a word with or without digits, a
+run of digit groups or an address spelled with "at" and "dot". All of them count in the size of a pattern, ordinary
+words too. Patterns and instances form a graph that is scored in turns: a pattern by the confidence of its
+instances, an instance by the patterns that it follows. Patterns of high confidence then mark the instances of
+SHORTEST characters or more that no fixed pattern knows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_batches, saved
+from .counting import hashed_marks, places
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_INSTANCES, MIN_SEEDS, CONFIDENT = 3, 8, 3, 0.6
+#: A pattern takes part if of all that follows it at least this share is found by fixed patterns.
+LEAST_SHARE = 0.1
+#: Characters of the shortest instance that is marked, of words in a pattern (from their ends), and of what is glued to an instance.
+SHORTEST, WORD_CHARS, GLUED_CHARS = 6, 40, 64
+#: Hashed marks of the patterns that are followed.
+MARKS = 1 << 23
 
 # Equal to the contract's patterns, but linear in the text: an e-mail is sought from its @, and digits at the start of their run.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -29,7 +42,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = re.compile(r"[0-9][^\x20\x09-\x0d]*")
-BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
+
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+#: Where an instance can start inside a word.
+SPLIT = re.compile(r"[=:\"'(<\[](?=[^\x20\x09-\x0d])")
+#: Digit groups joined by blank, hyphen, dot or brackets, as in accounts (which start with letters), cards and phones.
+RUN = re.compile(r"[+(\[]{0,2}[A-Za-z]{0,2}[0-9]++(?![A-Za-z])(?:[\x20.()\[\]-]{1,3}(?:[0-9]++(?![A-Za-z])|[A-Z]{4}(?=[\x20-][0-9])))+")
+SPELLED = re.compile(r"[\w.%+-]+\x20?[\[({<]?\x20?at\x20?[\])}>]?\x20?[\w-]+(?:\x20?[\[({<]?\x20?dot\x20?[\])}>]?\x20?[\w-]+)+", re.IGNORECASE)
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -70,83 +89,181 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """Lexical patterns of what stands before ``start``: the two words before it, and what is glued to it."""
-    before = text[max(0, start - 80) : start]
-    glued = before[len(before.rstrip()) :] == "" and re.split(r"[\x20\x09-\x0d]", before)[-1].lower() or ""
-    left = before[: len(before) - len(glued)].lower().split()[-2:]
-    found = []
-    if any(c.isalpha() for c in glued):
-        found.append("in " + glued)
-    if left:
-        found.append(f"after {' '.join(left)} {glued}")
-    return found
-
-
-def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Words with two digits or more and six characters or more that no fixed pattern touches."""
-    taken = sorted((s, e) for _, s, e in base)
-    k = 0
-    for m in DIGITS.finditer(text):
-        start = m.start()
-        while start and m.start() - start < 64 and text[start - 1] not in BLANK and text[start - 1] not in "=:\"'(<[":
-            start -= 1
-        end = m.end()
-        while end > start and text[end - 1] in ".,;:!?\"')>]":
-            end -= 1
-        while k < len(taken) and taken[k][1] <= start:
-            k += 1
-        if end - start >= 6 and not (k < len(taken) and taken[k][0] < end) and sum(c.isdigit() for c in text[start:end]) >= 2:
-            yield start, end
-
-
-ENTRY = "doc_id long, row long, base array<struct<kind:int,start:int,stop:int>>, seen array<struct<kind:int,start:int,stop:int,pattern:string,instance:string>>"
-
-
-def look(docs: DataFrame) -> DataFrame:
-    """Base spans of each text, and the patterns and instances in it (kind -1: not an entity by fixed patterns)."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    keyed = keyed.select("doc_id", F.xxhash64("text").alias("row"), "text")
+class Words:
+    """The words of a text, parted at blanks."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends = text, [], []
+        for m in WORD.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def word(self, i: int) -> str:
+        return self.text[self.starts[i] : self.ends[i]].lower()[-WORD_CHARS:] if i >= 0 else ""
+
+    def contexts(self, start: int) -> list[tuple[bool, str, int]]:
+        """(after, pattern, mark) of what stands before ``start``: what is glued to it, and with that the two words before it."""
+        i = bisect.bisect_right(self.starts, start) - 1
+        if i < 0 or start - self.starts[i] > GLUED_CHARS:
+            return []
+        glued = self.text[self.starts[i] : start].lower()
+        found = []
+        if any(c.isalpha() for c in glued):
+            found.append((False, "in " + glued, mark_of("in " + glued)))
+        if i:
+            left = f"{self.word(i - 2)} {self.word(i - 1)}"
+            found.append((True, f"after {left} {glued}", mark_of(left)))
+        return found
+
+    def instance(self, start: int, taken: list[tuple[int, int]]) -> int | None:
+        """Where the instance at ``start`` ends: a spelled address, a run of digit groups or a word; none where a fixed pattern has a part of it."""
+        word = self.ends[bisect.bisect_right(self.starts, start) - 1]
+        while word > start and self.text[word - 1] in ".,;:!?\"')>]":
+            word -= 1
+        spelled, run = SPELLED.match(self.text, start), RUN.match(self.text, start)
+        if run and sum(c.isdigit() for c in run.group()) < SHORTEST:
+            run = None
+        for end in (spelled and spelled.end(), run and max(run.end(), word), word):
+            if end and end > start:
+                at = bisect.bisect_left(taken, (end, 0))
+                if not at or taken[at - 1][1] <= start:
+                    return end
+        return None
+
+
+def mark_of(text: str) -> int:
+    return zlib.crc32(text.encode())
+
+
+def followers(text: str, marks: np.ndarray) -> Iterator[tuple[int, int, bool, str]]:
+    """(start, stop, after, pattern) of whatever follows a marked pattern and is not found by a fixed one, ordinary words too."""
+    words = WORD.findall(text.lower())
+    if not words:
+        return
+    words = ["", *(w[-WORD_CHARS:] for w in words)]
+    left = np.fromiter((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:-1], strict=False)), np.int64, len(words) - 2)
+    hits = np.flatnonzero(marks[places(pa.array(left), len(marks))]) + 1
+    cuts = [m.end() for m in SPLIT.finditer(text)]
+    if not len(hits) and not cuts:
+        return
+    known = Words(text)
+    starts = sorted({*(known.starts[i] for i in hits.tolist()), *cuts})
+    found = [(start, c) for start in starts for c in known.contexts(start)]
+    if not found:
+        return
+    good = marks[places(pa.array([c[2] for _, c in found], pa.int64()), len(marks))].tolist()
+    if not any(good):
+        return
+    taken: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in base_spans(text)):
+        if taken and s < taken[-1][1]:  # joined, so that ends ascend as starts do
+            s, e = taken[-1][0], max(taken.pop()[1], e)
+        taken.append((s, e))
+    for (start, (after, pattern, _)), ok in zip(found, good, strict=True):
+        if ok and (stop := known.instance(start, taken)) is not None:
+            yield start, stop, after, pattern
+
+
+def hashed(text: str) -> str:
+    return hashlib.blake2b(text.encode(), digest_size=12).hexdigest()
+
+
+SPAN = [("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]
+SEED = [("pattern", pa.string()), ("after", pa.bool_()), ("mark", pa.int64()), ("kind", pa.int32()), ("instance", pa.string())]
+ENTRY = "doc_id long, row long, base array<struct<kind:int,start:int,stop:int>>, seeds array<struct<pattern:string,after:boolean,mark:long,kind:int,instance:string>>"
+
+
+def look(keyed: DataFrame) -> DataFrame:
+    """Base spans of each text, and the patterns before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
-        seen_kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("pattern", pa.string()), ("instance", pa.string())]))
         for batch in batches:
-            bases, seens = [], []
+            bases, seeds = [], []
             for text in batch.column(2).to_pylist():
                 base = base_spans(text)
-                found = [*base, *((-1, s, e) for s, e in candidates(text, base))]
+                words = Words(text) if base else None
                 bases.append([{"kind": k, "start": s, "stop": e} for k, s, e in base])
-                seens.append(
-                    [
-                        {"kind": k, "start": s, "stop": e, "pattern": p, "instance": hashlib.blake2b(text[s:e].encode(), digest_size=12).hexdigest()}
-                        for k, s, e in found
-                        for p in contexts(text, s)
-                    ]
-                )
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, kinds), pa.array(seens, seen_kind)], names=["doc_id", "row", "base", "seen"])
+                seeds.append([{"pattern": p, "after": after, "mark": mark, "kind": k, "instance": hashed(text[s:e])} for k, s, e in base for after, p, mark in words.contexts(s)])
+            columns = [batch.column(0), batch.column(1), pa.array(bases, pa.list_(pa.struct(SPAN))), pa.array(seeds, pa.list_(pa.struct(SEED)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "base", "seeds"])
 
     return saved(map_batches(keyed, run, ENTRY), "entities")
 
 
-def confident_patterns(seen: DataFrame) -> DataFrame:
-    """(pattern, kind) whose instances are mostly entities of that kind, or are marked by other such patterns."""
-    edges = saved(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
-    # A pattern that leads to no seed can never gain confidence for a kind, so only the others take part.
-    seeds = edges.groupBy("pattern").agg(
-        F.count("*").alias("n"), F.count_if(F.col("kind") >= 0).alias("n_seeds"), F.mode(F.when(F.col("kind") >= 0, F.col("kind")), True).alias("as_kind")
-    )
-    able = seeds.where((F.col("n_seeds") >= MIN_SEEDS) & (F.col("n") >= MIN_INSTANCES))
-    graph = saved(edges.join(able, "pattern"), "graph")
+def marked(patterns: DataFrame):
+    """Hashed marks of patterns, of fixed size, for all tasks."""
+    return patterns.sparkSession.sparkContext.broadcast(np.packbits(hashed_marks(patterns.select("mark"), MARKS)).tobytes())
+
+
+def unpacked(sent) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+
+
+def able_patterns(seeds: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(pattern, after, mark, as_kind) of the patterns with seeds enough, of all that follows them a share of LEAST_SHARE or more.
+
+    All that follows a pattern is counted, so the rows that the others would have cost are never made.
+    """
+    told = seeds.groupBy("pattern", "after", "mark").agg(F.count("*").alias("times"), F.countDistinct("instance").alias("n_seeds"), F.mode("kind", True).alias("as_kind"))
+    told = saved(told.where(F.col("n_seeds") >= MIN_SEEDS), "seeded")
+    if told.isEmpty():
+        return told
+    sent = marked(told)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, times = unpacked(sent), Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(times.keys(), pa.string()), pa.array(times.values(), pa.int64())], names=["pattern", "others"])
+        for batch in batches:
+            for text in batch.column(2).to_pylist():
+                times.update(pattern for *_, pattern in followers(text, marks))
+            if len(times) > 1 << 16:
+                yield rows()
+                times.clear()
+        yield rows()
+
+    others = map_batches(keyed, count, "pattern string, others long").groupBy("pattern").agg(F.sum("others").alias("others"))
+    share = F.col("times") / (F.col("times") + F.coalesce("others", F.lit(0)))
+    return saved(told.join(others, "pattern", "left").where(share >= LEAST_SHARE).select("pattern", "after", "mark", "as_kind"), "able")
+
+
+def follow(able: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(doc_id, row, start, stop, pattern, instance) of whatever follows the patterns beyond the fixed spans."""
+    sent = marked(able)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = unpacked(sent)
+        for batch in batches:
+            out = [
+                (doc_id, row, start, stop, pattern, hashed(text[start:stop]))
+                for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for start, stop, _, pattern in followers(text, marks)
+            ]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names="doc_id row start stop pattern instance".split())
+
+    found = map_batches(keyed, run, "doc_id long, row long, start int, stop int, pattern string, instance string")
+    return saved(found.join(able.select("pattern"), "pattern", "left_semi"), "followers")
+
+
+def confident_patterns(able: DataFrame, seeds: DataFrame, found: DataFrame) -> DataFrame:
+    """(pattern, kind) whose instances are mostly entities of that kind, or are marked by other such patterns.
+
+    An instance is believed for the sake of other patterns of the same form only: what a pattern says of its own
+    instances, or another one at the same place, tells nothing new.
+    """
+    rows = seeds.select("pattern", "instance", "kind").unionByName(found.select("pattern", "instance", F.lit(-1).alias("kind")))
+    edges = saved(rows.join(able.select("pattern"), "pattern", "left_semi").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_INSTANCES)
+    graph = saved(edges.join(sizes, "pattern").join(able.select("pattern", "after", "as_kind"), "pattern"), "graph")
     belief = F.when(F.col("kind") >= 0, 1.0)
     patterns = graph.groupBy("pattern", "as_kind").agg((F.sum(F.coalesce(belief, F.lit(0.0))) / (F.max("n") + 1)).alias("confidence"))
     for _ in range(ROUNDS):
-        told = graph.join(patterns.select("pattern", "confidence"), "pattern")
-        instances = told.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.99)))))).alias("believed"))
+        told = graph.join(patterns.select("pattern", F.log1p(-F.least(F.col("confidence"), F.lit(0.99))).alias("doubt")), "pattern")
+        instances = told.groupBy("instance", "after").agg(F.sum("doubt").alias("doubts"))
+        others = F.greatest(1 - F.exp(F.col("doubts") - F.col("doubt")), F.lit(0.0))
         patterns = saved(
-            graph.join(instances, "instance")
-            .groupBy("pattern", "as_kind")
-            .agg((F.sum(F.coalesce(belief, F.col("believed"))) / (F.max("n") + 1)).alias("confidence")),
+            told.join(instances, ["instance", "after"]).groupBy("pattern", "as_kind").agg((F.sum(F.coalesce(belief, others)) / (F.max("n") + 1)).alias("confidence")),
             "patterns",
         )
     return patterns.where(F.col("confidence") >= CONFIDENT).select("pattern", F.col("as_kind").alias("told"))
@@ -154,12 +271,18 @@ def confident_patterns(seen: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, row, base, spans) of each row: fixed spans, and these with what the patterns add."""
-    table = look(docs)
-    seen = table.select("doc_id", "row", F.explode("seen").alias("s")).select("doc_id", "row", "s.*")
-    marked = seen.where("kind < 0").join(confident_patterns(seen), "pattern")
-    added = marked.groupBy("doc_id", "row").agg(F.collect_set(F.struct(F.col("told").alias("kind"), "start", "stop")).alias("more"))
-    both = table.alias("t").join(added.alias("a"), (F.col("t.row") == F.col("a.row")) & F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")), "left")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    keyed = keyed.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    table = look(keyed)
+    seeds = table.select(F.explode("seeds").alias("s")).select("s.*")
     fixed = F.array_sort("base")
+    able = able_patterns(seeds, keyed)
+    if able.isEmpty():
+        return table.select("doc_id", "row", fixed.alias("base"), fixed.alias("spans"))
+    found = follow(able, keyed)
+    long = found.where(F.col("stop") - F.col("start") >= SHORTEST).join(confident_patterns(able, seeds, found), "pattern")
+    added = long.groupBy("doc_id", "row").agg(F.collect_set(F.struct(F.col("told").alias("kind"), "start", "stop")).alias("more"))
+    both = table.alias("t").join(added.alias("a"), (F.col("t.row") == F.col("a.row")) & F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,stop:int>>"))))
     return both.select("t.doc_id", "t.row", fixed.alias("base"), spans.alias("spans"))
 

@@ -171,6 +171,31 @@ def test_patterns_discover_and_redact(spark, nothing):
     assert out[203].text == "room 31234567 is fine" and private.find_private(nothing).count() == 0
 
 
+def test_patterns_discover_words_and_groups(spark):
+    """Digit-free and spelled addresses, numbers in groups; ordinary words count in a pattern, so a common context marks none."""
+    rows = [f"filler words mail to: user{i}@host{i}.example.org thanks" for i in range(40)]
+    rows += [f"filler words call me +1 (555) 123-{4000 + i} thanks" for i in range(40)]
+    rows += [f"it went to the 10.1.2.{i} today" for i in range(20)] + [f"it went to the {'abcdefghij'[i % 10] * (6 + i // 10)} today" for i in range(60)]
+    rows += ["it went to the X123456 today"]
+    hidden = {
+        "mail to: jane[at]mail.example": "jane[at]mail.example",
+        "mail to: bob at mail dot com": "bob at mail dot com",
+        "call me (743) 555-3824": "(743) 555-3824",
+        "call me DE89 3704 0044 0532 0130 00": "DE89 3704 0044 0532 0130 00",
+        "call me 4111 1111 1111 1112": "4111 1111 1111 1112",
+    }
+    first = len(rows)
+    rows += [f"other words {text} thanks" for text in hidden]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in private.find_private(docs).collect()}
+    for i, (text, want) in enumerate(hidden.items(), first):
+        spans = [s.split(":")[1:] for s in got[i].spans.split(",") if s]
+        assert [rows[i][int(s) : int(e)] for s, e in spans] == [want], text
+    assert not any(got[i].n_added for i in range(first))
+    out = {r.doc_id: r.text for r in private.redact(docs).collect()}
+    assert [out[i] for i in range(first, first + 5)] == ["other words mail to: [EMAIL] thanks"] * 2 + ["other words call me [PHONE] thanks"] * 3 and out[first - 1] == rows[first - 1]
+
+
 def test_shards_keep_and_find_ids(spark, docs, rows, nothing):
     path = vocabulary("byte_bpe_50k.json")
     whole, folder = encoder(path).whole, new_dir(spark, "sst-test")
