@@ -228,6 +228,29 @@ def test_fingerprints(docs, rows, nothing):
     assert sum(r.near_edited for r in got) > 5 * sum(r.near_next for r in got if r.near_next < 1)
 
 
+def test_likeness_is_of_all_anchors(spark):
+    import random
+
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    passage = say(60)
+    texts = [f"{say(9000)} {passage} {say(9000)}", f"{say(3000)} {passage} {say(12000)}", say(50)]
+
+    def all_anchors(text):
+        raw = fingerprints.np.frombuffer(text.encode(), fingerprints.np.uint8)
+        return {int(h) for h in fingerprints.window_hashes(raw, fingerprints.K)[fingerprints.anchors(raw)] >> fingerprints.U(32)}
+
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    first, second = all_anchors(texts[0]), all_anchors(texts[1])
+    in_passage = all_anchors(passage)
+    assert in_passage <= first & second  # the one before, in descending order of ids, is document 1
+    assert len(in_passage) <= round(got[1].near_next * len(first | second)) <= len(first & second)
+    edited = all_anchors(fingerprints.edit(texts[1], texts[0]))
+    assert abs(got[1].near_edited - len(second & edited) / len(second | edited)) < 1e-3
+    assert len(got[1].fingerprint.split(",")) > len(second) / 10
+    assert len(got[2].fingerprint.split(",")) == len(all_anchors(texts[2])) < fingerprints.SHORT
+
+
 def test_quality_keeps_clean_and_drops_junk(spark, nothing):
     import random
 
