@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.llm.common import documents, saved
-from girder.llm.jaccard import join_components
+from girder.llm.common import documents, id_and_text, saved
+from girder.llm.jaccard import grouped
 from girder.llm.mixing import mix_documents
 from girder.llm.packing import pack_documents
 from girder.llm.private import redact
@@ -20,10 +20,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a similarity of 0.8: the one with the smallest id."""
-    groups = join_components(docs)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group that five-word shingles link at a similarity of 0.8.
+
+    Rows count, not ids: of a group stays the row with the smallest id, null ids last, then the smallest hash of its
+    text; of several rows with that id and text the least by all columns. Rows without words all stay.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("__row")
+    rows = grouped(id_and_text(docs).select("*", key)).where("group IS NOT NULL")
+    copies = saved(rows.groupBy("group", "doc_id", "__row").agg(F.count("*").alias("times")), "copies")
+    first = copies.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("__row") == F.col("first.__row"))
+    # Rows that go, and rows that stay but are repeated; all others stay as they are.
+    odd = saved(copies.join(first, "group").select(F.col("doc_id").alias("__id"), F.col("__row").alias("__odd"), "times", stays.alias("__stays")).where("NOT __stays OR times > 1").drop("times"), "odd")
+    keyed = docs.select("*", key)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__odd"))
+    single = keyed.join(odd, same, "left_anti").select(*docs.columns)
+    repeated = keyed.join(odd.where("__stays"), same, "left_semi")
+    least = repeated.groupBy("doc_id", "__row").agg(F.min(F.struct(*docs.columns)).alias("least")).select("least.*")
+    return single.unionByName(least)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,7 +46,11 @@ def needed(n: int | np.ndarray, percent: int):
 
 
 def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, set_id, last, prefix) of each row; set_id is null without words; last tells where the prefix ends in the order of tokens."""
+    """(doc_id, n, set_id, last, prefix) of each row, and row where ``docs`` has it.
+
+    set_id is null without words; last tells where the prefix ends in the order of tokens.
+    """
+    more = docs.columns[2:]
 
     def all_tokens(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         held = [s >> U(44) for s in shingle_sets(batch.column(1), size)]
@@ -68,10 +72,10 @@ def shingle_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 prefixes.append(s[order].astype(np.int64) if n else np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            made = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, ids, lasts)), tokens]
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n", "set_id", "last", "prefix"])
+            made = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, ids, lasts)), tokens, *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n", "set_id", "last", "prefix", *more])
 
-    return saved(map_batches(docs, table, "doc_id long, n long, set_id long, last long, prefix array<long>"), "shingles")
+    return saved(map_batches(docs, table, "doc_id long, n long, set_id long, last long, prefix array<long>" + "".join(f", {c} long" for c in more)), "shingles")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -262,6 +266,13 @@ def link_sets(table: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return groups
 
 
+def grouped(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n, group) of each row of (doc_id, text), and row where ``docs`` has it as a third column; group is null without words."""
+    table = shingle_table(docs, size, percent)
+    roots = saved(link_sets(table, docs.select("doc_id", "text"), size, percent), "roots")
+    return table.join(roots, table.set_id == roots.node, "left").select("doc_id", "n", F.coalesce("root", "set_id").alias("group"), *docs.columns[2:])
+
+
 def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row.
 
@@ -271,10 +282,7 @@ def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     ids count as larger than all others; repeated rows each give a row; other columns are ignored; no rows give
     no rows. Shingles are compared by 64-bit hashes.
     """
-    docs = id_and_text(docs)
-    table = shingle_table(docs, size, percent)
-    roots = saved(link_sets(table, docs, size, percent), "roots")
-    placed = table.join(roots, table.set_id == roots.node, "left").select("doc_id", "n", F.coalesce("root", "set_id").alias("group"))
+    placed = grouped(id_and_text(docs), size, percent)
     least = placed.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -65,6 +65,27 @@ def test_jaccard_join_is_exact(docs, rows, nothing):
     assert jaccard.join_components(nothing).count() == 0
 
 
+def test_near_duplicates_keeps_one_row_of_each_group(spark, docs, rows):
+    import corpus_pipeline
+
+    text = "one two three four five six seven eight nine ten"
+    small = [(None, text), (None, text), (None, text), (9, "some other words that stand alone here"), (9, "some other words that stand alone here")]
+    small += [(2, "a b c d e f g h i j"), (5, "a b c d e f g h i j"), (5, "clean text under a known id and no copy"), (None, ""), (None, ""), (7, None)]
+    table = spark.createDataFrame(small, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in corpus_pipeline.near_duplicates(spark, table, "").collect())
+    want = Counter({(None, text): 1, small[3]: 1, small[5]: 1, small[7]: 1, (None, ""): 2, (7, None): 1})
+    assert got == want
+
+    groups = Counter()  # brute force over the common corpus: each text's component, by giving each row an id of its own
+    own = [(i, r[1]) for i, r in enumerate(rows)]
+    least = {i: c for i, _, c in components(own)}
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    for i in order:
+        groups.setdefault(least[i] if (rows[i][1] or "").split() else ("wordless", i), rows[i][0])
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert Counter(kept) == Counter(groups.values())
+
+
 def test_search_is_exact(docs, rows, nothing):
     term = lambda t: Counter(re.findall(r"(?:[a-zA-Z0-9]|[^\x00-\x7f])+", (t or "").translate(LOW)))
     bags = [term(r[1]) for r in rows]
