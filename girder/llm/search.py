@@ -1,11 +1,16 @@
-"""Exact BM25 top-k over sharded inverted indexes with block-max pruning.
-
-Each shard holds an inverted index of some thousand documents. For a query, the postings of its rarer terms are
-added up first. The common terms, whose postings are most of the work, are only bounded at first: a block of
-neighbouring documents has a largest impact for each of them, and the sum of these for the query's terms, as in
-WAND, with what a block's documents already have, is the most that any of them can score. Blocks are opened in
-the order of that bound, and those that can't reach the k-th best score found so far are never opened. Shards
-score with the same global statistics, so their best merge exactly. Queries go to the shards in blocks of bounded size.
+"""Exact BM25 top-k over sharded inverted indexes with block-max WAND pruning.
+
+A shard holds some thousand documents, like ones side by side. A term's postings are cut at blocks of
+neighbouring documents, each with the largest impact in it. With a floor that a score must reach, a query's terms
+are ordered by the most that each can add; those before the pivot can't reach the floor together, so only
+documents with a term from the pivot on are candidates. Blocks whose largest impacts sum up to less than the
+floor are skipped with all their postings, and the terms before the pivot are read only in blocks where
+a candidate can still reach it.
+
+Shards score with the same global statistics, so their best merge exactly. A query's floor is the k-th best score
+that it has so far. It begins in the shards of one partition and then meets as many again in each round, so that a shard
+returns few rows that another one beats, however many shards there are. Queries lie in the shared folder, from
+where the tasks of a round read those that visit them; they don't pass the driver and are not shuffled to each shard.
 """
 
 from __future__ import annotations
@@ -14,25 +19,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, map_batches, pieces, saved, text_bytes
+from .common import documents, id_and_text, map_batches, new_dir, pieces, saved, text_bytes
 from .hashing import U, word_hashes, words
 
 K1, B = 1.2, 0.75
-SHARD_DOCS = 8192
-BLOCK = 16
-#: A term in more than this share of a shard's documents is common.
-COMMON = 1 / 16
-#: Bytes of queries that go to all shards at once.
+#: Documents and postings of a shard, at most (a single document can have more postings).
+SHARD_DOCS, SHARD_POSTINGS = 8192, 4_000_000
+BLOCK = 32
+#: Bytes of queries that a task holds at once.
 QUERY_BYTES = 32 << 20
 #: Letters, digits and all bytes of characters beyond ASCII make terms.
 IS_TERM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
-INDEX = "n_docs long, n_terms long, ids binary, known binary, lengths binary, terms binary, starts binary, docs binary, tf binary"
+ARRAYS = {"ids": "<i8", "known": "?", "lengths": "<i8", "terms": "<u8", "first": "<i8", "block": "<i4", "start": "<i8", "docs": "<i4", "tf": "<i4"}
+INDEX = "node long, n_docs long, n_terms long, " + ", ".join(f"{name} binary" for name in ARRAYS)
 
 
-def term_counts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def term_counts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(terms in ascending order, how often, length) of each text."""
     raw, offsets = text_bytes(column)
     for lo, hi in pieces(offsets):
@@ -45,187 +53,216 @@ def term_counts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
             yield terms, counts, int(b - a)
 
 
+def starts_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start, and the end."""
+    new = np.ones(len(values) + 1, bool)
+    new[1:-1] = values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def like_together(doc: np.ndarray, term: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The place of each document: ordered by which of the 48 commonest terms it has, then by length."""
+    n, cuts = len(lengths), starts_of(term)
+    mask = np.zeros(n, np.int64)
+    for t in np.argsort(-np.diff(cuts), kind="stable")[:48].tolist():
+        mask <<= 1
+        mask[doc[cuts[t] : cuts[t + 1]]] |= 1
+    place = np.empty(n, np.int64)
+    place[np.lexsort((lengths, mask))] = np.arange(n)
+    return place
+
+
+def shard_row(node: int, ids: list, held: list) -> pa.RecordBatch:
+    lengths, sizes = np.array([n for *_, n in held], np.int64), [len(t) for t, _, _ in held]
+    term, tf = np.concatenate([t for t, _, _ in held]), np.concatenate([c for _, c, _ in held])
+    doc = np.repeat(np.arange(len(held)), sizes)
+    by_term = np.argsort(term, kind="stable")
+    place = like_together(doc[by_term], term[by_term], lengths) if len(term) else np.arange(len(held))
+    order = np.argsort(place[doc], kind="stable")
+    order = order[np.argsort(term[order], kind="stable")]
+    term, doc, tf = term[order], place[doc][order], tf[order]
+    terms = term[starts_of(term)[:-1]] if len(term) else term
+    # A posting's block and term in one number, so that its runs are the blocks of the terms.
+    runs = starts_of(np.searchsorted(terms, term) * (len(held) // BLOCK + 1) + doc // BLOCK) if len(term) else np.zeros(1, np.int64)
+    back = np.argsort(place)
+    known = np.array([i is not None for i in ids])
+    arrays = {
+        "ids": np.array([i or 0 for i in ids])[back],
+        "known": known[back],
+        "lengths": lengths[back],
+        "terms": terms,
+        "first": np.searchsorted(runs, starts_of(term)) if len(term) else np.zeros(1, np.int64),
+        "block": doc[runs[:-1]] // BLOCK,
+        "start": runs,
+        "docs": doc,
+        "tf": tf,
+    }
+    row = [pa.array([x], pa.int64()) for x in (node, len(held), int(lengths.sum()))] + [pa.array([arrays[a].astype(k).tobytes()], pa.binary()) for a, k in ARRAYS.items()]
+    return pa.RecordBatch.from_arrays(row, names=[c.split()[0] for c in INDEX.split(", ")])
+
+
 def build_index(docs: DataFrame) -> DataFrame:
-    """Shards of the rows of each input partition: nothing is shuffled."""
+    """Shards of the rows of each input partition, whose number is their node: nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        held: list = []
-
-        def shard() -> pa.RecordBatch:
-            sizes = [len(t) for t, _, _ in held]
-            term = np.concatenate([t for t, _, _ in held])
-            order = np.argsort(term, kind="stable")
-            term = term[order]
-            doc = np.repeat(np.arange(len(held), dtype=np.int32), sizes)[order]
-            tf = np.concatenate([c for _, c, _ in held]).astype(np.int32)[order]
-            terms, starts = np.unique(term, return_index=True)
-            starts = np.append(starts, len(term)).astype(np.int64)
-            lengths = np.array([n for _, _, n in held], np.int64)
-            known = np.array([i is not None for i in ids])
-            blobs = (np.array([i or 0 for i in ids], np.int64), known, lengths, terms, starts, doc, tf)
-            row = [pa.array([len(held)], pa.int64()), pa.array([int(lengths.sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)]
-            return pa.RecordBatch.from_arrays(row, names=[c.split()[0] for c in INDEX.split(", ")])
-
+        node, ids, held, postings = TaskContext.get().partitionId(), [], [], 0
         for batch in batches:
             for doc_id, counts in zip(batch.column(0).to_pylist(), term_counts(batch.column(1)), strict=True):
                 ids.append(doc_id)
                 held.append(counts)
-                if len(held) == SHARD_DOCS:
-                    yield shard()
-                    ids, held = [], []
+                postings += len(counts[0])
+                if len(held) == SHARD_DOCS or postings >= SHARD_POSTINGS:
+                    yield shard_row(node, ids, held)
+                    ids, held, postings = [], [], 0
         if held:
-            yield shard()
+            yield shard_row(node, ids, held)
 
     return saved(map_batches(docs, run, INDEX), "index")
 
 
+def spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of the ranges one after the other, the ranges' sizes)."""
+    sizes = stops - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()), sizes
+
+
 class Shard:
-    """One shard with impacts by global statistics, its documents ordered so that neighbours share common terms."""
+    """One shard with impacts by global statistics."""
 
     def __init__(self, row: dict, average: float):
-        read = lambda name, kind: np.frombuffer(row[name], kind)
-        self.terms, starts = read("terms", U), read("starts", np.int64)
-        doc, tf, lengths = read("docs", np.int32), read("tf", np.int32), read("lengths", np.int64)
-        n = len(lengths)
-        df = np.diff(starts)
-        top = np.argsort(-df, kind="stable")[:48]
-        mask = np.zeros(n, np.int64)
-        for t in top.tolist():
-            mask <<= 1
-            mask[doc[starts[t] : starts[t + 1]]] |= 1
-        order = np.lexsort((lengths, mask))
-        place = np.empty(n, np.int32)
-        place[order] = np.arange(n)
-        self.ids, self.known = read("ids", np.int64)[order], read("known", bool)[order]
-        self.doc, self.starts = place[doc], starts
-        norm = K1 * (1 - B + B * lengths / average)
-        self.impact = tf * (K1 + 1) / (tf + norm[doc])
-        self.n, self.blocks = n, -(-n // BLOCK)
-        common = np.flatnonzero(df > max(BLOCK, n * COMMON))
-        self.common = np.full(len(df), -1, np.int32)
-        self.common[common] = np.arange(len(common))
-        self.dense = np.zeros((self.blocks * BLOCK, len(common)))
-        for k, t in enumerate(common.tolist()):
-            self.dense[self.doc[starts[t] : starts[t + 1]], k] = self.impact[starts[t] : starts[t + 1]]
-        self.largest = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1)
-
-    def search(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best for the terms at these places of the dictionary; ties go to smaller ids."""
-        common = self.common[at]
-        rare = common < 0
-        starts, sizes = self.starts[at[rare]], self.starts[at[rare] + 1] - self.starts[at[rare]]
-        which = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
-        score = np.bincount(self.doc[which], weights=self.impact[which] * np.repeat(weights[rare], sizes), minlength=self.blocks * BLOCK)
-        query = np.zeros(self.dense.shape[1])
-        query[common[~rare]] = weights[~rare]
-        table = score.reshape(self.blocks, BLOCK)
-        bound = table.max(axis=1) + self.largest @ query
-        bound = bound * (1 + 1e-9) + 1e-6  # for sums in another order, and rounding
-        order = np.argsort(-bound, kind="stable")
-        found, best, least, done, step = [], [], 0.0, 0, max(4, -(-2 * k // BLOCK))
-        while done < len(order):
-            some = order[done : done + step]
-            some = some[bound[some] >= least]
-            if not len(some):
-                break
-            done += step
-            step *= 8
-            places = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            total = np.round(score[places] + self.dense[places] @ query, 6)  # equal texts score alike in any order of sums
-            found.append(places)
-            best.append(total)
-            if sum(map(len, best)) > k:
-                least = np.partition(np.concatenate(best), -k)[-k]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        places, total = np.concatenate(found), np.concatenate(best)
-        keep = (total > 0) & (total >= least) & (places < self.n)
-        places, total = places[keep], total[keep]
-        order = np.lexsort((self.ids[places], -total))[:k]
-        return places[order], total[order]
-
-
-def query_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
-    """(query id, terms, counts) of the queries, in lists of bounded size; the driver holds one list at a time."""
+        for name, kind in ARRAYS.items():
+            setattr(self, name, np.frombuffer(row[name], kind))
+        norm = K1 * (1 - B + B * self.lengths / average)
+        self.impact = self.tf * (K1 + 1) / (self.tf + norm[self.docs])
+        some = len(self.docs) > 0
+        self.largest = np.maximum.reduceat(self.impact, self.start[:-1]) if some else np.zeros(0)
+        self.most = np.maximum.reduceat(self.largest, self.first[:-1]) if some else np.zeros(0)
+        self.n, self.blocks = len(self.lengths), len(self.lengths) // BLOCK + 1
+
+    def blocks_of(self, at: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(blocks of postings of the terms, weight of each, bound of each block of documents)."""
+        own, sizes = spans(self.first[at], self.first[at + 1])
+        weight = np.repeat(weights, sizes)
+        return own, weight, np.bincount(self.block[own], weights=self.largest[own] * weight, minlength=self.blocks)
+
+    def added(self, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the postings in these blocks add to each document."""
+        at, sizes = spans(self.start[own], self.start[own + 1])
+        return np.bincount(self.docs[at], weights=self.impact[at] * np.repeat(weight, sizes), minlength=self.n)
+
+    def search(self, at: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the k best that reach ``floor``, for terms at these places of the dictionary; ties go to smaller ids."""
+        nothing = np.zeros(0, np.int64), np.zeros(0)
+        low = floor * (1 - 1e-9) - 2e-6  # for sums in another order, and rounding
+        most = weights * self.most[at]
+        if not len(at) or most.sum() < low:
+            return nothing
+        order = np.argsort(most, kind="stable")
+        pivot = int(np.searchsorted(np.cumsum(most[order]), low)) if low > 0 else 0
+        before, after = order[:pivot], order[pivot:]
+        own, weight, bound = self.blocks_of(at[after], weights[after])
+        rest, rest_weight, rest_bound = self.blocks_of(at[before], weights[before])
+        live = bound + rest_bound >= low
+        keep = live[self.block[own]]
+        score = self.added(own[keep], weight[keep])
+        able = np.flatnonzero((score > 0) & (score + np.repeat(rest_bound, BLOCK)[: self.n] >= low))
+        if not len(able):
+            return nothing
+        if pivot:
+            live = np.zeros(self.blocks, bool)
+            live[able // BLOCK] = True
+            keep = live[self.block[rest]]
+            score = score + self.added(rest[keep], rest_weight[keep])
+        total = np.round(score[able], 6)  # equal texts score alike in any order of sums
+        good = (total > 0) & (total >= floor)
+        able, total = able[good], total[good]
+        if len(able) > k:
+            good = total >= np.partition(total, -k)[-k]
+            able, total = able[good], total[good]
+        order = np.lexsort((self.ids[able], ~self.known[able], -total))[:k]
+        return able[order], total[order]
+
+
+def query_table(queries: DataFrame, index: DataFrame, nodes: int, n_docs: int) -> DataFrame:
+    """(home, query, query_id, terms, weights): a row for each query with terms that some document has; home is below ``nodes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            got = [(t.tobytes(), c.astype(np.int32).tobytes()) for t, c, _ in term_counts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in got], pa.binary()), pa.array([c for _, c in got], pa.binary())], names=["query_id", "terms", "counts"])
-
-    made = saved(map_batches(queries, run, "query_id long, terms binary, counts binary"), "queries")
-    block, size = [], 0
-    for row in made.where(F.length("terms") > 0).toLocalIterator():
-        block.append((row.query_id, np.frombuffer(row.terms, U), np.frombuffer(row.counts, np.int32)))
-        size += len(row.terms) + len(row.counts)
-        if size >= QUERY_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def document_frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """In how many documents each term is; one array of the terms' length comes from each task."""
-    sent = index.sparkSession.sparkContext.broadcast(terms)  # at most QUERY_BYTES
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sent.value), np.int64)
-        for batch in batches:
-            for own, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, starts = np.frombuffer(own, U), np.frombuffer(starts, np.int64)
-                at = np.minimum(np.searchsorted(own, sent.value), len(own) - 1)
-                if len(own):
-                    total += np.where(own[at] == sent.value, starts[at + 1] - starts[at], 0)
-        size = 1 << 14
-        parts = [(i, total[i : i + size]) for i in range(0, len(total), size)]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([p.tobytes() for _, p in parts], pa.binary())], names=["at", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+            got = list(term_counts(batch.column(1)))
+            columns = [pa.array(range(number, number + len(got)), pa.int64()), batch.column(0), pa.array([t.view(np.int64) for t, *_ in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([c for _, c, _ in got], pa.list_(pa.int64()))], names=["query", "query_id", "terms", "counts"])
+            number += len(got)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, np.int64)
-                sums[i] = sums[i] + part if i in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["at", "counts"])
-
-    out = np.zeros(len(terms), np.int64)
-    schema = "at long, counts binary"
-    for row in map_batches(map_batches(index.select("terms", "starts"), count, schema).repartition(16, "at"), add, schema).collect():
-        part = np.frombuffer(row.counts, np.int64)
-        out[row.at : row.at + len(part)] = part
-    sent.unpersist()
-    return out
-
-
-def search_block(index: DataFrame, block: list[tuple], n_docs: int, average: float, k: int) -> DataFrame:
-    """(query_id, doc_id, score): each shard's k best for each query."""
-    terms = np.unique(np.concatenate([t for _, t, _ in block]))
-    df = document_frequencies(index, terms)
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    sent = index.sparkSession.sparkContext.broadcast((terms, [(q, np.searchsorted(terms, t).astype(np.int32), idf[np.searchsorted(terms, t)] * c) for q, t, c in block]))
+            for terms, first, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                first, start = np.frombuffer(first, "<i8"), np.frombuffer(start, "<i8")
+                terms, df = np.frombuffer(terms, "<i8"), np.diff(start[first])
+                for lo in range(0, len(terms), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(terms[lo : lo + (1 << 16)]), pa.array(df[lo : lo + (1 << 16)])], names=["term", "df"])
+
+    known = saved(map_batches(queries, run, "query long, query_id long, terms array<long>, counts array<long>"), "queries")
+    df = map_batches(index.select("terms", "first", "start"), frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    words = known.select("query", "query_id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("query", "query_id", F.col("t.terms").alias("term"), F.col("t.counts").alias("times"))
+    weight = F.col("times") * F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    told = words.join(df, "term").groupBy("query", "query_id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
+    home = F.pmod(F.shiftright("query", 32), F.lit(nodes)).alias("home")
+    return told.select(home, "query", "query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+
+
+def visitors(node: int, stage: int) -> tuple[int, int]:
+    """The homes (from, to) whose queries visit a node: its own first, then as many again in each round as they have met."""
+    if stage == 0:
+        return node, node + 1
+    other = (node >> (stage - 1)) ^ 1
+    return other << (stage - 1), (other + 1) << (stage - 1)
+
+
+def read_range(folder: str, columns: list[str], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+    """Rows with a home from lo to hi of a Parquet table in the shared folder."""
+    store, at = fs.FileSystem.from_uri(folder)
+    some = ds.dataset(at, filesystem=store, format="parquet")
+    yield from some.to_batches(columns=columns, filter=(ds.field("home") >= lo) & (ds.field("home") < hi), batch_size=2000)
+
+
+def floors_of(folder: str | None, lo: int, hi: int) -> dict[int, float]:
+    if folder is None:
+        return {}
+    return {q: f for b in read_range(folder, ["query", "floor"], lo, hi) for q, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+
+
+def found_by(index: DataFrame, asked: str, floors: str | None, stage: int, average: float, k: int) -> DataFrame:
+    """(home, query, query_id, doc_id, score): what the shards have for their visitors of a round, if it reaches the floor."""
+    schema = "home long, query long, query_id long, doc_id long, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, queries = sent.value
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row, average)
+                shard, (lo, hi) = Shard(row, average), visitors(row["node"], stage)
                 if not len(shard.terms):
                     continue
-                at = np.minimum(np.searchsorted(shard.terms, terms), len(shard.terms) - 1)
-                at[shard.terms[at] != terms] = -1
-                rows, docs, scores = [], [], []
-                for query, own, weights in queries:
-                    there = at[own]
-                    have = there >= 0
-                    places, total = shard.search(there[have], weights[have], k)
-                    rows += [query] * len(places)
-                    docs += [i if known else None for i, known in zip(shard.ids[places].tolist(), shard.known[places].tolist(), strict=True)]
-                    scores.append(total)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(np.concatenate(scores), pa.float64())], names=["query_id", "doc_id", "score"])
-
-    return map_batches(index, run, "query_id long, doc_id long, score double")
+                least = floors_of(floors, lo, hi)
+                for part in read_range(asked, ["home", "query", "query_id", "terms", "weights"], lo, hi):
+                    yield answers(shard, part, least, k)
+
+    def answers(shard: Shard, part: pa.RecordBatch, least: dict[int, float], k: int) -> pa.RecordBatch:
+        terms, weights = part.column(3).flatten().to_numpy().view(U), part.column(4).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(np.diff(part.column(3).offsets.to_numpy()))])
+        at = np.minimum(np.searchsorted(shard.terms, terms), len(shard.terms) - 1)
+        there = shard.terms[at] == terms
+        rows, docs, scores = [], [], []
+        for i, query in enumerate(part.column(1).to_pylist()):
+            own = there[ends[i] : ends[i + 1]]
+            places, total = shard.search(at[ends[i] : ends[i + 1]][own], weights[ends[i] : ends[i + 1]][own], k, least.get(query, 0.0))
+            rows += [i] * len(places)
+            docs += [d if known else None for d, known in zip(shard.ids[places].tolist(), shard.known[places].tolist(), strict=True)]
+            scores.append(total)
+        same = part.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
+        score = np.concatenate(scores) if scores else np.zeros(0)
+        return pa.RecordBatch.from_arrays([*same.columns, pa.array(docs, pa.int64()), pa.array(score)], names=["home", "query", "query_id", "doc_id", "score"])
+
+    return map_batches(index, run, schema)
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -233,19 +270,29 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     A query is the bag of all terms of its whole text: runs of letters and digits, A-Z in lower case. Ties go to
     smaller ids, null ids last. Documents that share no term with a query aren't found; queries without terms have no
-    rows; repeated rows of ``docs`` are each found; repeated query ids share their ranks; other columns are ignored.
+    rows; repeated rows of ``docs`` are each found; each row of ``queries`` has its own ranks, also where ids repeat;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     index = build_index(id_and_text(docs))
-    stats = index.agg(F.sum("n_docs").alias("n"), F.sum("n_terms").alias("terms")).first()
-    found = None
-    for block in query_blocks(id_and_text(queries)):
-        hits = saved(search_block(index, block, stats.n, max(stats.terms / stats.n, 1e-9), k), "hits")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, doc_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+    stats = index.agg(F.sum("n_docs").alias("n"), F.sum("n_terms").alias("terms"), F.max("node").alias("last")).first()
+    best = spark.createDataFrame([], "home long, query long, query_id long, doc_id long, score double")
+    if stats.n:
+        nodes, average = stats.last + 1, max(stats.terms / stats.n, 1e-9)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        asked, floors = new_dir(spark, "asked"), None
+        query_table(id_and_text(queries), index, nodes, stats.n).repartitionByRange(parts, "home").sortWithinPartitions("home").write.parquet(asked)
+        order = Window.partitionBy("home", "query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+        for stage in range((nodes - 1).bit_length() + 1):
+            both = best.unionByName(found_by(index, asked, floors, stage, average, k))
+            ranked = saved(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
+            floors = new_dir(spark, "floors")
+            ranked.where(F.col("rank") == k).select("home", "query", F.col("score").alias("floor")).repartitionByRange(parts, "home").write.parquet(floors)
+            best = ranked.drop("rank")
+        best = ranked
+    else:
+        best = best.withColumn("rank", F.lit(0))
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
