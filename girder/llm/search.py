@@ -30,10 +30,8 @@ from .hashing import U, word_hashes, words
 
 K1, B = 1.2, 0.75
 #: Documents and postings of a shard, at most (a single document can have more postings).
-SHARD_DOCS, SHARD_POSTINGS = 8192, 4_000_000
-BLOCK = 32
-#: Bytes of queries that a task holds at once.
-QUERY_BYTES = 32 << 20
+SHARD_DOCS, SHARD_POSTINGS = 4096, 1_500_000
+BLOCK = 64
 #: Letters, digits and all bytes of characters beyond ASCII make terms.
 IS_TERM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 ARRAYS = {"ids": "<i8", "known": "?", "lengths": "<i8", "terms": "<u8", "first": "<i8", "block": "<i4", "start": "<i8", "docs": "<i4", "tf": "<i4"}
@@ -126,10 +124,16 @@ def spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()), sizes
 
 
+def joined(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the values of the ranges one after the other, the ranges' sizes)."""
+    return np.concatenate([values[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)] or [values[:0]]), stops - starts
+
+
 class Shard:
     """One shard with impacts by global statistics."""
 
     def __init__(self, row: dict, average: float):
+        """``row`` has the arrays' bytes by name."""
         for name, kind in ARRAYS.items():
             setattr(self, name, np.frombuffer(row[name], kind))
         norm = K1 * (1 - B + B * self.lengths / average)
@@ -139,16 +143,25 @@ class Shard:
         self.most = np.maximum.reduceat(self.largest, self.first[:-1]) if some else np.zeros(0)
         self.n, self.blocks = len(self.lengths), len(self.lengths) // BLOCK + 1
 
-    def blocks_of(self, at: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(blocks of postings of the terms, weight of each, bound of each block of documents)."""
-        own, sizes = spans(self.first[at], self.first[at + 1])
-        weight = np.repeat(weights, sizes)
-        return own, weight, np.bincount(self.block[own], weights=self.largest[own] * weight, minlength=self.blocks)
-
-    def added(self, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """What the postings in these blocks add to each document."""
-        at, sizes = spans(self.start[own], self.start[own + 1])
-        return np.bincount(self.docs[at], weights=self.impact[at] * np.repeat(weight, sizes), minlength=self.n)
+    def bounds(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The most that terms can add to a document of each block."""
+        block, sizes = joined(self.block, self.first[at], self.first[at + 1])
+        largest, _ = joined(self.largest, self.first[at], self.first[at + 1])
+        return np.bincount(block, weights=largest * np.repeat(weights, sizes), minlength=self.blocks)
+
+    def added(self, at: np.ndarray, weights: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """What terms add to each document of the live blocks, at least; other blocks' postings are skipped where that saves work."""
+        first, stop = self.first[at], self.first[at + 1]
+        if 2 * np.count_nonzero(live) > len(live):
+            docs, sizes = joined(self.docs, self.start[first], self.start[stop])
+            impact, _ = joined(self.impact, self.start[first], self.start[stop])
+        else:
+            own, sizes = spans(first, stop)
+            keep = live[self.block[own]]
+            own, weights = own[keep], np.repeat(weights, sizes)[keep]
+            postings, sizes = spans(self.start[own], self.start[own + 1])
+            docs, impact = self.docs[postings], self.impact[postings]
+        return np.bincount(docs, weights=impact * np.repeat(weights, sizes), minlength=self.n)
 
     def search(self, at: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """(places, scores) of the k best that reach ``floor``, for terms at these places of the dictionary; ties go to smaller ids."""
@@ -160,19 +173,18 @@ class Shard:
         order = np.argsort(most, kind="stable")
         pivot = int(np.searchsorted(np.cumsum(most[order]), low)) if low > 0 else 0
         before, after = order[:pivot], order[pivot:]
-        own, weight, bound = self.blocks_of(at[after], weights[after])
-        rest, rest_weight, rest_bound = self.blocks_of(at[before], weights[before])
-        live = bound + rest_bound >= low
-        keep = live[self.block[own]]
-        score = self.added(own[keep], weight[keep])
-        able = np.flatnonzero((score > 0) & (score + np.repeat(rest_bound, BLOCK)[: self.n] >= low))
+        rest = self.bounds(at[before], weights[before])
+        live = self.bounds(at[after], weights[after]) + rest >= low
+        if not live.any():
+            return nothing
+        score = self.added(at[after], weights[after], live)
+        able = np.flatnonzero((score > 0) & (score + np.repeat(rest, BLOCK)[: self.n] >= low) & np.repeat(live, BLOCK)[: self.n])
         if not len(able):
             return nothing
         if pivot:
             live = np.zeros(self.blocks, bool)
             live[able // BLOCK] = True
-            keep = live[self.block[rest]]
-            score = score + self.added(rest[keep], rest_weight[keep])
+            score = score + self.added(at[before], weights[before], live)
         total = np.round(score[able], 6)  # equal texts score alike in any order of sums
         good = (total > 0) & (total >= floor)
         able, total = able[good], total[good]
@@ -223,7 +235,7 @@ def read_range(folder: str, columns: list[str], lo: int, hi: int) -> Iterator[pa
     """Rows with a home from lo to hi of a Parquet table in the shared folder."""
     store, at = fs.FileSystem.from_uri(folder)
     some = ds.dataset(at, filesystem=store, format="parquet")
-    yield from some.to_batches(columns=columns, filter=(ds.field("home") >= lo) & (ds.field("home") < hi), batch_size=2000)
+    yield from some.to_batches(columns=columns, filter=(ds.field("home") >= lo) & (ds.field("home") < hi), batch_size=500, batch_readahead=1, fragment_readahead=1, use_threads=False)
 
 
 def floors_of(folder: str | None, lo: int, hi: int) -> dict[int, float]:
@@ -238,8 +250,8 @@ def found_by(index: DataFrame, asked: str, floors: str | None, stage: int, avera
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                shard, (lo, hi) = Shard(row, average), visitors(row["node"], stage)
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                shard, (lo, hi) = Shard({a: batch.column(a)[i].as_buffer() for a in ARRAYS}, average), visitors(node, stage)
                 if not len(shard.terms):
                     continue
                 least = floors_of(floors, lo, hi)
