@@ -1,11 +1,15 @@
 """Personal data: fixed patterns, and what bootstrapped context patterns find beyond them.
 
-The fixed patterns give seed entities. The words before an entity, or what is written right before it in the same
-word, are lexical patterns; whatever follows such a pattern is an instance of it: a word with or without digits, a
-run of digit groups or an address spelled with "at" and "dot". All of them count in the size of a pattern, ordinary
-words too. Patterns and instances form a graph that is scored in turns: a pattern by the confidence of its
-instances, an instance by the patterns that it follows. Patterns of high confidence then mark the instances of
-SHORTEST characters or more that no fixed pattern knows.
+Fixed patterns give seed entities: mail and network addresses, cards, phones, and long hexadecimal secrets. What
+stands before an entity makes its lexical patterns: the two words before it, the last one, the one before that with
+any word between, each with what is glued to the entity in its own word, or this alone. Whatever follows a
+pattern is an instance of it: a word with or without digits, a run of digit groups or an address spelled with "at"
+and "dot". All of them count in the size of a pattern, ordinary words too. Patterns and instances form a graph
+that is scored in turns: a pattern by the confidence of its instances, an instance by the patterns that it
+follows. Patterns of high confidence mark their instances of SHORTEST characters or more. These are seeds of the
+next round: where they occur elsewhere, what stands before them makes new patterns.
+
+Patterns are compared by 64-bit hashes of their words, A-Z in lower case.
 """
 
 from __future__ import annotations
@@ -13,8 +17,6 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, saved
+from .common import documents, map_batches, pieces, saved, text_bytes
 from .counting import hashed_marks, places
-
-KINDS = ("email", "ip", "card", "phone")
-ROUNDS, MIN_INSTANCES, MIN_SEEDS, CONFIDENT = 3, 8, 3, 0.6
-#: A pattern takes part if of all that follows it at least this share is found by fixed patterns.
+from .hashing import BASE, U, mix, word_hashes, words
+
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: The kinds of the fixed patterns whose spans are counted; "secret" only seeds.
+N_BASE = 4
+ROUNDS, TURNS = 2, 3
+MIN_INSTANCES, MIN_SEEDS, CONFIDENT = 8, 3, 0.6
+#: A pattern takes part if of all that follows it at least this share is known.
 LEAST_SHARE = 0.1
-#: Characters of the shortest instance that is marked, of words in a pattern (from their ends), and of what is glued to an instance.
-SHORTEST, WORD_CHARS, GLUED_CHARS = 6, 40, 64
+#: What an instance found in an earlier round is believed.
+LEARNED = 0.8
+#: Characters of the shortest instance that is marked.
+SHORTEST = 6
 #: Hashed marks of the patterns that are followed.
 MARKS = 1 << 23
 
@@ -43,9 +51,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = re.compile(r"[0-9][^\x20\x09-\x0d]*")
 
-WORD = re.compile(r"[^\x20\x09-\x0d]+")
-#: Where an instance can start inside a word.
-SPLIT = re.compile(r"[=:\"'(<\[](?=[^\x20\x09-\x0d])")
+SECRET = re.compile(r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}+(?![0-9A-Za-z])")
+#: Where an instance can start inside a word: after one of these.
+SPLIT = np.isin(np.arange(256), np.frombuffer(b"=:\"'(<[", np.uint8))
+DIGIT = np.array([48 <= b < 58 for b in range(256)])
+LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 #: Digit groups joined by blank, hyphen, dot or brackets, as in accounts (which start with letters), cards and phones.
 RUN = re.compile(r"[+(\[]{0,2}[A-Za-z]{0,2}[0-9]++(?![A-Za-z])(?:[\x20.()\[\]-]{1,3}(?:[0-9]++(?![A-Za-z])|[A-Z]{4}(?=[\x20-][0-9])))+")
 SPELLED = re.compile(r"[\w.%+-]+\x20?[\[({<]?\x20?at\x20?[\])}>]?\x20?[\w-]+(?:\x20?[\[({<]?\x20?dot\x20?[\])}>]?\x20?[\w-]+)+", re.IGNORECASE)
@@ -89,79 +99,98 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-class Words:
-    """The words of a text, parted at blanks."""
-
-    def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, [], []
-        for m in WORD.finditer(text):
-            self.starts.append(m.start())
-            self.ends.append(m.end())
-
-    def word(self, i: int) -> str:
-        return self.text[self.starts[i] : self.ends[i]].lower()[-WORD_CHARS:] if i >= 0 else ""
-
-    def contexts(self, start: int) -> list[tuple[bool, str, int]]:
-        """(after, pattern, mark) of what stands before ``start``: what is glued to it, and with that the two words before it."""
-        i = bisect.bisect_right(self.starts, start) - 1
-        if i < 0 or start - self.starts[i] > GLUED_CHARS:
-            return []
-        glued = self.text[self.starts[i] : start].lower()
-        found = []
-        if any(c.isalpha() for c in glued):
-            found.append((False, "in " + glued, mark_of("in " + glued)))
-        if i:
-            left = f"{self.word(i - 2)} {self.word(i - 1)}"
-            found.append((True, f"after {left} {glued}", mark_of(left)))
-        return found
-
-    def instance(self, start: int, taken: list[tuple[int, int]]) -> int | None:
-        """Where the instance at ``start`` ends: a spelled address, a run of digit groups or a word; none where a fixed pattern has a part of it."""
-        word = self.ends[bisect.bisect_right(self.starts, start) - 1]
-        while word > start and self.text[word - 1] in ".,;:!?\"')>]":
-            word -= 1
-        spelled, run = SPELLED.match(self.text, start), RUN.match(self.text, start)
-        if run and sum(c.isdigit() for c in run.group()) < SHORTEST:
-            run = None
-        for end in (spelled and spelled.end(), run and max(run.end(), word), word):
-            if end and end > start:
-                at = bisect.bisect_left(taken, (end, 0))
-                if not at or taken[at - 1][1] <= start:
-                    return end
-        return None
-
-
-def mark_of(text: str) -> int:
-    return zlib.crc32(text.encode())
-
-
-def followers(text: str, marks: np.ndarray) -> Iterator[tuple[int, int, bool, str]]:
-    """(start, stop, after, pattern) of whatever follows a marked pattern and is not found by a fixed one, ordinary words too."""
-    words = WORD.findall(text.lower())
-    if not words:
-        return
-    words = ["", *(w[-WORD_CHARS:] for w in words)]
-    left = np.fromiter((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:-1], strict=False)), np.int64, len(words) - 2)
-    hits = np.flatnonzero(marks[places(pa.array(left), len(marks))]) + 1
-    cuts = [m.end() for m in SPLIT.finditer(text)]
-    if not len(hits) and not cuts:
-        return
-    known = Words(text)
-    starts = sorted({*(known.starts[i] for i in hits.tolist()), *cuts})
-    found = [(start, c) for start in starts for c in known.contexts(start)]
-    if not found:
-        return
-    good = marks[places(pa.array([c[2] for _, c in found], pa.int64()), len(marks))].tolist()
-    if not any(good):
-        return
+def seed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    return base + [(N_BASE, *m.span()) for m in SECRET.finditer(text)]
+
+
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Where the spans are, overlaps joined, so that ends ascend as starts do."""
     taken: list[tuple[int, int]] = []
-    for s, e in sorted((s, e) for _, s, e in base_spans(text)):
-        if taken and s < taken[-1][1]:  # joined, so that ends ascend as starts do
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if taken and s < taken[-1][1]:
             s, e = taken[-1][0], max(taken.pop()[1], e)
         taken.append((s, e))
-    for (start, (after, pattern, _)), ok in zip(found, good, strict=True):
-        if ok and (stop := known.instance(start, taken)) is not None:
-            yield start, stop, after, pattern
+    return taken
+
+
+def instance(text: str, start: int, word: int, taken: list[tuple[int, int]]) -> int | None:
+    """Where the instance at ``start`` in a word that ends at ``word`` ends: a spelled address, a run of digit groups or a word; none where a fixed pattern has a part of it."""
+    while word > start and text[word - 1] in ".,;:!?\"')>]":
+        word -= 1
+    spelled, run = SPELLED.match(text, start), RUN.match(text, start)
+    if run and sum(c.isdigit() for c in run.group()) < SHORTEST:
+        run = None
+    for end in (spelled and spelled.end(), run and max(run.end(), word), word):
+        if end and end > start:
+            at = bisect.bisect_left(taken, (end, 0))
+            if not at or taken[at - 1][1] <= start:
+                return end
+    return None
+
+
+class Page:
+    """Some texts with each place where an instance can start, a word or what follows a sign in it, and the patterns before it."""
+
+    FORMS = 4
+
+    def __init__(self, texts: list[str], raw: np.ndarray, offsets: np.ndarray):
+        self.texts, self.raw, self.offsets = texts, raw, offsets
+        owner, starts, ends = words(raw, offsets)
+        own = word_hashes(raw, starts, ends)
+        n = len(starts)
+        last, earlier = np.zeros(n, U), np.zeros(n, U)
+        last[1:] = np.where(owner[1:] == owner[:-1], own[:-1], U(0))
+        earlier[2:] = np.where(owner[2:] == owner[:-2], own[:-2], U(0))
+        signs = np.flatnonzero(SPLIT[raw])
+        at = np.searchsorted(starts, signs, "right") - 1
+        inside = (at >= 0) & (signs + 1 < ends[at]) if n else np.zeros(0, bool)
+        at, signs = at[inside], signs[inside]
+        order = np.argsort(np.concatenate([starts, signs + 1]), kind="stable")
+        self.word = np.concatenate([np.arange(n), at])[order]
+        self.start = np.concatenate([starts, signs + 1])[order]
+        self.stop, self.text = ends[self.word], owner[self.word]
+        glued = np.concatenate([np.zeros(n, U), word_hashes(raw, starts[at], signs + 1)])[order]
+        letters = np.concatenate([[0], np.cumsum(LETTER[raw])])
+        lettered = letters[self.start] > letters[starts[self.word]]
+        a, b = earlier[self.word], last[self.word]
+        some = b != 0
+        forms = [(some, mix(mix(a * U(BASE) + b) ^ glued)), (some, mix(mix(b + U(1)) ^ glued)), (a != 0, mix(mix(a + U(2)) ^ glued)), (lettered, mix(glued + U(3)))]
+        #: Hash of the pattern of each form at each place; 0 where there is none.
+        self.patterns = np.stack([np.where(there, p, U(0)) for there, p in forms]).view(np.int64)
+
+    def point(self, text: int, at: int) -> int:
+        """The code point of a text at a byte of all."""
+        begin = int(self.offsets[text])
+        if len(self.texts[text]) == self.offsets[text + 1] - begin:
+            return at - begin
+        return int(np.count_nonzero(self.raw[begin:at] & 0xC0 != 0x80))
+
+    def place(self, text: int, point: int) -> int | None:
+        """The place that starts at a code point of a text, if there is one."""
+        at = int(self.offsets[text]) + len(self.texts[text][:point].encode())
+        k = int(np.searchsorted(self.start, at))
+        return k if k < len(self.start) and self.start[k] == at else None
+
+    def contexts(self, k: int) -> list[tuple[int, int]]:
+        """(form, pattern) at a place."""
+        return [(form, p) for form, p in enumerate(self.patterns[:, k].tolist()) if p]
+
+    def marked(self, marks: np.ndarray) -> np.ndarray:
+        """Whether each pattern is marked."""
+        return marks[places(pa.array(self.patterns.ravel()), len(marks))].reshape(self.patterns.shape) & (self.patterns != 0)
+
+    def instance(self, k: int, taken: list[tuple[int, int]]) -> tuple[int, int] | None:
+        text = int(self.text[k])
+        start = self.point(text, int(self.start[k]))
+        stop = instance(self.texts[text], start, self.point(text, int(self.stop[k])), taken)
+        return None if stop is None else (start, stop)
+
+
+def pages(batch: pa.RecordBatch) -> Iterator[tuple[int, Page]]:
+    """Pages of the batch's texts, in its third column, and where they begin."""
+    raw, offsets = text_bytes(batch.column(2))
+    for lo, hi in pieces(offsets):
+        yield lo, Page(batch.column(2).slice(lo, hi - lo).to_pylist(), raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
 def hashed(text: str) -> str:
@@ -169,61 +198,63 @@ def hashed(text: str) -> str:
 
 
 SPAN = [("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]
-SEED = [("pattern", pa.string()), ("after", pa.bool_()), ("mark", pa.int64()), ("kind", pa.int32()), ("instance", pa.string())]
-ENTRY = "doc_id long, row long, base array<struct<kind:int,start:int,stop:int>>, seeds array<struct<pattern:string,after:boolean,mark:long,kind:int,instance:string>>"
+CONTEXT = [("form", pa.int32()), ("pattern", pa.int64()), ("kind", pa.int32()), ("instance", pa.string())]
+SPANS = "array<struct<kind:int,start:int,stop:int>>"
+ENTRY = f"doc_id long, row long, base {SPANS}, fixed {SPANS}, contexts array<struct<form:int,pattern:long,kind:int,instance:string>>"
 
 
 def look(keyed: DataFrame) -> DataFrame:
-    """Base spans of each text, and the patterns before them."""
+    """The spans of the fixed patterns of each text, and the patterns before them and before other words that hold two digits or more (kind -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bases, seeds = [], []
-            for text in batch.column(2).to_pylist():
-                base = base_spans(text)
-                words = Words(text) if base else None
-                bases.append([{"kind": k, "start": s, "stop": e} for k, s, e in base])
-                seeds.append([{"pattern": p, "after": after, "mark": mark, "kind": k, "instance": hashed(text[s:e])} for k, s, e in base for after, p, mark in words.contexts(s)])
-            columns = [batch.column(0), batch.column(1), pa.array(bases, pa.list_(pa.struct(SPAN))), pa.array(seeds, pa.list_(pa.struct(SEED)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "base", "seeds"])
+            bases, fixed, contexts = [], [], []
+            for _, page in pages(batch):
+                digits = np.concatenate([[0], np.cumsum(DIGIT[page.raw])])
+                odd = np.flatnonzero((digits[page.stop] - digits[page.start] >= 2) & (page.stop - page.start >= SHORTEST))
+                bounds = np.searchsorted(page.text[odd], np.arange(len(page.texts) + 1))
+                for i, text in enumerate(page.texts):
+                    base = base_spans(text)
+                    seeds = seed_spans(text, base)
+                    own = [(k, text[s:e], page.place(i, s)) for k, s, e in seeds]
+                    taken = joined(seeds)
+                    for k in odd[bounds[i] : bounds[i + 1]].tolist():
+                        if (span := page.instance(k, taken)) is not None:
+                            own.append((-1, text[span[0] : span[1]], k))
+                    bases.append([{"kind": k, "start": s, "stop": e} for k, s, e in base])
+                    fixed.append([{"kind": k, "start": s, "stop": e} for k, s, e in seeds])
+                    contexts.append([{"form": f, "pattern": p, "kind": k, "instance": hashed(what)} for k, what, at in own if at is not None for f, p in page.contexts(at)])
+            columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.struct(SPAN))) for x in (bases, fixed)), pa.array(contexts, pa.list_(pa.struct(CONTEXT)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "base", "fixed", "contexts"])
 
     return saved(map_batches(keyed, run, ENTRY), "entities")
 
 
 def marked(patterns: DataFrame):
     """Hashed marks of patterns, of fixed size, for all tasks."""
-    return patterns.sparkSession.sparkContext.broadcast(np.packbits(hashed_marks(patterns.select("mark"), MARKS)).tobytes())
+    return patterns.sparkSession.sparkContext.broadcast(np.packbits(hashed_marks(patterns.select("pattern"), MARKS)).tobytes())
 
 
 def unpacked(sent) -> np.ndarray:
     return np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
 
 
-def able_patterns(seeds: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(pattern, after, mark, as_kind) of the patterns with seeds enough, of all that follows them a share of LEAST_SHARE or more.
+def able_patterns(told: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Those of the patterns (with ``times``, how often something known follows) of whose followers LEAST_SHARE or more are known.
 
     All that follows a pattern is counted, so the rows that the others would have cost are never made.
     """
-    told = seeds.groupBy("pattern", "after", "mark").agg(F.count("*").alias("times"), F.countDistinct("instance").alias("n_seeds"), F.mode("kind", True).alias("as_kind"))
-    told = saved(told.where(F.col("n_seeds") >= MIN_SEEDS), "seeded")
-    if told.isEmpty():
-        return told
     sent = marked(told)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, times = unpacked(sent), Counter()
-        rows = lambda: pa.RecordBatch.from_arrays([pa.array(times.keys(), pa.string()), pa.array(times.values(), pa.int64())], names=["pattern", "others"])
+        marks = unpacked(sent)
         for batch in batches:
-            for text in batch.column(2).to_pylist():
-                times.update(pattern for *_, pattern in followers(text, marks))
-            if len(times) > 1 << 16:
-                yield rows()
-                times.clear()
-        yield rows()
+            hits = [page.patterns[page.marked(marks)] for _, page in pages(batch)]
+            patterns, times = np.unique(np.concatenate(hits) if hits else np.zeros(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(patterns), pa.array(times)], names=["pattern", "followers"])
 
-    others = map_batches(keyed, count, "pattern string, others long").groupBy("pattern").agg(F.sum("others").alias("others"))
-    share = F.col("times") / (F.col("times") + F.coalesce("others", F.lit(0)))
-    return saved(told.join(others, "pattern", "left").where(share >= LEAST_SHARE).select("pattern", "after", "mark", "as_kind"), "able")
+    followers = map_batches(keyed, count, "pattern long, followers long").groupBy("pattern").agg(F.sum("followers").alias("followers"))
+    return saved(told.join(followers, "pattern").where(F.col("times") >= LEAST_SHARE * F.col("followers")).select("pattern", "form", "as_kind"), "able")
 
 
 def follow(able: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -233,58 +264,83 @@ def follow(able: DataFrame, keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = unpacked(sent)
         for batch in batches:
-            out = [
-                (doc_id, row, start, stop, pattern, hashed(text[start:stop]))
-                for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                for start, stop, _, pattern in followers(text, marks)
-            ]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            out, docs, rows = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, page in pages(batch):
+                good = page.marked(marks)
+                taken, last = [], None
+                for k in np.flatnonzero(good.any(axis=0)).tolist():
+                    i = int(page.text[k])
+                    text = page.texts[i]
+                    if i != last:
+                        taken, last = joined(seed_spans(text, base_spans(text))), i
+                    if (span := page.instance(k, taken)) is not None:
+                        what = hashed(text[span[0] : span[1]])
+                        out += [(docs[lo + i], rows[lo + i], *span, int(page.patterns[form, k]), what) for form in np.flatnonzero(good[:, k])]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
             columns = zip(*out, strict=True) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names="doc_id row start stop pattern instance".split())
 
-    found = map_batches(keyed, run, "doc_id long, row long, start int, stop int, pattern string, instance string")
+    found = map_batches(keyed, run, "doc_id long, row long, start int, stop int, pattern long, instance string")
     return saved(found.join(able.select("pattern"), "pattern", "left_semi"), "followers")
 
 
-def confident_patterns(able: DataFrame, seeds: DataFrame, found: DataFrame) -> DataFrame:
-    """(pattern, kind) whose instances are mostly entities of that kind, or are marked by other such patterns.
+def confident_patterns(able: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(pattern, told) whose instances are mostly known entities of that kind, or are marked by other such patterns.
 
     An instance is believed for the sake of other patterns of the same form only: what a pattern says of its own
     instances, or another one at the same place, tells nothing new.
     """
-    rows = seeds.select("pattern", "instance", "kind").unionByName(found.select("pattern", "instance", F.lit(-1).alias("kind")))
-    edges = saved(rows.join(able.select("pattern"), "pattern", "left_semi").groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_INSTANCES)
-    graph = saved(edges.join(sizes, "pattern").join(able.select("pattern", "after", "as_kind"), "pattern"), "graph")
-    belief = F.when(F.col("kind") >= 0, 1.0)
+    graph = saved(edges.join(sizes, "pattern").join(able, "pattern").join(known.select("instance", "belief"), "instance", "left"), "graph")
+    belief = F.col("belief")
     patterns = graph.groupBy("pattern", "as_kind").agg((F.sum(F.coalesce(belief, F.lit(0.0))) / (F.max("n") + 1)).alias("confidence"))
-    for _ in range(ROUNDS):
+    for _ in range(TURNS):
         told = graph.join(patterns.select("pattern", F.log1p(-F.least(F.col("confidence"), F.lit(0.99))).alias("doubt")), "pattern")
-        instances = told.groupBy("instance", "after").agg(F.sum("doubt").alias("doubts"))
+        instances = told.groupBy("instance", "form").agg(F.sum("doubt").alias("doubts"))
         others = F.greatest(1 - F.exp(F.col("doubts") - F.col("doubt")), F.lit(0.0))
         patterns = saved(
-            told.join(instances, ["instance", "after"]).groupBy("pattern", "as_kind").agg((F.sum(F.coalesce(belief, others)) / (F.max("n") + 1)).alias("confidence")),
+            told.join(instances, ["instance", "form"]).groupBy("pattern", "as_kind").agg((F.sum(F.coalesce(belief, others)) / (F.max("n") + 1)).alias("confidence")),
             "patterns",
         )
     return patterns.where(F.col("confidence") >= CONFIDENT).select("pattern", F.col("as_kind").alias("told"))
 
 
-def find(docs: DataFrame) -> DataFrame:
+def discovered(table: DataFrame, keyed: DataFrame, rounds: int) -> DataFrame | None:
+    """(doc_id, row, start, stop, told) of what the patterns find beyond the fixed spans; None where nothing makes a pattern."""
+    contexts = saved(table.select(F.explode("contexts").alias("c")).select("c.*"), "contexts")
+    seeds = saved(contexts.where("kind >= 0").groupBy("instance").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("belief")), "seeds")
+    known, able, found, marks = seeds, None, None, None
+    for _ in range(rounds):
+        told = contexts.drop("kind").join(known, "instance").groupBy("form", "pattern").agg(F.count("*").alias("times"), F.countDistinct("instance").alias("n_seeds"), F.mode("kind", True).alias("as_kind"))
+        told = told.where(F.col("n_seeds") >= MIN_SEEDS).drop("n_seeds")
+        told = saved(told if able is None else told.join(able, "pattern", "left_anti"), "told")
+        if told.isEmpty():
+            break
+        more = able_patterns(told, keyed)
+        if more.isEmpty():
+            break
+        able = more if able is None else able.unionByName(more)
+        new = follow(more, keyed)
+        found = new if found is None else found.unionByName(new)
+        edges = contexts.select("pattern", "instance").unionByName(found.select("pattern", "instance")).join(able.select("pattern"), "pattern", "left_semi").distinct()
+        marks = saved(found.where(F.col("stop") - F.col("start") >= SHORTEST).join(confident_patterns(able, edges, known), "pattern").select("doc_id", "row", "start", "stop", "told", "instance"), "marks")
+        learned = marks.join(seeds, "instance", "left_anti").groupBy("instance").agg(F.max("told").alias("kind"), F.lit(LEARNED).alias("belief"))
+        known = saved(seeds.unionByName(learned), "known")
+    return marks
+
+
+def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, row, base, spans) of each row: fixed spans, and these with what the patterns add."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", F.xxhash64("text").alias("row"), "text")
     table = look(keyed)
-    seeds = table.select(F.explode("seeds").alias("s")).select("s.*")
-    fixed = F.array_sort("base")
-    able = able_patterns(seeds, keyed)
-    if able.isEmpty():
-        return table.select("doc_id", "row", fixed.alias("base"), fixed.alias("spans"))
-    found = follow(able, keyed)
-    long = found.where(F.col("stop") - F.col("start") >= SHORTEST).join(confident_patterns(able, seeds, found), "pattern")
-    added = long.groupBy("doc_id", "row").agg(F.collect_set(F.struct(F.col("told").alias("kind"), "start", "stop")).alias("more"))
+    marks = discovered(table, keyed, rounds)
+    if marks is None:
+        return table.select("doc_id", "row", F.array_sort("base").alias("base"), F.array_sort("fixed").alias("spans"))
+    added = marks.groupBy("doc_id", "row").agg(F.collect_set(F.struct(F.col("told").alias("kind"), "start", "stop")).alias("more"))
     both = table.alias("t").join(added.alias("a"), (F.col("t.row") == F.col("a.row")) & F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")), "left")
-    spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,stop:int>>"))))
-    return both.select("t.doc_id", "t.row", fixed.alias("base"), spans.alias("spans"))
+    spans = F.array_sort(F.concat("fixed", F.coalesce("more", F.array().cast(SPANS))))
+    return both.select("t.doc_id", "t.row", F.array_sort("base").alias("base"), spans.alias("spans"))
 
 
 def as_text(spans: str):
@@ -293,14 +349,15 @@ def as_text(spans: str):
 
 
 def find_private(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of each row, over whole texts.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans) of each row, over whole texts.
 
-    The counts and the hash are of the fixed patterns' spans. A null or empty text has none; null ids and
+    The counts and the hash are of the fixed patterns' spans of these four kinds; spans, n_added and n_spans have
+    those of secrets and of what the patterns found, too. A null or empty text has none; null ids and
     repeated rows are kept; other columns are ignored; no rows give no rows.
     """
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:N_BASE])]
     added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
-    return find(docs).select("doc_id", *counts, F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"), added)
+    return find(docs).select("doc_id", *counts, F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"), added, F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
