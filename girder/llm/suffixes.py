@@ -1,13 +1,20 @@
 """Exact removal of repeated byte strings by bucket-pointer refinement of suffixes.
 
-A suffix's first bucket is its q-gram, q being half of the length sought; the bucket of a suffix at the full
-length is the pair of q-gram buckets at the suffix and q bytes later. Every string of the full length has a
-smallest q-gram (by hash), which equal strings share, so only the suffixes at those places are dealt out at
-first: sorted by their q-gram's bucket, then by the refined buckets of the first and last string that have
-this smallest q-gram, which reuse the buckets of later offsets. A bucket that this leaves with one document
-is done; where all its suffixes agree, all but the smallest document's are repeats. Only the buckets that hold
-unlike suffixes are refined further, string by string. What a task finds equal in its own batch it settles
-alone: one suffix of a kind is dealt out for each batch, so no bucket grows with the copies of a text.
+A suffix's first bucket is its q-gram. Each round refines the buckets of all suffixes at once to about twice the
+length: a suffix's new bucket is the pair of its own and of the bucket that the suffix some bytes later had in the
+round before, so that every round reuses the last one's updates, up to the length sought. Buckets are named by
+what is in them, a 64-bit hash, so rounds need no exchange.
+
+Of the round before the last, at half the length, buckets are dealt out over the cluster. Every string of the
+full length has a smallest half-length bucket (by name), which equal strings share, so only the suffixes at those
+places are dealt out at first: sorted by their bucket, then by the refined buckets of the first and last string
+that have this smallest one. A bucket that this leaves with one document is done; where all its suffixes
+agree, all but the smallest document's are repeats. Only the buckets that hold unlike suffixes are refined
+further, string by string. What a task finds equal in its own batch it settles alone: one suffix of a kind is
+dealt out for each batch, so no bucket grows with the copies of a text.
+
+Strings are equal if 128 bits agree, two names of half the length (which overlap by a byte where it is odd): of n
+strings two unlike ones are taken for equal with a chance of n**2 / 2**129.
 """
 
 from __future__ import annotations
@@ -25,7 +32,10 @@ from .hashing import BASE, U, mix, window_hashes
 
 #: Bytes of text from which one message to each bucket is made.
 BATCH_BYTES = 4 << 20
-NO_ID = (1 << 63) - 1
+#: Bytes of the first buckets' q-grams, at most.
+FIRST = 8
+#: Null ids are larger than all others; a real id of this value counts as equal to them.
+LAST_ID = (1 << 63) - 1
 MESSAGE = "bucket int, payload binary"
 FOUND = "doc_id long, row long, start int, stop int, kind int"
 REPEATED, UNLIKE = 1, 2
@@ -49,10 +59,20 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
+def buckets_at(raw: np.ndarray, length: int) -> np.ndarray:
+    """The bucket of the string of ``length`` at each byte: q-grams, refined round by round by the buckets of later offsets."""
+    if length <= FIRST:
+        return window_hashes(raw, length)
+    half = (length + 1) // 2
+    before = buckets_at(raw, half)
+    later = length - half
+    return mix(before[: max(0, len(before) - later)] * U(BASE) + before[later:])
+
+
 def suffix_runs(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple:
     """(first, last, q-gram bucket, refined bucket, text) of each run of strings that share their smallest q-gram."""
-    q = length // 2
-    grams = window_hashes(raw, q)
+    q = (length + 1) // 2
+    grams = buckets_at(raw, q)
     n = len(raw) - length + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 5
@@ -69,13 +89,14 @@ def suffix_runs(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple:
     last = np.flatnonzero(stop & inside[:n])
     place = at[first]
     shape = ((last - first) << 8 | (place - first)).astype(U)
-    refined = mix(mix(string_buckets(grams, first, q)[2] * U(BASE) + string_buckets(grams, last, q)[2]) + shape)
+    later = length - q
+    refined = mix(mix(string_buckets(grams, first, later)[2] * U(BASE) + string_buckets(grams, last, later)[2]) + shape)
     return first, last, grams[place], refined, np.searchsorted(offsets, first, "right") - 1
 
 
-def string_buckets(grams: np.ndarray, at: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The q-gram buckets at the suffix and q bytes later, and the refined bucket made of both."""
-    a, b = grams[at], grams[at + q]
+def string_buckets(grams: np.ndarray, at: np.ndarray, later: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets at the suffix and some bytes later, and the refined bucket made of both."""
+    a, b = grams[at], grams[at + later]
     return a, b, mix(a * U(BASE) + b)
 
 
@@ -178,7 +199,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
     """FOUND rows of kind REPEATED: byte ranges whose every string of ``length`` also starts in a smaller document."""
     spark = keyed.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    q = length // 2
+    q = (length + 1) // 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (doc, row, raw, offsets, *_) in enumerate(text_batches(batches)):
@@ -197,11 +218,11 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
 
     def deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (doc, row, raw, offsets, batch, lo, hi) in enumerate(text_batches(batches)):
-            grams = window_hashes(raw, q)
+            grams = buckets_at(raw, q)
             parts = []
             for i, ranges in enumerate(batch.column(3).slice(lo, hi - lo).to_pylist()):
                 at = np.unique(np.concatenate([np.arange(r["start"], r["stop"]) for r in ranges]))
-                a, b, _ = string_buckets(grams, at + offsets[i], q)
+                a, b, _ = string_buckets(grams, at + offsets[i], length - q)
                 parts.append(packed_records(a, b, doc[i], row[i], at, np.ones(len(at))))
             if parts:
                 yield messages(np.concatenate(parts), buckets, 7919 * k)
@@ -216,18 +237,20 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row.
 
-    Each byte goes that is covered by a string of ``length`` bytes (an even number) that also starts in a
+    Each byte goes that is covered by a string of ``length`` bytes (2 or more) that also starts in a
     document with a smaller id; strings are judged on the input. A null text is empty; null ids are larger than
     all others and not smaller than each other; rows with one id don't remove from each other; other columns
     are ignored; no rows give no rows. ``kept`` has the remaining bytes.
     """
+    if length < 2:
+        raise ValueError("strings of 2 bytes or more are sought")
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     # Only where ids repeat does a row need more than its id to be told from others.
     unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     row = F.lit(0).cast("long") if unique else F.xxhash64(text)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), row.alias("row"), text.alias("text"))
-    spans = repeated_spans(keyed, length).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), row.alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("id"))
+    spans = repeated_spans(keyed.drop("id"), length).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,11 +268,11 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                         removed += r[1] - stop
                         stop = at = r[1]
                 kept = b"".join([*kept, raw[at:]])
-                rows.append((None if doc_id == NO_ID else doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=[c.split()[0] for c in schema.split(", ")])
 
-    return map_batches(keyed.join(spans, ["doc_id", "row"], "left").select("doc_id", "row", "text", "ranges"), cut, schema)
+    return map_batches(keyed.join(spans, ["doc_id", "row"], "left").select("id", "row", "text", "ranges"), cut, schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
