@@ -2,9 +2,9 @@
 
 Each input partition packs its own documents, in groups of bounded size, so nothing is shuffled and no task
 grows with the corpus. In a group, the sequences are laid out first: as many of full length as the tokens
-fill, then one for each power of two in what is left, so that no sequence needs padding. Documents are then
-taken in descending length, and each goes to the sequence with the lowest estimated cost (linear plus
-quadratic attention cost of what it holds) that has room for it; a document that fits nowhere whole is cut.
+fill and a few more, then one for each power of two in what is left. Documents are then taken in descending
+length, and each goes to the sequence with the lowest estimated cost (linear plus quadratic attention cost of
+what it holds) among all that have room for it; a document that fits nowhere whole is cut.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from .common import documents, id_and_text, map_batches
 from .tokenizing import encoder, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Share of sequences beyond those that the tokens fill; so much padding there is at most.
+SLACK = 0.005
 NAMES = SCHEMA.replace(" long", "").split(", ")
 
 
@@ -28,54 +31,64 @@ def attention_cost(tokens: int, linear: float, quadratic: float) -> float:
     return tokens * (linear + quadratic * tokens)
 
 
-def sequence_lengths(tokens: int, capacity: int) -> list[int]:
+def sequence_lengths(tokens: int, capacity: int, slack: float) -> list[int]:
     full, rest = divmod(tokens, capacity)
-    return [capacity] * full + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+    return [capacity] * (full + round(slack * full)) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1 / 4096, tries: int = 16) -> list[tuple[int, int, int, int, int]]:
+class Rooms:
+    """Sequences by the room that they have left, each room's in order of cost."""
+
+    def __init__(self, capacity: int):
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.lowest = np.full(capacity + 1, np.inf)
+
+    def put(self, room: int, cost: float, sequence: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        self.lowest[room] = self.heaps[room][0][0]
+
+    def take(self, want: int) -> tuple[int, float, int]:
+        """(room, cost, sequence) of the cheapest with ``want`` room or more, of equal ones the fullest; of none, of the one with the most room."""
+        room = want + int(self.lowest[want:].argmin())
+        if not self.heaps[room]:
+            room = int(np.flatnonzero(np.isfinite(self.lowest))[-1])
+        cost, sequence = heapq.heappop(self.heaps[room])
+        self.lowest[room] = self.heaps[room][0][0] if self.heaps[room] else np.inf
+        return room, cost, sequence
+
+
+def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1 / 4096, slack: float = SLACK) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of the given lengths.
 
-    Every token lies in one piece, and every sequence is filled from 0 to its length: ``capacity``, or a
-    smaller power of two. ``tries``: so many of the cheapest sequences are looked at before a cut. Equal
-    lengths keep their order. Documents of no tokens get no piece.
+    Every token lies in one piece, and sequences are filled from 0 without gaps. There are ``slack`` more full
+    sequences than tokens fill, so that few documents that fit into one are cut: only those that no sequence has
+    room for. The rest beyond the full ones has sequences of smaller powers of two. Equal lengths keep their
+    order. Documents of no tokens get no piece.
     """
-    room = sequence_lengths(sum(lengths), capacity)
-    used = [0] * len(room)
-    heap = [(0.0, -size, k) for k, size in enumerate(room)]
-    heapq.heapify(heap)
-    out = []
+    size = sequence_lengths(sum(lengths), capacity, slack)
+    used, rooms, out = [0] * len(size), Rooms(capacity), []
+    for k, room in enumerate(size):
+        rooms.put(room, 0.0, k)
     for doc in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         start, left = 0, lengths[doc]
         while left:
-            want, aside, found = min(left, capacity), [], None
-            while heap and len(aside) < tries:
-                item = heapq.heappop(heap)
-                if room[item[2]] >= want:
-                    found = item
-                    break
-                aside.append(item)
-            if found is None:
-                found = aside.pop(max(range(len(aside)), key=lambda i: room[aside[i][2]]))
-            for item in aside:
-                heapq.heappush(heap, item)
-            cost, _, k = found
-            size = min(want, room[k])
-            out.append((doc, start, size, k, used[k]))
-            used[k] += size
-            room[k] -= size
-            start, left = start + size, left - size
-            if room[k]:
-                heapq.heappush(heap, (cost + attention_cost(size, linear, quadratic), -room[k], k))
+            room, cost, k = rooms.take(min(left, capacity))
+            n = min(left, room)
+            out.append((doc, start, n, k, used[k]))
+            used[k] += n
+            start, left = start + n, left - n
+            if room > n:
+                rooms.put(room - n, cost + attention_cost(n, linear, quadratic), k)
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, group_tokens: int = 4_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, group_tokens: int = 16_000_000) -> DataFrame:
     """Pieces of all documents: their ids by ``tokenizer`` and ``end_id``, dealt to sequences of ``capacity``.
 
     A null or empty text has only the end id. Repeated rows are packed as often as they occur; null ids are
     kept; other columns are ignored; no rows give no rows. ``sequence_id`` is unique in the result: the
-    partition's number times 2**32 plus a count.
+    partition's number times 2**32 plus a count. A partition of more than ``group_tokens`` is packed in groups of
+    that many, which bounds the memory of a task; descending order holds in a group.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +109,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
                 held += len(got) // 4
                 if held >= group_tokens:
                     yield flush(first)
-                    first += len(sequence_lengths(held, capacity))
+                    first += len(sequence_lengths(held, capacity, SLACK))
                     names, ids, held = [], [], 0
         if ids:
             yield flush(first)
