@@ -45,41 +45,30 @@ class Unigram:
         self.known = Remembered(self.viterbi, 500_000)
 
     def viterbi(self, unit: str) -> int:
-        """Tokens of a string whose blanks are already marks."""
+        """Tokens of a string whose blanks are already marks: with the best score that ends at a character goes the count of its pieces."""
         n = len(unit)
-        best, count, step = [0.0] + [None] * n, [0] * (n + 1), [0] * (n + 1)
-        single = [False] * (n + 1)
-        at = 0
+        best, count, single, at = [0.0] + [None] * n, [0] * (n + 1), [False] * (n + 1), 0
 
         def unknown_at(end: int) -> None:
             if not single[end]:
                 score = best[end - 1] + self.unknown
                 if best[end] is None or score > best[end]:
-                    best[end], step[end] = score, -1
+                    best[end], count[end] = score, count[end - 1] + len(unit[end - 1].encode())
 
         for last, (size, score) in self.automaton.iter(unit):
             end = last + 1
-            while at < end - 1:
+            while at < end - 1:  # what ends before is settled by now
                 at += 1
                 unknown_at(at)
             if size == 1:
                 single[end] = True
             total = best[end - size] + score
             if best[end] is None or total > best[end]:
-                best[end], step[end] = total, size
+                best[end], count[end] = total, count[end - size] + 1
         while at < n:
             at += 1
             unknown_at(at)
-        end = n
-        total = 0
-        while end:
-            if step[end] > 0:
-                total += 1
-                end -= step[end]
-            else:
-                total += len(unit[end - 1].encode())
-                end -= 1
-        return total
+        return count[n]
 
     def tokens(self, text: str) -> int:
         """Blanks become marks, and a text that isn't empty gets one in front."""

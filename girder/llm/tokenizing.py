@@ -26,8 +26,8 @@ SPLITS = {
 }
 #: A text with none of these splits at its single blanks.
 DOUBLE = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
-#: Units, and strings to merge, that a worker remembers; then it starts anew.
-UNITS, STRINGS = 500_000, 500_000
+#: Units, and strings to merge, that a worker remembers; then it starts anew. Longer ones it forgets at once.
+UNITS, STRINGS, LONGEST = 500_000, 500_000, 64
 
 
 def vocabulary(name: str, folder: str | None = None) -> str:
@@ -47,9 +47,11 @@ class Remembered(dict):
         self.encode, self.most = encode, most
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self[unit] = self.encode(unit)
+        ids = self.encode(unit)
+        if len(unit) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[unit] = ids
         return ids
 
 
