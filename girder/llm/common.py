@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,15 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+def put(path: str, data: bytes) -> None:
+    """Write under another name, then rename: a task that is repeated leaves a whole file."""
+    store, at = fs.FileSystem.from_uri(path)
+    own = f"{at}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(own) as f:
+        f.write(data)
+    store.move(own, at)
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete the files behind a DataFrame made by saved(), when nothing reads it any more."""
     spark = df.sparkSession

@@ -9,8 +9,9 @@ a candidate can still reach it.
 
 Shards score with the same global statistics, so their best merge exactly. A query's floor is the k-th best score
 that it has so far. It begins in the shards of one partition and then meets as many again in each round, so that a shard
-returns few rows that another one beats, however many shards there are. Queries lie in the shared folder, from
-where the tasks of a round read those that visit them; they don't pass the driver and are not shuffled to each shard.
+returns few rows that another one beats, however many shards there are. Shards and queries lie in the shared
+folder, from where the tasks of a round read a shard and the queries that visit it; they don't pass the driver and
+are not shuffled to each other.
 """
 
 from __future__ import annotations
@@ -25,17 +26,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, map_batches, new_dir, pieces, saved, text_bytes
+from .common import documents, id_and_text, map_batches, new_dir, pieces, put, saved, text_bytes
 from .hashing import U, word_hashes, words
 
 K1, B = 1.2, 0.75
 #: Documents and postings of a shard, at most (a single document can have more postings).
-SHARD_DOCS, SHARD_POSTINGS = 4096, 1_500_000
+SHARD_DOCS, SHARD_POSTINGS = 8192, 3_000_000
 BLOCK = 64
 #: Letters, digits and all bytes of characters beyond ASCII make terms.
 IS_TERM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
-ARRAYS = {"ids": "<i8", "known": "?", "lengths": "<i8", "terms": "<u8", "first": "<i8", "block": "<i4", "start": "<i8", "docs": "<i4", "tf": "<i4"}
-INDEX = "node long, n_docs long, n_terms long, " + ", ".join(f"{name} binary" for name in ARRAYS)
+#: What a shard's file has: of documents, of terms, of the terms' blocks, of their postings.
+ARRAYS = {"ids": "<i8", "known": "?", "lengths": "<i8", "terms": "<u8", "n_blocks": "<u2", "block": "<u2", "n_docs": "u1", "docs": "<u2", "tf": "<u4"}
+MANIFEST = "node long, path string, n_docs long, n_terms long"
 
 
 def term_counts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -70,7 +72,8 @@ def like_together(doc: np.ndarray, term: np.ndarray, lengths: np.ndarray) -> np.
     return place
 
 
-def shard_row(node: int, ids: list, held: list) -> pa.RecordBatch:
+def shard_file(ids: list, held: list) -> bytes:
+    """An Arrow file with the arrays of a shard of documents, given their term_counts."""
     lengths, sizes = np.array([n for *_, n in held], np.int64), [len(t) for t, _, _ in held]
     term, tf = np.concatenate([t for t, _, _ in held]), np.concatenate([c for _, c, _ in held])
     doc = np.repeat(np.arange(len(held)), sizes)
@@ -79,43 +82,69 @@ def shard_row(node: int, ids: list, held: list) -> pa.RecordBatch:
     order = np.argsort(place[doc], kind="stable")
     order = order[np.argsort(term[order], kind="stable")]
     term, doc, tf = term[order], place[doc][order], tf[order]
-    terms = term[starts_of(term)[:-1]] if len(term) else term
+    cuts = starts_of(term) if len(term) else np.zeros(1, np.int64)
     # A posting's block and term in one number, so that its runs are the blocks of the terms.
-    runs = starts_of(np.searchsorted(terms, term) * (len(held) // BLOCK + 1) + doc // BLOCK) if len(term) else np.zeros(1, np.int64)
+    both = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)) * (len(held) // BLOCK + 1) + doc // BLOCK
+    runs = starts_of(both) if len(term) else cuts
     back = np.argsort(place)
     known = np.array([i is not None for i in ids])
     arrays = {
         "ids": np.array([i or 0 for i in ids])[back],
         "known": known[back],
         "lengths": lengths[back],
-        "terms": terms,
-        "first": np.searchsorted(runs, starts_of(term)) if len(term) else np.zeros(1, np.int64),
+        "terms": term[cuts[:-1]],
+        "n_blocks": np.diff(np.searchsorted(runs, cuts)),
         "block": doc[runs[:-1]] // BLOCK,
-        "start": runs,
+        "n_docs": np.diff(runs),
         "docs": doc,
         "tf": tf,
     }
-    row = [pa.array([x], pa.int64()) for x in (node, len(held), int(lengths.sum()))] + [pa.array([arrays[a].astype(k).tobytes()], pa.binary()) for a, k in ARRAYS.items()]
-    return pa.RecordBatch.from_arrays(row, names=[c.split()[0] for c in INDEX.split(", ")])
+    row = pa.RecordBatch.from_pydict({name: pa.array([arrays[name].astype(kind).tobytes()], pa.binary()) for name, kind in ARRAYS.items()})
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_file(out, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+        f.write_batch(row)
+    return out.getvalue().to_pybytes()
+
+
+def read_shard(path: str) -> dict[str, np.ndarray]:
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_file(at) as f:
+        row = pa.ipc.open_file(f).get_batch(0)
+    return {name: np.frombuffer(row.column(name)[0].as_buffer(), kind) for name, kind in ARRAYS.items()}
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """Shards of the rows of each input partition, whose number is their node: nothing is shuffled."""
+    """A row (node, path, n_docs, n_terms) for each shard: files of the rows of each input partition, whose number is their node. Nothing is shuffled."""
+    spark = docs.sparkSession
+    folder = new_dir(spark, "index")
+    store, at = fs.FileSystem.from_uri(folder)
+    store.create_dir(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, ids, held, postings = TaskContext.get().partitionId(), [], [], 0
+        node, ids, held, postings, rows = TaskContext.get().partitionId(), [], [], 0, []
+
+        def close() -> None:
+            path = f"{folder}/shard-{node:08d}-{len(rows):06d}.arrow"
+            put(path, shard_file(ids, held))
+            rows.append((node, path, len(held), sum(n for *_, n in held)))
+
         for batch in batches:
             for doc_id, counts in zip(batch.column(0).to_pylist(), term_counts(batch.column(1)), strict=True):
                 ids.append(doc_id)
                 held.append(counts)
                 postings += len(counts[0])
                 if len(held) == SHARD_DOCS or postings >= SHARD_POSTINGS:
-                    yield shard_row(node, ids, held)
+                    close()
                     ids, held, postings = [], [], 0
         if held:
-            yield shard_row(node, ids, held)
+            close()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["node", "path", "n_docs", "n_terms"])
 
-    return saved(map_batches(docs, run, INDEX), "index")
+    manifest = saved(map_batches(docs, run, MANIFEST), "manifest")
+    number = F.row_number().over(Window.orderBy("path")) - 1  # one row a shard
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.withColumn("part", F.pmod(number, F.lit(parts))).repartitionById(parts, "part").drop("part")
 
 
 def spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,12 +161,13 @@ def joined(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[n
 class Shard:
     """One shard with impacts by global statistics."""
 
-    def __init__(self, row: dict, average: float):
-        """``row`` has the arrays' bytes by name."""
-        for name, kind in ARRAYS.items():
-            setattr(self, name, np.frombuffer(row[name], kind))
-        norm = K1 * (1 - B + B * self.lengths / average)
-        self.impact = self.tf * (K1 + 1) / (self.tf + norm[self.docs])
+    def __init__(self, path: str, average: float):
+        arrays = read_shard(path)
+        self.ids, self.known, self.lengths, self.terms = (arrays[a] for a in ("ids", "known", "lengths", "terms"))
+        self.first, self.start = (np.concatenate([[0], np.cumsum(arrays[a], dtype=np.int64)]) for a in ("n_blocks", "n_docs"))
+        self.block, self.docs = arrays["block"].astype(np.int64), arrays["docs"].astype(np.int64)
+        tf, norm = arrays["tf"].astype(np.float64), K1 * (1 - B + B * self.lengths / average)
+        self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
         some = len(self.docs) > 0
         self.largest = np.maximum.reduceat(self.impact, self.start[:-1]) if some else np.zeros(0)
         self.most = np.maximum.reduceat(self.largest, self.first[:-1]) if some else np.zeros(0)
@@ -208,14 +238,15 @@ def query_table(queries: DataFrame, index: DataFrame, nodes: int, n_docs: int) -
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for terms, first, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                first, start = np.frombuffer(first, "<i8"), np.frombuffer(start, "<i8")
-                terms, df = np.frombuffer(terms, "<i8"), np.diff(start[first])
+            for path in batch.column(0).to_pylist():
+                arrays = read_shard(path)
+                first, start = (np.concatenate([[0], np.cumsum(arrays[a], dtype=np.int64)]) for a in ("n_blocks", "n_docs"))
+                terms, df = arrays["terms"].view(np.int64), np.diff(start[first])
                 for lo in range(0, len(terms), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(terms[lo : lo + (1 << 16)]), pa.array(df[lo : lo + (1 << 16)])], names=["term", "df"])
 
     known = saved(map_batches(queries, run, "query long, query_id long, terms array<long>, counts array<long>"), "queries")
-    df = map_batches(index.select("terms", "first", "start"), frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    df = map_batches(index.select("path"), frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     words = known.select("query", "query_id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("query", "query_id", F.col("t.terms").alias("term"), F.col("t.counts").alias("times"))
     weight = F.col("times") * F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     told = words.join(df, "term").groupBy("query", "query_id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
@@ -250,8 +281,8 @@ def found_by(index: DataFrame, asked: str, floors: str | None, stage: int, avera
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, node in enumerate(batch.column(0).to_pylist()):
-                shard, (lo, hi) = Shard({a: batch.column(a)[i].as_buffer() for a in ARRAYS}, average), visitors(node, stage)
+            for node, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shard, (lo, hi) = Shard(path, average), visitors(node, stage)
                 if not len(shard.terms):
                     continue
                 least = floors_of(floors, lo, hi)

@@ -18,7 +18,6 @@ from __future__ import annotations
 import bisect
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_and_text, map_batches, new_dir, saved
+from .common import documents, id_and_text, map_batches, new_dir, put, saved
 from .tokenizing import encoder, vocabulary
 
 MAGIC = b"GIRDSST1"
@@ -167,15 +166,6 @@ class Reader:
         return None
 
 
-def put(path: str, data: bytes) -> None:
-    """Write under another name, then rename: a task that is repeated leaves a whole file."""
-    store, at = fs.FileSystem.from_uri(path)
-    own = f"{at}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(own) as f:
-        f.write(data)
-    store.move(own, at)
-
-
 def write_shards(docs: DataFrame, folder: str, encode: Callable[[], Callable[[str], bytes]], width: int, end_id: int) -> DataFrame:
     """Write all documents in ascending id order; (shard, path, n_docs, n_tokens), a row per shard, shards in key order.
 
