@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Revision words that mark a file as replaced, and document classes with their words.
-SUPERSEDED = r"(?i)(^|[^a-z])(superseded|obsolete|old|void)([^a-z]|$)"
-DOC_TYPES = {"contract": "contract|agreement|clause", "schedule": "schedule|programme|milestone", "drawing": "drawing|elevation|section", "report": "report|summary|review"}
-
-
 def tokens(text: Column, least: int = 1) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: F.length(x) >= least)
 
@@ -35,20 +30,6 @@ def revision_rank(token: Column) -> Column:
     )
 
 
-def number(text: Column) -> Column:
-    """Money or quantity written with thousands commas; null where it is none."""
-    return F.regexp_replace(text, "[^0-9.eE+-]", "").try_cast("double")
-
-
-def unit(text: Column) -> Column:
-    """Canonical unit of measure; unknown ones stay in lower case."""
-    # Spellings of units.
-    known = {"sqm": "m2", "m²": "m2", "mq": "m2", "cum": "m3", "m³": "m3", "nos": "no", "ea": "no", "each": "no", "lump sum": "ls", "kgs": "kg", "tonne": "t", "rm": "m", "lm": "m"}
-    low = F.lower(F.trim(text))
-    pairs = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    return F.coalesce(F.element_at(pairs, low), low)
-
-
 def scrub(text: Column, terms: list[str], mark: str = "[X]") -> Column:
     """Each term replaced by ``mark``, longest first."""
     for term in sorted(terms, key=lambda x: (-len(x), x)):

@@ -31,10 +31,45 @@ def merge_lines(lines: DataFrame, description: str, quantity: str, total: str, o
     )
 
 
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], count: str | None = None, least: int = 1) -> DataFrame:
+    """Interpolated quantiles of each group, exactly, and n; ``shares`` tells which by name. Null values don't count but in ``count="*"``.
+
+    Values are counted per group first, so that what meets are distinct values and their counts. A sort within ranges
+    of each group then finds the two values around each place: no task holds all values of a large group.
+    """
+    keys = [F.col(c).alias(f"__{c}") for c in by]
+    counted = rows.groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__k"))
+    sizes = counted.groupBy(*(f"__{c}" for c in by)).agg(
+        F.sum(F.when(F.col("__v").isNotNull(), F.col("__k"))).alias("__n"), F.sum("__k").alias("__all"), F.min("__v").alias("__low"), F.max("__v").alias("__high")
+    )
+    buckets = 64
+    same = lambda a, b: [F.col(f"{a}.__{c}").eqNullSafe(F.col(f"{b}.__{c}")) for c in by]
+    width = (F.col("s.__high") - F.col("s.__low")) / buckets
+    part = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("c.__v") - F.col("s.__low")) / width))).otherwise(0)
+    placed = counted.where("__v IS NOT NULL").alias("c").join(sizes.alias("s"), same("c", "s")).select("c.*", "s.__n", part.alias("__part"))
+    groups = [f"__{c}" for c in by]
+    parts = placed.groupBy(*groups, "__part").agg(F.sum("__k").alias("__of"))
+    before = F.coalesce(F.sum("__of").over(Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.withColumn("__before", before)  # at most ``buckets`` rows a group
+    running = F.sum("__k").over(Window.partitionBy(*(f"c.{g}" for g in groups), "c.__part").orderBy("c.__v"))
+    ranked = placed.alias("c").join(offsets.alias("s"), [*same("c", "s"), F.col("c.__part") == F.col("s.__part")]).select("c.*", (running + F.col("s.__before")).alias("__upto"))
+    picks = []
+    for name, share in shares.items():
+        at = (F.col("__n") - 1) * F.lit(float(share))
+        pick = lambda place: F.min(F.when(F.col("__upto") > place, F.col("__v")))
+        low, high = pick(F.floor(at)), pick(F.ceil(at))
+        weight = F.max(at - F.floor(at))
+        picks.append((low + (high - low) * weight).alias(name))
+    found = ranked.groupBy(*groups).agg(*picks)
+    joined = sizes.alias("s").join(found.alias("f"), same("s", "f"), "left")
+    n = F.col("s.__all") if count == "*" else F.coalesce("s.__n", F.lit(0))
+    out = joined.where(n >= least).select(*(F.col(f"s.__{c}").alias(c) for c in by), n.alias("n"), *(F.col(f"f.{name}") for name in shares), F.col("s.__low").alias("low"), F.col("s.__high").alias("high"))
+    return out if count is None else out.drop("low", "high")
+
+
 def unit_rates(lines: DataFrame, by: list[str], rate: str, least: int = 2) -> DataFrame:
     """n, median, quartiles, lowest and highest rate of each group with ``least`` rates or more."""
-    stats = [F.percentile(rate, F.lit(p)).alias(name) for p, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]
-    return lines.groupBy(*by).agg(F.count(rate).alias("n"), *stats, F.min(rate).alias("low"), F.max(rate).alias("high")).where(F.col("n") >= least)
+    return exact_quantiles(lines, by, rate, {"p25": 0.25, "median": 0.5, "p75": 0.75}, least=least)
 
 
 def tiered_price(lines: DataFrame, exact: DataFrame, by_category: DataFrame, by_section: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 """Operators bound to tables; importing a module registers its queries."""
 
-from . import boq, commercial, integrity, schedule, structure, texts, windows  # noqa: F401
+from . import boq, commercial, integrity, schedule, structure, texts, windows, works  # noqa: F401

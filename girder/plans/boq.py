@@ -115,7 +115,7 @@ def rate_card_grouping_sets(t: Tables) -> DataFrame:
     CASE WHEN y.category IS NULL THEN 'left' WHEN x.category IS NULL THEN 'right' ELSE 'both' END AS side FROM x FULL JOIN y ON x.category = y.category""",
 )
 def rate_card_reconcile(t: Tables) -> DataFrame:
-    rate = lambda cond, name: lines(t).where(cond).groupBy("category").agg(F.median("unit_cost").alias(name))
+    rate = lambda cond, name: boq.exact_quantiles(lines(t).where(cond), ["category"], "unit_cost", {name: 0.5}, count="*")
     x, y = rate("order_id % 2 = 0", "rate_a").alias("x"), rate("order_id % 3 = 0", "rate_b").alias("y")
     side = F.when(F.col("y.category").isNull(), "left").when(F.col("x.category").isNull(), "right").otherwise("both")
     both = x.join(y, F.col("x.category") == F.col("y.category"), "full")
@@ -131,7 +131,7 @@ WHEN s.rate IS NOT NULL THEN 'section' ELSE 'no rate' END AS rate_source FROM {L
 
 def priced(t: Tables) -> DataFrame:
     all_lines = lines(t)
-    card = lambda by, least, of: of.groupBy(*by).agg(F.count("*").alias("k"), F.median("unit_cost").alias("rate")).where(F.col("k") >= least).drop("k")
+    card = lambda by, least, of: boq.exact_quantiles(of, by, "unit_cost", {"rate": 0.5}, count="*", least=least).drop("n")
     return boq.tiered_price(all_lines, card(["section", "category"], 8, all_lines), card(["category"], 200, all_lines), card(["section"], 1, all_lines.where("section <> 'Brand#11'")))
 
 
@@ -156,7 +156,7 @@ def priced_summary(t: Tables) -> DataFrame:
     FROM {LINES} JOIN b USING (category)""",
 )
 def variance_vs_benchmark(t: Tables) -> DataFrame:
-    bench = lines(t).groupBy("category").agg(F.median("unit_cost").alias("expected")).where("expected > 0")
+    bench = boq.exact_quantiles(lines(t), ["category"], "unit_cost", {"expected": 0.5}, count="*").drop("n").where("expected > 0")
     percent = boq.variance(F.col("unit_cost"), F.col("expected"))
     return lines(t).join(bench, "category").select("order_id", "line_no", percent.alias("variance_pct"), boq.severity(percent, 20).alias("severity"))
 
