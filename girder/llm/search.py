@@ -1,11 +1,11 @@
 """Exact BM25 top-k over sharded inverted indexes with block-max WAND pruning.
 
 A shard holds some thousand documents, like ones side by side. A term's postings are cut at blocks of
-neighbouring documents, each with the largest impact in it. With a floor that a score must reach, a query's terms
-are ordered by the most that each can add; those before the pivot can't reach the floor together, so only
-documents with a term from the pivot on are candidates. Blocks whose largest impacts sum up to less than the
-floor are skipped with all their postings, and the terms before the pivot are read only in blocks where
-a candidate can still reach it.
+neighbouring documents, each with the largest impact in it; the commonest terms keep theirs as columns of a matrix.
+A query has a floor, which a document's score must reach. Many queries meet a shard at once: the largest impacts of
+all their terms are summed up for each block, and blocks that stay below a query's floor are skipped for it
+with all their postings. So each block is opened only for the queries that may find something in it. There scores
+are first summed in 32 bits, and what may be among the k best within their error is scored exactly.
 
 Shards score with the same global statistics, so their best merge exactly. A query's floor is the k-th best score
 that it has so far. It begins in the shards of one partition and then meets as many again in each round, so that a shard
@@ -33,6 +33,12 @@ K1, B = 1.2, 0.75
 #: Documents and postings of a shard, at most (a single document can have more postings).
 SHARD_DOCS, SHARD_POSTINGS = 8192, 3_000_000
 BLOCK = 64
+#: A term in more than this share of a shard's documents is common.
+COMMON = 1 / 16
+#: Queries that meet a shard at once.
+QUERIES = 48
+#: Relative error that sums of 32-bit numbers are allowed; what may lie within it is scored exactly.
+SLACK = 1e-4
 #: Letters, digits and all bytes of characters beyond ASCII make terms.
 IS_TERM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 #: What a shard's file has: of documents, of terms, of the terms' blocks, of their postings.
@@ -153,76 +159,73 @@ def spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()), sizes
 
 
-def joined(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the values of the ranges one after the other, the ranges' sizes)."""
-    return np.concatenate([values[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)] or [values[:0]]), stops - starts
-
-
 class Shard:
-    """One shard with impacts by global statistics."""
+    """One shard with impacts by global statistics. Terms in over COMMON of its documents have a column of a matrix, zeros included, instead of postings."""
 
     def __init__(self, path: str, average: float):
         arrays = read_shard(path)
-        self.ids, self.known, self.lengths, self.terms = (arrays[a] for a in ("ids", "known", "lengths", "terms"))
-        self.first, self.start = (np.concatenate([[0], np.cumsum(arrays[a], dtype=np.int64)]) for a in ("n_blocks", "n_docs"))
-        self.block, self.docs = arrays["block"].astype(np.int64), arrays["docs"].astype(np.int64)
-        tf, norm = arrays["tf"].astype(np.float64), K1 * (1 - B + B * self.lengths / average)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
-        some = len(self.docs) > 0
-        self.largest = np.maximum.reduceat(self.impact, self.start[:-1]) if some else np.zeros(0)
-        self.most = np.maximum.reduceat(self.largest, self.first[:-1]) if some else np.zeros(0)
-        self.n, self.blocks = len(self.lengths), len(self.lengths) // BLOCK + 1
-
-    def bounds(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The most that terms can add to a document of each block."""
-        block, sizes = joined(self.block, self.first[at], self.first[at + 1])
-        largest, _ = joined(self.largest, self.first[at], self.first[at + 1])
-        return np.bincount(block, weights=largest * np.repeat(weights, sizes), minlength=self.blocks)
-
-    def added(self, at: np.ndarray, weights: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """What terms add to each document of the live blocks, at least; other blocks' postings are skipped where that saves work."""
-        first, stop = self.first[at], self.first[at + 1]
-        if 2 * np.count_nonzero(live) > len(live):
-            docs, sizes = joined(self.docs, self.start[first], self.start[stop])
-            impact, _ = joined(self.impact, self.start[first], self.start[stop])
-        else:
-            own, sizes = spans(first, stop)
-            keep = live[self.block[own]]
-            own, weights = own[keep], np.repeat(weights, sizes)[keep]
-            postings, sizes = spans(self.start[own], self.start[own + 1])
-            docs, impact = self.docs[postings], self.impact[postings]
-        return np.bincount(docs, weights=impact * np.repeat(weights, sizes), minlength=self.n)
-
-    def search(self, at: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best that reach ``floor``, for terms at these places of the dictionary; ties go to smaller ids."""
-        nothing = np.zeros(0, np.int64), np.zeros(0)
-        low = floor * (1 - 1e-9) - 2e-6  # for sums in another order, and rounding
-        most = weights * self.most[at]
-        if not len(at) or most.sum() < low:
-            return nothing
-        order = np.argsort(most, kind="stable")
-        pivot = int(np.searchsorted(np.cumsum(most[order]), low)) if low > 0 else 0
-        before, after = order[:pivot], order[pivot:]
-        rest = self.bounds(at[before], weights[before])
-        live = self.bounds(at[after], weights[after]) + rest >= low
-        if not live.any():
-            return nothing
-        score = self.added(at[after], weights[after], live)
-        able = np.flatnonzero((score > 0) & (score + np.repeat(rest, BLOCK)[: self.n] >= low) & np.repeat(live, BLOCK)[: self.n])
-        if not len(able):
-            return nothing
-        if pivot:
-            live = np.zeros(self.blocks, bool)
-            live[able // BLOCK] = True
-            score = score + self.added(at[before], weights[before], live)
-        total = np.round(score[able], 6)  # equal texts score alike in any order of sums
-        good = (total > 0) & (total >= floor)
-        able, total = able[good], total[good]
-        if len(able) > k:
-            good = total >= np.partition(total, -k)[-k]
-            able, total = able[good], total[good]
-        order = np.lexsort((self.ids[able], ~self.known[able], -total))[:k]
-        return able[order], total[order]
+        self.ids, self.known, lengths, self.terms = (arrays[a] for a in ("ids", "known", "lengths", "terms"))
+        self.n, self.blocks = len(lengths), len(lengths) // BLOCK + 1
+        self.norm = K1 * (1 - B + B * lengths / average)
+        first, start = (np.concatenate([[0], np.cumsum(arrays[a], dtype=np.int64)]) for a in ("n_blocks", "n_docs"))
+        docs, tf, block = arrays["docs"].astype(np.int64), arrays["tf"], arrays["block"].astype(np.int64)
+        df = np.diff(start[first])
+        common = np.flatnonzero(df > max(BLOCK, COMMON * self.n))
+        self.column = np.full(len(df), -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        self.times = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
+        for k, t in enumerate(common.tolist()):
+            lo, hi = start[first[t]], start[first[t + 1]]
+            self.times[docs[lo:hi], k] = tf[lo:hi]
+        norm = np.ones(self.blocks * BLOCK, np.float32)
+        norm[: self.n] = self.norm
+        self.dense = self.times * np.float32(K1 + 1) / (self.times + norm[:, None])
+        self.dense_most = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1)
+        self.first, self.start, self.docs, self.block = first, start, docs, block
+        self.impact = tf * (K1 + 1) / (tf + self.norm[docs])
+        self.most = np.maximum.reduceat(self.impact, start[:-1]) if len(docs) else np.zeros(0)
+
+    def search(self, query: np.ndarray, at: np.ndarray, weight: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, score) of the k best of each query that reach its floor, ties to smaller ids, for pairs of a query and a term's place in the dictionary."""
+        n, low = len(floor), floor * (1 - SLACK) - 2e-6  # for sums in another order or of 32 bits, and rounding
+        column = self.column[at]
+        wide = np.zeros((n, self.times.shape[1]))
+        wide[query[column >= 0], column[column >= 0]] = weight[column >= 0]
+        narrow = wide.astype(np.float32)
+        rare = column < 0
+        query, at, weight = query[rare], at[rare], weight[rare]
+        # What each block of documents can reach at most.
+        own, sizes = spans(self.first[at], self.first[at + 1])
+        of, weight = np.repeat(query, sizes), np.repeat(weight, sizes)
+        cell = of * self.blocks + self.block[own]
+        bound = np.bincount(cell, weights=self.most[own] * weight, minlength=n * self.blocks).reshape(n, -1) + narrow @ self.dense_most.T
+        live = bound * (1 + SLACK) >= low[:, None]
+        # Postings of live blocks only.
+        keep = live.ravel()[cell]
+        own, of, weight = own[keep], of[keep], weight[keep]
+        postings, sizes = spans(self.start[own], self.start[own + 1])
+        place = np.repeat(of * (self.blocks * BLOCK), sizes) + self.docs[postings]
+        score = np.bincount(place, weights=self.impact[postings] * np.repeat(weight, sizes), minlength=n * self.blocks * BLOCK).reshape(n, -1)
+        total = np.full(score.shape, -1.0, np.float32)
+        for b in np.flatnonzero(live.any(axis=0)).tolist():
+            asking, here = np.flatnonzero(live[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            total[asking, here] = score[asking, here] + narrow[asking] @ self.dense[here].T
+        # Nearly scored; those that may be among the k best are scored exactly.
+        width = total.shape[1]
+        best = np.partition(total, width - k, axis=1)[:, width - k] if width > k else np.zeros(n, np.float32)
+        query, place = np.nonzero((total > 0) & (total * (1 + SLACK) >= np.maximum(low, best * (1 - SLACK))[:, None]))
+        exact = np.empty(len(query))
+        for lo in range(0, len(query), 4096):
+            q, d = query[lo : lo + 4096], place[lo : lo + 4096]
+            tf = self.times[d].astype(np.float64)
+            exact[lo : lo + 4096] = score[q, d] + np.einsum("ij,ij->i", wide[q], tf * (K1 + 1) / (tf + self.norm[d][:, None]))
+        exact = np.round(exact, 6)  # equal texts score alike in any order of sums
+        good = (exact > 0) & (exact >= floor[query])
+        query, place, exact = query[good], place[good], exact[good]
+        order = np.lexsort((self.ids[place], ~self.known[place], -exact, query))
+        query, place, exact = query[order], place[order], exact[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        return query[rank < k], place[rank < k], exact[rank < k]
 
 
 def query_table(queries: DataFrame, index: DataFrame, nodes: int, n_docs: int) -> DataFrame:
@@ -249,7 +252,7 @@ def query_table(queries: DataFrame, index: DataFrame, nodes: int, n_docs: int) -
     df = map_batches(index.select("path"), frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     words = known.select("query", "query_id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("query", "query_id", F.col("t.terms").alias("term"), F.col("t.counts").alias("times"))
     weight = F.col("times") * F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    told = words.join(df, "term").groupBy("query", "query_id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
+    told = words.join(df.hint("merge"), "term").groupBy("query", "query_id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
     home = F.pmod(F.shiftright("query", 32), F.lit(nodes)).alias("home")
     return told.select(home, "query", "query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
 
@@ -266,7 +269,7 @@ def read_range(folder: str, columns: list[str], lo: int, hi: int) -> Iterator[pa
     """Rows with a home from lo to hi of a Parquet table in the shared folder."""
     store, at = fs.FileSystem.from_uri(folder)
     some = ds.dataset(at, filesystem=store, format="parquet")
-    yield from some.to_batches(columns=columns, filter=(ds.field("home") >= lo) & (ds.field("home") < hi), batch_size=500, batch_readahead=1, fragment_readahead=1, use_threads=False)
+    yield from some.to_batches(columns=columns, filter=(ds.field("home") >= lo) & (ds.field("home") < hi), batch_size=QUERIES, batch_readahead=1, fragment_readahead=1, use_threads=False)
 
 
 def floors_of(folder: str | None, lo: int, hi: int) -> dict[int, float]:
@@ -287,22 +290,18 @@ def found_by(index: DataFrame, asked: str, floors: str | None, stage: int, avera
                     continue
                 least = floors_of(floors, lo, hi)
                 for part in read_range(asked, ["home", "query", "query_id", "terms", "weights"], lo, hi):
-                    yield answers(shard, part, least, k)
+                    if part.num_rows:
+                        yield answers(shard, part, least, k)
 
     def answers(shard: Shard, part: pa.RecordBatch, least: dict[int, float], k: int) -> pa.RecordBatch:
         terms, weights = part.column(3).flatten().to_numpy().view(U), part.column(4).flatten().to_numpy()
-        ends = np.concatenate([[0], np.cumsum(np.diff(part.column(3).offsets.to_numpy()))])
+        query = np.repeat(np.arange(part.num_rows), np.diff(part.column(3).offsets.to_numpy()))
         at = np.minimum(np.searchsorted(shard.terms, terms), len(shard.terms) - 1)
         there = shard.terms[at] == terms
-        rows, docs, scores = [], [], []
-        for i, query in enumerate(part.column(1).to_pylist()):
-            own = there[ends[i] : ends[i + 1]]
-            places, total = shard.search(at[ends[i] : ends[i + 1]][own], weights[ends[i] : ends[i + 1]][own], k, least.get(query, 0.0))
-            rows += [i] * len(places)
-            docs += [d if known else None for d, known in zip(shard.ids[places].tolist(), shard.known[places].tolist(), strict=True)]
-            scores.append(total)
-        same = part.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
-        score = np.concatenate(scores) if scores else np.zeros(0)
+        floor = np.array([least.get(q, 0.0) for q in part.column(1).to_pylist()])
+        rows, places, score = shard.search(query[there], at[there], weights[there], floor, k)
+        docs = [d if known else None for d, known in zip(shard.ids[places].tolist(), shard.known[places].tolist(), strict=True)]
+        same = part.select([0, 1, 2]).take(pa.array(rows))
         return pa.RecordBatch.from_arrays([*same.columns, pa.array(docs, pa.int64()), pa.array(score)], names=["home", "query", "query_id", "doc_id", "score"])
 
     return map_batches(index, run, schema)
