@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing
-from ..operators import spatial
+from ..operators import corpus, spatial
 from ..registry import Tables, query
 from ..streaming import events as streams
 
@@ -100,16 +100,4 @@ def part_slugs(t: Tables) -> DataFrame:
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
 )
 def bm25_topk(t: Tables) -> DataFrame:
-    """Terms of no query are dropped before anything is shuffled but lengths and frequencies, which are partial sums."""
-    words = lambda df, key: df.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("term"))
-    asked = words(t.benchmark, "item_id").distinct()
-    tokens = words(t.documents, "doc_id")
-    lengths = tokens.groupBy("doc_id").agg(F.count("*").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
-    tf = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(stats.mean)))
-    scores = asked.join(tf, "term").join(df, "term").join(lengths, "doc_id").groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+    return corpus.bm25_top(t.documents, t.benchmark.withColumnRenamed("item_id", "query_id"), 10).withColumnRenamed("query_id", "item_id")
