@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,33 +25,45 @@ def sliding_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return docs.where(F.length("text") > 0).select("doc_id", F.explode(windows).alias("c")).select("doc_id", F.col("c.i").alias("chunk_index"), F.col("c.text").alias("text"))
 
 
-def normalised(vector: Column) -> Column:
-    """Unit vector as doubles; a zero vector stays."""
-    as_double = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(as_double, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(as_double, lambda x: F.when(norm == 0, x).otherwise(x / norm))
+BLOCK_ROWS = 2048
+
 
+def vector_blocks(vectors: DataFrame) -> DataFrame:
+    """(ids, matrix) of each BLOCK_ROWS vectors or fewer, normalised; nothing is shuffled. A zero vector stays."""
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(lo, BLOCK_ROWS)
+                rows = np.array(part.column(1).to_pylist(), np.float64)
+                norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+                rows = np.divide(rows, norm, out=rows.copy(), where=norm > 0)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([rows.tobytes()])], names=["ids", "matrix"])
+
+    return vectors.mapInArrow(run, "ids binary, matrix binary")
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank) of the ``k`` nearest vectors of each query in a stated query set."""
-    unit = vectors.select("vec_id", normalised(F.col("embedding")).alias("v"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), normalised(F.col("embedding")).alias("q"))
-    scored = unit.join(asked).select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    """(query_id, vec_id, score, rank) of the ``k`` nearest vectors of each query in a stated query set.
 
+    Blocks of queries meet blocks of vectors as matrices, and each two leave ``k`` rows a query.
+    """
 
-def reciprocal_rank_fusion(left: DataFrame, right: DataFrame, k: int, constant: int = 60) -> DataFrame:
-    """Both ranked lists (query_id, vec_id, rank) as one: sums of 1 / (constant + rank), a missing side adds 0."""
-    part = lambda rank: F.coalesce(1 / (constant + F.col(rank)), F.lit(0.0))
-    both = left.select("query_id", "vec_id", F.col("rank").alias("x")).join(right.select("query_id", "vec_id", F.col("rank").alias("y")), ["query_id", "vec_id"], "full")
-    fused = both.select("query_id", "vec_id", F.round(part("x") + part("y"), 9).alias("rrf"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "vec_id")).cast("long")
-    return fused.withColumn("rank", rank).where(F.col("rank") <= k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, matrix, asked, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, asked = np.frombuffer(ids, np.int64), np.frombuffer(asked, np.int64)
+                score = np.round(np.frombuffer(wanted).reshape(len(asked), -1) @ np.frombuffer(matrix).reshape(len(ids), -1).T, 6)
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                query = np.repeat(asked, order.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], names=["query_id", "vec_id", "score"])
+
+    asked = vector_blocks(queries.where("embedding IS NOT NULL").select("vec_id", "embedding")).toDF("asked", "wanted")
+    blocks = vector_blocks(vectors.where("embedding IS NOT NULL").select("vec_id", "embedding")).crossJoin(asked)
+    scored = blocks.mapInArrow(run, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def token_cap(ranked: DataFrame, cap: int) -> DataFrame:

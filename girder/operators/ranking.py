@@ -16,7 +16,18 @@ def rolling(by: list[str], order: list[str], last: int) -> Window:
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(-(last - 1), 0)
 
 
-def islands(rows: DataFrame, by: list[str], number: str) -> DataFrame:
-    """(first, last, n) of each run of consecutive numbers."""
-    key = F.col(number) - F.row_number().over(Window.partitionBy(*by).orderBy(number))
-    return rows.withColumn("__island", key).groupBy(*by, "__island").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n")).drop("__island")
+def islands(rows: DataFrame, by: list[str], number: str, width: int = 1 << 16) -> DataFrame:
+    """(first, last, n) of each run of consecutive numbers.
+
+    Runs are found in ranges of ``width`` numbers, so that a group with many rows is split; only runs that touch the end
+    of a range are then joined to each other.
+    """
+    cell = F.floor(F.col(number) / width)
+    key = F.col(number) - F.row_number().over(Window.partitionBy(*by, cell).orderBy(number))
+    runs = rows.withColumn("__cell", cell).withColumn("__run", key).groupBy(*by, "__cell", "__run").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n"))
+    touches = (F.col("first") == F.col("__cell") * width) | (F.col("last") == (F.col("__cell") + 1) * width - 1)
+    order = Window.partitionBy(*by).orderBy("first")  # two runs a range at most
+    new = F.coalesce((F.col("first") != F.lag("last").over(order) + 1).cast("int"), F.lit(1))
+    edges = runs.where(touches).withColumn("__new", new).withColumn("__chain", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stitched = edges.groupBy(*by, "__chain").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("__chain")
+    return runs.where(~touches).select(*by, "first", "last", "n").unionByName(stitched)

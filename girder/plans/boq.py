@@ -20,6 +20,7 @@ def lines(t: Tables) -> DataFrame:
         F.col("p_name").alias("description"),
         F.col("p_brand").alias("section"),
         F.col("p_type").alias("category"),
+        F.col("l_linestatus").alias("status"),
         F.col("l_quantity").alias("quantity"),
         F.try_divide("l_extendedprice", "l_quantity").alias("unit_cost"),
         F.col("l_extendedprice").cast(MONEY).alias("total_cost"),
@@ -27,7 +28,7 @@ def lines(t: Tables) -> DataFrame:
 
 
 LINES = """(SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS item_key, p_name AS description, p_brand AS section,
-  p_type AS category, l_quantity AS quantity, CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END AS unit_cost,
+  p_type AS category, l_linestatus AS status, l_quantity AS quantity, CASE WHEN l_quantity <> 0 THEN l_extendedprice / l_quantity END AS unit_cost,
   l_extendedprice::DECIMAL(38,4) AS total_cost FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
@@ -109,14 +110,15 @@ def rate_card_grouping_sets(t: Tables) -> DataFrame:
 
 @query(
     "rate_card_reconcile",
-    f"""WITH x AS (SELECT category, median(unit_cost) AS rate_a FROM {LINES} WHERE order_id % 2 = 0 GROUP BY 1),
-    y AS (SELECT category, median(unit_cost) AS rate_b FROM {LINES} WHERE order_id % 3 = 0 GROUP BY 1)
+    f"""WITH x AS (SELECT category, median(unit_cost) AS rate_a FROM {LINES} WHERE status = 'F' GROUP BY 1),
+    y AS (SELECT category, median(unit_cost) AS rate_b FROM {LINES} WHERE status <> 'F' GROUP BY 1)
     SELECT coalesce(x.category, y.category) AS category, rate_a, rate_b, (rate_b - rate_a) * 100 / rate_a AS diff_pct,
     CASE WHEN y.category IS NULL THEN 'left' WHEN x.category IS NULL THEN 'right' ELSE 'both' END AS side FROM x FULL JOIN y ON x.category = y.category""",
 )
 def rate_card_reconcile(t: Tables) -> DataFrame:
+    """The card of finished lines against that of open ones."""
     rate = lambda cond, name: boq.exact_quantiles(lines(t).where(cond), ["category"], "unit_cost", {name: 0.5}, count="*")
-    x, y = rate("order_id % 2 = 0", "rate_a").alias("x"), rate("order_id % 3 = 0", "rate_b").alias("y")
+    x, y = rate("status = 'F'", "rate_a").alias("x"), rate("status <> 'F'", "rate_b").alias("y")
     side = F.when(F.col("y.category").isNull(), "left").when(F.col("x.category").isNull(), "right").otherwise("both")
     both = x.join(y, F.col("x.category") == F.col("y.category"), "full")
     return both.select(F.coalesce("x.category", "y.category").alias("category"), "rate_a", "rate_b", boq.variance(F.col("rate_b"), F.col("rate_a")).alias("diff_pct"), side.alias("side"))
@@ -124,7 +126,7 @@ def rate_card_reconcile(t: Tables) -> DataFrame:
 
 TIERS = f"""e AS (SELECT section, category, median(unit_cost) AS rate FROM {LINES} GROUP BY ALL HAVING count(*) >= 8),
 c AS (SELECT category, median(unit_cost) AS rate FROM {LINES} GROUP BY ALL HAVING count(*) >= 200),
-s AS (SELECT section, median(unit_cost) AS rate FROM {LINES} WHERE section <> 'Brand#11' GROUP BY ALL),
+s AS (SELECT section, median(unit_cost) AS rate FROM {LINES} GROUP BY ALL),
 priced AS (SELECT l.*, coalesce(e.rate, c.rate, s.rate) AS rate, CASE WHEN e.rate IS NOT NULL THEN 'exact' WHEN c.rate IS NOT NULL THEN 'category'
 WHEN s.rate IS NOT NULL THEN 'section' ELSE 'no rate' END AS rate_source FROM {LINES} l LEFT JOIN e USING (section, category) LEFT JOIN c USING (category) LEFT JOIN s USING (section))"""
 
@@ -132,7 +134,7 @@ WHEN s.rate IS NOT NULL THEN 'section' ELSE 'no rate' END AS rate_source FROM {L
 def priced(t: Tables) -> DataFrame:
     all_lines = lines(t)
     card = lambda by, least, of: boq.exact_quantiles(of, by, "unit_cost", {"rate": 0.5}, count="*", least=least).drop("n")
-    return boq.tiered_price(all_lines, card(["section", "category"], 8, all_lines), card(["category"], 200, all_lines), card(["section"], 1, all_lines.where("section <> 'Brand#11'")))
+    return boq.tiered_price(all_lines, card(["section", "category"], 8, all_lines), card(["category"], 200, all_lines), card(["section"], 1, all_lines))
 
 
 @query("price_tiered_fallback", f"WITH {TIERS} SELECT order_id, line_no, rate, rate_source FROM priced")

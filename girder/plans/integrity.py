@@ -18,9 +18,10 @@ def docs_chunk_counts(t: Tables) -> DataFrame:
     return relations.child_counts(parents, children, "order_id", "n_lines")
 
 
-@query("dangling_labels", "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query("dangling_labels", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def dangling_labels(t: Tables) -> DataFrame:
-    return relations.dangling(t.labels.select("doc_id", "quality"), t.documents.where("lang = 'en'"), "doc_id")
+    """Documents that no label points to."""
+    return relations.dangling(t.documents.select("doc_id", "source"), t.labels, "doc_id")
 
 
 @query("existing_customers", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -54,14 +55,13 @@ def mismatch_summary(t: Tables) -> DataFrame:
     count(*) - count(DISTINCT sha256(text)) AS n_copies, count(*) FILTER (length(text) <> n_chars) AS n_wrong_length, count(DISTINCT lang) AS n_langs FROM documents""",
 )
 def corpus_counters(t: Tables) -> DataFrame:
-    return t.documents.agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("n_empty"),
-        (F.count("*") - F.countDistinct("doc_id")).alias("n_repeated_ids"),
-        (F.count("*") - F.countDistinct(F.sha2("text", 256))).alias("n_copies"),
-        F.count_if(F.length("text") != F.col("n_chars")).alias("n_wrong_length"),
-        F.countDistinct("lang").alias("n_langs"),
+    plain = t.documents.agg(
+        F.count("*").alias("n"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("n_empty"), F.count_if(F.length("text") != F.col("n_chars")).alias("n_wrong_length")
     )
+    # One aggregate for each distinct count: together they would multiply every row by their number.
+    kinds = lambda column, name: t.documents.where(column.isNotNull()).select(column.alias("x")).distinct().agg(F.count("*").alias(name))
+    both = plain.crossJoin(kinds(F.col("doc_id"), "ids")).crossJoin(kinds(F.sha2("text", 256), "texts")).crossJoin(kinds(F.col("lang"), "n_langs"))  # one row each
+    return both.select("n", "n_empty", (F.col("n") - F.col("ids")).alias("n_repeated_ids"), (F.col("n") - F.col("texts")).alias("n_copies"), "n_wrong_length", "n_langs")
 
 
 @query("inventory_by_source", "SELECT source, lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (source, lang)")

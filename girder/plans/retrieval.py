@@ -204,6 +204,16 @@ def hybrid_search(t: Tables) -> DataFrame:
     return hybrid(t).where("rank <= 10")
 
 
+@query(
+    "rrf_fusion",
+    f"""WITH f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.vec_id, b.doc_id) AS vec_id, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS rrf
+      FROM {COSINE} a FULL JOIN (SELECT * FROM {LEXICAL} WHERE rank <= 10) b ON a.query_id = b.query_id AND a.vec_id = b.doc_id)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, vec_id) AS rank FROM f) WHERE rank <= 10""",
+)
+def rrf_fusion(t: Tables) -> DataFrame:
+    return retrieval.fused(nearest(t), lexical(t).where("rank <= 10").withColumnRenamed("doc_id", "vec_id"), "vec_id", 10)
+
+
 @query("lexical_search", f"SELECT * FROM {LEXICAL} WHERE rank <= 10")
 def lexical_search(t: Tables) -> DataFrame:
     return lexical(t).where("rank <= 10")

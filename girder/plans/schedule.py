@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import schedule
+from ..operators.boq import exact_quantiles
 from ..registry import Tables, query
 
 MONEY = "decimal(38,6)"
@@ -90,7 +91,8 @@ LEADS = """leads AS (SELECT p_type AS category, date_diff('day', o_orderdate::DA
 
 @query("lead_time_summary", f"WITH {LEADS} SELECT category, count(days) AS samples, median(days)::DOUBLE AS median, max(days) AS longest FROM leads GROUP BY 1")
 def lead_time_summary(t: Tables) -> DataFrame:
-    return leads(t).groupBy("category").agg(F.count("days").alias("samples"), F.median("days").alias("median"), F.max("days").alias("longest"))
+    found = exact_quantiles(leads(t), ["category"], "days", {"median": 0.5})
+    return found.select("category", F.col("n").alias("samples"), F.col("median").cast("double").alias("median"), F.col("high").alias("longest"))
 
 
 @query("lead_time_p80", f"WITH {LEADS} SELECT category, count(days) AS n, list_sort(list(days))[least(floor(count(days) * 0.8), count(days) - 1)::BIGINT + 1] AS at FROM leads WHERE days IS NOT NULL GROUP BY 1")
@@ -113,7 +115,9 @@ def variance_upper_median(t: Tables) -> DataFrame:
 def duration_calibration(t: Tables) -> DataFrame:
     n, mean = F.count("days"), F.sum("days").cast("double") / F.count("days")
     square = F.sum(F.col("days") * F.col("days")).cast("double") / n
-    stats = leads(t).groupBy("category").agg(n.alias("n"), F.median("days").alias("median"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("spread")).where("n >= 3")
+    stats = leads(t).groupBy("category").agg(n.alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("spread")).where("n >= 3")
+    middles = exact_quantiles(leads(t), ["category"], "days", {"median": 0.5}, count="*").select("category", F.col("median").cast("double").alias("median"))
+    stats = stats.join(middles, "category")
     return stats.withColumn("confidence", schedule.confidence(F.col("n"), F.try_divide("spread", "mean")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing
@@ -27,12 +27,15 @@ def event_sessions(t: Tables) -> DataFrame:
 
 @query(
     "rate_limited",
-    """SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS recent,
-    recent > 5 AS limited FROM events""",
+    """WITH RECURSIVE r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    s AS (SELECT user_id, event_id, k, 0::BIGINT AS recent, false AS limited, [ts] AS kept FROM r WHERE k = 1 UNION ALL
+      SELECT user_id, event_id, k, len(f), len(f) >= 5, CASE WHEN len(f) >= 5 THEN f ELSE list_append(f, ts) END FROM
+      (SELECT r.*, list_filter(s.kept, lambda x: x >= r.ts - INTERVAL 1 DAY) AS f FROM s JOIN r ON s.user_id = r.user_id AND r.k = s.k + 1))
+    SELECT event_id, user_id, recent, limited FROM s""",
 )
 def rate_limited(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86_400_000_000, 0)
-    return t.events.select("event_id", "user_id", F.count("*").over(w).alias("recent")).withColumn("limited", F.col("recent") > 5)
+    """Events beyond five a day of a user; those that are denied don't count against later ones."""
+    return streams.limited(t.events, "user_id", 5, 86_400)
 
 
 @query(

@@ -38,15 +38,20 @@ def top_keywords(t: Tables) -> DataFrame:
     return words.where(~F.col("word").isin("that", "with", "this", "from", "have")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(25)
 
 
+# What users say when something is wrong.
+COMPLAINT = r"(?i)\b(error|broken|doesn'?t work|not working|wrong|fail(ed|s)?|missing|empty|why|stuck|help)\b"
+
+
 @query(
     "friction_signals",
-    """WITH u AS (SELECT conv_id, substr(lower(text), 1, 40) AS head FROM conversations WHERE role = 'user'), g AS (SELECT conv_id, head, count(*) AS n FROM u GROUP BY ALL)
-    SELECT conv_id, sum(n - 1)::BIGINT AS repeats, sum(CASE WHEN regexp_matches(head, 'not|wrong|again') THEN n ELSE 0 END)::BIGINT AS complaints FROM g GROUP BY 1""",
+    """WITH u AS (SELECT conv_id, lower(trim(substr(text, 1, 40))) AS head, regexp_matches(text, '{}') AS complains FROM conversations WHERE role = 'user'), g AS (SELECT conv_id, head, count(*) AS n, count_if(complains) AS c FROM u GROUP BY ALL)
+    SELECT conv_id, sum(CASE WHEN head <> '' THEN n - 1 ELSE 0 END)::BIGINT AS repeats, sum(c)::BIGINT AS complaints FROM g GROUP BY 1""".format(COMPLAINT.replace("'", "''")),
 )
 def friction_signals(t: Tables) -> DataFrame:
-    heads = t.conversations.where("role = 'user'").groupBy("conv_id", F.substring(F.lower("text"), 1, 40).alias("head")).agg(F.count("*").alias("n"))
-    complaint = F.when(F.col("head").rlike("not|wrong|again"), F.col("n")).otherwise(0)
-    return heads.groupBy("conv_id").agg(F.sum(F.col("n") - 1).alias("repeats"), F.sum(complaint).alias("complaints"))
+    """Complaints are sought in whole messages; those with the same first 40 characters are repeats."""
+    users = t.conversations.where("role = 'user'")
+    heads = users.groupBy("conv_id", F.lower(F.trim(F.substring("text", 1, 40))).alias("head")).agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(COMPLAINT)).alias("c"))
+    return heads.groupBy("conv_id").agg(F.sum(F.when(F.col("head") != "", F.col("n") - 1).otherwise(0)).alias("repeats"), F.sum("c").alias("complaints"))
 
 
 @query(
@@ -176,23 +181,6 @@ def cosine_topk(t: Tables) -> DataFrame:
     return nearest(t)
 
 
-SECOND = "(SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY (vec_id * 7919 + query_id) % 1009, vec_id) AS rank FROM (SELECT DISTINCT query_id FROM {0}), embeddings)".format(COSINE)
-
-
-@query(
-    "rrf_fusion",
-    f"""WITH b AS (SELECT * FROM {SECOND} WHERE rank <= 10), f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.vec_id, b.vec_id) AS vec_id,
-    round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS rrf FROM {COSINE} a FULL JOIN b ON a.query_id = b.query_id AND a.vec_id = b.vec_id)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, vec_id) AS rank FROM f) WHERE rank <= 10""",
-)
-def rrf_fusion(t: Tables) -> DataFrame:
-    left = nearest(t)
-    order = Window.partitionBy("query_id").orderBy((F.col("vec_id") * 7919 + F.col("query_id")) % 1009, "vec_id")
-    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
-    right = t.embeddings.select("vec_id").join(queries).withColumn("rank", F.row_number().over(order)).where("rank <= 10")
-    return corpus.reciprocal_rank_fusion(left, right, 10)
-
-
 @query("recall_at_k", f"SELECT avg(hit) AS recall, count(*) AS n FROM (SELECT query_id, max(CASE WHEN e.label = q.label THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit FROM {COSINE} c JOIN embeddings e USING (vec_id) JOIN embeddings q ON q.vec_id = c.query_id WHERE rank > 1 GROUP BY 1)")
 def recall_at_k(t: Tables) -> DataFrame:
     hits = nearest(t).where("rank > 1").join(t.embeddings.select("vec_id", "label"), "vec_id")
@@ -200,7 +188,18 @@ def recall_at_k(t: Tables) -> DataFrame:
     return hits.join(asked, "query_id").groupBy("query_id").agg(F.max(F.when(F.col("label") == F.col("wanted"), 1.0).otherwise(0.0)).alias("hit")).agg(F.avg("hit").alias("recall"), F.count("*").alias("n"))
 
 
-@query("token_cap")
+SIZED = f"(SELECT query_id, vec_id, rank, greatest(1, length(coalesce(text, '')) // 4) AS tokens FROM {COSINE} JOIN documents ON vec_id = doc_id)"
+
+
+@query(
+    "token_cap",
+    f"""WITH RECURSIVE r AS (SELECT query_id, vec_id, tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM {SIZED}),
+    s AS (SELECT query_id, vec_id, k, tokens <= 2000 AS kept, CASE WHEN tokens <= 2000 THEN tokens ELSE 0 END AS used FROM r WHERE k = 1 UNION ALL
+      SELECT r.query_id, r.vec_id, r.k, s.used + r.tokens <= 2000, s.used + CASE WHEN s.used + r.tokens <= 2000 THEN r.tokens ELSE 0 END FROM s JOIN r ON s.query_id = r.query_id AND r.k = s.k + 1)
+    SELECT query_id, vec_id FROM s WHERE kept""",
+)
 def token_cap(t: Tables) -> DataFrame:
-    sized = nearest(t).withColumn("tokens", (F.col("vec_id") % 700 + 100).cast("long"))
+    """The nearest documents whose estimated tokens fit into 2,000: one that doesn't is skipped, and later ones are tried."""
+    tokens = F.greatest(F.lit(1), F.floor(F.length(F.coalesce("text", F.lit(""))) / 4)).cast("long")
+    sized = nearest(t).join(t.documents.select(F.col("doc_id").alias("vec_id"), tokens.alias("tokens")), "vec_id")
     return corpus.token_cap(sized, 2000)
