@@ -34,9 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     odd = saved(copies.join(first, "group").select(F.col("doc_id").alias("__id"), F.col("__row").alias("__odd"), "times", stays.alias("__stays")).where("NOT __stays OR times > 1").drop("times"), "odd")
     keyed = docs.select("*", key)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__odd"))
-    single = keyed.join(odd, same, "left_anti").select(*docs.columns)
-    repeated = keyed.join(odd.where("__stays"), same, "left_semi")
-    least = repeated.groupBy("doc_id", "__row").agg(F.min(F.struct(*docs.columns)).alias("least")).select("least.*")
+    told = keyed.join(odd, same, "left")  # both branches below read the one exchange of the texts
+    single = told.where("__stays IS NULL").select(*docs.columns)
+    least = told.where("__stays").groupBy("doc_id", "__row").agg(F.min(F.struct(*docs.columns)).alias("least")).select("least.*")
     return single.unionByName(least)
 
 
