@@ -247,11 +247,17 @@ def able_patterns(told: DataFrame, keyed: DataFrame) -> DataFrame:
     sent = marked(told)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = unpacked(sent)
-        for batch in batches:
-            hits = [page.patterns[page.marked(marks)] for _, page in pages(batch)]
-            patterns, times = np.unique(np.concatenate(hits) if hits else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(patterns), pa.array(times)], names=["pattern", "followers"])
+        marks, known, times = unpacked(sent), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(known), pa.array(times)], names=["pattern", "followers"])
+        for batch in batches:  # a row for each pattern and task
+            for _, page in pages(batch):
+                some, n = np.unique(page.patterns[page.marked(marks)], return_counts=True)
+                known, at = np.unique(np.concatenate([known, some]), return_inverse=True)
+                times = np.bincount(at, weights=np.concatenate([times, n]), minlength=len(known)).astype(np.int64)
+            if len(known) > 1 << 20:
+                yield rows()
+                known, times = known[:0], times[:0]
+        yield rows()
 
     followers = map_batches(keyed, count, "pattern long, followers long").groupBy("pattern").agg(F.sum("followers").alias("followers"))
     return saved(told.join(followers, "pattern").where(F.col("times") >= LEAST_SHARE * F.col("followers")).select("pattern", "form", "as_kind"), "able")
@@ -309,13 +315,18 @@ def discovered(table: DataFrame, keyed: DataFrame, rounds: int) -> DataFrame | N
     """(doc_id, row, start, stop, told) of what the patterns find beyond the fixed spans; None where nothing makes a pattern."""
     contexts = saved(table.select(F.explode("contexts").alias("c")).select("c.*"), "contexts")
     seeds = saved(contexts.where("kind >= 0").groupBy("instance").agg(F.max("kind").alias("kind"), F.lit(1.0).alias("belief")), "seeds")
-    known, able, found, marks = seeds, None, None, None
+    known, able, found, marks, tried = seeds, None, None, None, None
     for _ in range(rounds):
         told = contexts.drop("kind").join(known, "instance").groupBy("form", "pattern").agg(F.count("*").alias("times"), F.countDistinct("instance").alias("n_seeds"), F.mode("kind", True).alias("as_kind"))
         told = told.where(F.col("n_seeds") >= MIN_SEEDS).drop("n_seeds")
-        told = saved(told if able is None else told.join(able, "pattern", "left_anti"), "told")
+        if tried is not None:  # a pattern is tried again only where more is known of it
+            told = told.join(tried, "pattern", "left").where("before IS NULL OR times > before").drop("before")
+            told = told if able is None else told.join(able, "pattern", "left_anti")
+        told = saved(told, "told")
         if told.isEmpty():
             break
+        before = told.select("pattern", F.col("times").alias("before"))
+        tried = before if tried is None else tried.unionByName(before).groupBy("pattern").agg(F.max("before").alias("before"))
         more = able_patterns(told, keyed)
         if more.isEmpty():
             break
