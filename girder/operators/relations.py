@@ -18,21 +18,3 @@ def dangling(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 
 def existing(ids: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return ids.join(parents.select(key).distinct(), key, "left_semi")
-
-
-def keep_one(rows: DataFrame, by: list[str], order: list) -> DataFrame:
-    """The first row by ``order`` of each group."""
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("__k", first).where("__k = 1").drop("__k")
-
-
-def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``target`` with rows of equal keys replaced by the latest change, and new ones added."""
-    latest = keep_one(changes, keys, [F.desc(order)])
-    return target.join(latest.select(*keys), keys, "left_anti").unionByName(latest.select(*target.columns))
-
-
-def insert_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    return target.unionByName(rows.join(target.select(*keys), keys, "left_anti").select(*target.columns))
