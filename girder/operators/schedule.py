@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, kept in the folder that spark.checkpoint.dir names (a local one where it is unset)."""
+    """``df`` without its lineage, kept in the folder that spark.checkpoint.dir names (a local one where it is unset and all run in one process)."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|:|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -30,7 +34,7 @@ def weighted(activities: DataFrame, edges: DataFrame) -> DataFrame:
 def longest(nodes: DataFrame, arcs: DataFrame, most: int) -> DataFrame:
     """(network, activity, at): the least values of ``at`` that are at least those given and ``at`` of source plus w along each arc.
 
-    Each round joins the nodes that moved with their arcs, so its work shrinks as the front does. Raises ValueError
+    Each round joins the nodes that moved with their arcs, and keeps the values of all nodes anew. Raises ValueError
     if values still move after as many rounds as the largest network has activities: that takes a cycle.
     """
     values, moved, rounds = nodes, nodes, 0

@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
 def session(app: str = "girder", **settings: str) -> SparkSession:
-    """A session in UTC with adaptive execution; ``settings`` with ``_`` for ``.`` come on top."""
+    """A session in UTC with adaptive execution; ``settings`` with ``_`` for ``.`` come on top. Workers get this package."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     for key, value in settings.items():
         builder = builder.config(key.replace("_", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a cluster, which need it where functions run in Python."""
+    if not spark.sparkContext.master.startswith("local"):
+        root = Path(__file__).resolve().parent
+        spark.sparkContext.addPyFile(shutil.make_archive(str(Path(tempfile.mkdtemp()) / root.name), "zip", root.parent, root.name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
