@@ -82,7 +82,12 @@ class Writer:
 
     def add(self, key: bytes, ids: bytes) -> None:
         """``ids``: little-endian unsigned 32-bit integers."""
-        value = ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+        value = ids
+        if self.width == 2:
+            wide = np.frombuffer(ids, "<u4")
+            if len(wide) and wide.max() > 0xFFFF:
+                raise ValueError(f"id {wide.max()} does not fit into two bytes")
+            value = wide.astype("<u2").tobytes()
         if len(self.block) >= BLOCK_BYTES:
             self.end_block()
         shared = 0
