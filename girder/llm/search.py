@@ -228,8 +228,11 @@ class Shard:
         return query[rank < k], place[rank < k], exact[rank < k]
 
 
-def query_table(queries: DataFrame, index: DataFrame, nodes: int, n_docs: int) -> DataFrame:
-    """(home, query, query_id, terms, weights): a row for each query with terms that some document has; home is below ``nodes``."""
+def query_table(queries: DataFrame, index: DataFrame, nodes: int, n_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(home, query, terms, weights) of each bag of terms that some document has, home being below ``nodes``; and (query, query_id) of the rows with that bag.
+
+    Equal bags, by 96 bits of hashes, are asked once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -250,11 +253,14 @@ def query_table(queries: DataFrame, index: DataFrame, nodes: int, n_docs: int) -
 
     known = saved(map_batches(queries, run, "query long, query_id long, terms array<long>, counts array<long>"), "queries")
     df = map_batches(index.select("path"), frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    words = known.select("query", "query_id", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("query", "query_id", F.col("t.terms").alias("term"), F.col("t.counts").alias("times"))
+    bagged = known.select("query", "query_id", F.xxhash64("terms", "counts").alias("bag"), F.hash("terms", "counts").alias("more"))
+    owners = saved(bagged.join(bagged.groupBy("bag", "more").agg(F.min("query").alias("first")), ["bag", "more"]).select(F.col("first").alias("query"), "query_id"), "owners")
+    once = known.join(owners.select("query").distinct(), "query", "left_semi")
+    words = once.select("query", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("query", F.col("t.terms").alias("term"), F.col("t.counts").alias("times"))
     weight = F.col("times") * F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    told = words.join(df.hint("merge"), "term").groupBy("query", "query_id").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
+    told = words.join(df.hint("merge"), "term").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("t"))
     home = F.pmod(F.shiftright("query", 32), F.lit(nodes)).alias("home")
-    return told.select(home, "query", "query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+    return told.select(home, "query", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), owners
 
 
 def visitors(node: int, stage: int) -> tuple[int, int]:
@@ -279,8 +285,8 @@ def floors_of(folder: str | None, lo: int, hi: int) -> dict[int, float]:
 
 
 def found_by(index: DataFrame, asked: str, floors: str | None, stage: int, average: float, k: int) -> DataFrame:
-    """(home, query, query_id, doc_id, score): what the shards have for their visitors of a round, if it reaches the floor."""
-    schema = "home long, query long, query_id long, doc_id long, score double"
+    """(home, query, doc_id, score): what the shards have for their visitors of a round, if it reaches the floor."""
+    schema = "home long, query long, doc_id long, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,20 +295,20 @@ def found_by(index: DataFrame, asked: str, floors: str | None, stage: int, avera
                 if not len(shard.terms):
                     continue
                 least = floors_of(floors, lo, hi)
-                for part in read_range(asked, ["home", "query", "query_id", "terms", "weights"], lo, hi):
+                for part in read_range(asked, ["home", "query", "terms", "weights"], lo, hi):
                     if part.num_rows:
                         yield answers(shard, part, least, k)
 
     def answers(shard: Shard, part: pa.RecordBatch, least: dict[int, float], k: int) -> pa.RecordBatch:
-        terms, weights = part.column(3).flatten().to_numpy().view(U), part.column(4).flatten().to_numpy()
-        query = np.repeat(np.arange(part.num_rows), np.diff(part.column(3).offsets.to_numpy()))
+        terms, weights = part.column(2).flatten().to_numpy().view(U), part.column(3).flatten().to_numpy()
+        query = np.repeat(np.arange(part.num_rows), np.diff(part.column(2).offsets.to_numpy()))
         at = np.minimum(np.searchsorted(shard.terms, terms), len(shard.terms) - 1)
         there = shard.terms[at] == terms
         floor = np.array([least.get(q, 0.0) for q in part.column(1).to_pylist()])
         rows, places, score = shard.search(query[there], at[there], weights[there], floor, k)
         docs = [d if known else None for d, known in zip(shard.ids[places].tolist(), shard.known[places].tolist(), strict=True)]
-        same = part.select([0, 1, 2]).take(pa.array(rows))
-        return pa.RecordBatch.from_arrays([*same.columns, pa.array(docs, pa.int64()), pa.array(score)], names=["home", "query", "query_id", "doc_id", "score"])
+        same = part.select([0, 1]).take(pa.array(rows))
+        return pa.RecordBatch.from_arrays([*same.columns, pa.array(docs, pa.int64()), pa.array(score)], names=["home", "query", "doc_id", "score"])
 
     return map_batches(index, run, schema)
 
@@ -318,12 +324,13 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = docs.sparkSession
     index = build_index(id_and_text(docs))
     stats = index.agg(F.sum("n_docs").alias("n"), F.sum("n_terms").alias("terms"), F.max("node").alias("last")).first()
-    best = spark.createDataFrame([], "home long, query long, query_id long, doc_id long, score double")
+    best = spark.createDataFrame([], "home long, query long, doc_id long, score double")
     if stats.n:
         nodes, average = stats.last + 1, max(stats.terms / stats.n, 1e-9)
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         asked, floors = new_dir(spark, "asked"), None
-        query_table(id_and_text(queries), index, nodes, stats.n).repartitionByRange(parts, "home").sortWithinPartitions("home").write.parquet(asked)
+        bags, owners = query_table(id_and_text(queries), index, nodes, stats.n)
+        bags.repartitionByRange(parts, "home").sortWithinPartitions("home").write.parquet(asked)
         order = Window.partitionBy("home", "query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
         for stage in range((nodes - 1).bit_length() + 1):
             both = best.unionByName(found_by(index, asked, floors, stage, average, k))
@@ -331,9 +338,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             floors = new_dir(spark, "floors")
             ranked.where(F.col("rank") == k).select("home", "query", F.col("score").alias("floor")).repartitionByRange(parts, "home").write.parquet(floors)
             best = ranked.drop("rank")
-        best = ranked
+        best = ranked.join(owners, "query")
     else:
-        best = best.withColumn("rank", F.lit(0))
+        best = best.select("*", F.lit(0).alias("rank"), F.col("query").alias("query_id"))
     return best.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
