@@ -59,7 +59,7 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str
         pick = lambda place: F.min(F.when(F.col("__upto") > place, F.col("__v")))
         low, high = pick(F.floor(at)), pick(F.ceil(at))
         weight = F.max(at - F.floor(at))
-        picks.append((low + (high - low) * weight).alias(name))
+        picks.append(F.when(weight == 0, low).otherwise(low * (1 - weight) + high * weight).alias(name))
     found = ranked.groupBy(*groups).agg(*picks)
     joined = sizes.alias("s").join(found.alias("f"), same("s", "f"), "left")
     n = F.col("s.__all") if count == "*" else F.coalesce("s.__n", F.lit(0))

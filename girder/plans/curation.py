@@ -342,7 +342,7 @@ def label_split(t: Tables) -> DataFrame:
 @query(
     "cumulative_checks",
     """WITH c AS (SELECT o_custkey, sum(o_totalprice::DECIMAL(38,4)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) - (o_orderkey % 7 = 0)::INTEGER * 100000 AS x, o_orderdate, o_orderkey FROM orders),
-    d AS (SELECT o_custkey, x < lag(x) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS falls FROM c) SELECT o_custkey, count(*) AS n, count_if(falls) AS falls FROM d GROUP BY 1""",
+    d AS (SELECT o_custkey, x < lag(x) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS falls FROM c) SELECT o_custkey, count(*) AS n, count(*) FILTER (falls) AS falls FROM d GROUP BY 1""",
 )
 def cumulative_checks(t: Tables) -> DataFrame:
     """How often a running total, as reported, falls."""
