@@ -122,9 +122,9 @@ def test_pack_fills_every_sequence():
 def test_packed_ids_are_the_tokenizers(docs, rows, nothing):
     path = vocabulary("word_bpe_49k.json")
     whole = encoder(path).whole
-    want = Counter((r[0], zlib.crc32(whole(r[1] or "") + b"\2\0\0\0")) for r in rows if len(r[1] or "") < 3000)
-    got = packing.pack_documents(docs, path).where("length = doc_tokens").select("doc_id", "ids_crc32").collect()
-    assert Counter(tuple(r) for r in got) - want == Counter(tuple(r) for r in got if tuple(r) not in want)
+    want = Counter((r[0], zlib.crc32(whole(r[1] or "") + b"\2\0\0\0")) for r in rows)
+    got = Counter(tuple(r) for r in packing.pack_documents(docs, path).where("length = doc_tokens").select("doc_id", "ids_crc32").collect())
+    assert not got - want and sum(got.values()) > 0.9 * len(rows)
     totals = packing.pack_documents(docs, path).groupBy("sequence_id").sum("length").collect()
     assert all(r[1] <= 4096 for r in totals)
     assert packing.pack_documents(nothing, path).count() == 0
