@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_batches, pieces, saved, text_bytes
@@ -341,17 +341,17 @@ def discovered(table: DataFrame, keyed: DataFrame, rounds: int) -> DataFrame | N
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, row, base, spans) of each row: fixed spans, and these with what the patterns add."""
+    """(doc_id, row, base, n_fixed, spans) of each row: fixed spans, how many these are with secrets, and all with what the patterns add."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keyed = keyed.select("doc_id", F.xxhash64("text").alias("row"), "text")
     table = look(keyed)
     marks = discovered(table, keyed, rounds)
     if marks is None:
-        return table.select("doc_id", "row", F.array_sort("base").alias("base"), F.array_sort("fixed").alias("spans"))
+        return table.select("doc_id", "row", F.array_sort("base").alias("base"), F.size("fixed").alias("n_fixed"), F.array_sort("fixed").alias("spans"))
     added = marks.groupBy("doc_id", "row").agg(F.collect_set(F.struct(F.col("told").alias("kind"), "start", "stop")).alias("more"))
     both = table.alias("t").join(added.alias("a"), (F.col("t.row") == F.col("a.row")) & F.col("t.doc_id").eqNullSafe(F.col("a.doc_id")), "left")
     spans = F.array_sort(F.concat("fixed", F.coalesce("more", F.array().cast(SPANS))))
-    return both.select("t.doc_id", "t.row", F.array_sort("base").alias("base"), spans.alias("spans"))
+    return both.select("t.doc_id", "t.row", F.array_sort("base").alias("base"), F.size("fixed").alias("n_fixed"), spans.alias("spans"))
 
 
 def as_text(spans: str):
@@ -359,16 +359,21 @@ def as_text(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.stop.cast("string"))), ",")
 
 
+def n_of_kind(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s.kind == F.lit(kind))).cast("long")
+
+
 def find_private(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans) of each row, over whole texts.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_added, n_spans) of each row, over whole texts.
 
     The counts and the hash are of the fixed patterns' spans of these four kinds; spans, n_added and n_spans have
-    those of secrets and of what the patterns found, too. A null or empty text has none; null ids and
+    those of secrets and of what the patterns found (n_added), too. A null or empty text has none; null ids and
     repeated rows are kept; other columns are ignored; no rows give no rows.
     """
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:N_BASE])]
-    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
-    return find(docs).select("doc_id", *counts, F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"), added, F.size("spans").cast("long").alias("n_spans"))
+    counts = [n_of_kind("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS[:N_BASE])]
+    secrets = (F.col("n_fixed") - F.size("base")).cast("long").alias("n_secret")
+    added = (F.size("spans") - F.col("n_fixed")).cast("long").alias("n_added")
+    return find(docs).select("doc_id", *counts, F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"), secrets, added, F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
