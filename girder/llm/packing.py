@@ -2,9 +2,10 @@
 
 Each input partition packs its own documents, in groups of bounded size, so nothing is shuffled and no task
 grows with the corpus. In a group, the sequences are laid out first: as many of full length as the tokens
-fill and a few more, then one for each power of two in what is left. Documents are then taken in descending
-length, and each goes to the sequence with the lowest estimated cost (linear plus quadratic attention cost of
-what it holds) among all that have room for it; a document that fits nowhere whole is cut.
+fill and a few more; in a group too small for that, one for each power of two in what is left. Documents are
+then taken in descending length, and each goes to the sequence with the lowest estimated cost (linear plus
+quadratic attention cost of what it holds) among all that have room for it; documents that fit nowhere whole
+are cut last, over the rooms that all others have left.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ def attention_cost(tokens: int, linear: float, quadratic: float) -> float:
 
 
 def sequence_lengths(tokens: int, capacity: int, slack: float) -> list[int]:
+    """Full sequences and ``slack`` of them more; where that is none, the rest has a sequence for each power of two."""
     full, rest = divmod(tokens, capacity)
-    return [capacity] * (full + round(slack * full)) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+    if spare := round(slack * full):
+        return [capacity] * (full + spare)
+    return [capacity] * full + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
 class Rooms:
@@ -47,6 +51,9 @@ class Rooms:
         heapq.heappush(self.heaps[room], (cost, sequence))
         self.lowest[room] = self.heaps[room][0][0]
 
+    def fits(self, want: int) -> bool:
+        return bool(np.isfinite(self.lowest[want:]).any())
+
     def take(self, want: int) -> tuple[int, float, int]:
         """(room, cost, sequence) of the cheapest with ``want`` room or more, of equal ones the fullest; of none, of the one with the most room."""
         room = want + int(self.lowest[want:].argmin())
@@ -60,25 +67,34 @@ class Rooms:
 def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1 / 4096, slack: float = SLACK) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of the given lengths.
 
-    Every token lies in one piece, and sequences are filled from 0 without gaps. There are ``slack`` more full
-    sequences than tokens fill, so that few documents that fit into one are cut: only those that no sequence has
-    room for. The rest beyond the full ones has sequences of smaller powers of two. Equal lengths keep their
-    order. Documents of no tokens get no piece.
+    Every token lies in one piece, and sequences are filled from 0 without gaps. What a document has beyond whole
+    sequences is put into one that has room for it; where none has, it waits until all smaller ones have their
+    place, and then is cut over the rooms that are left. Equal lengths keep their order. Documents of no tokens
+    get no piece.
     """
     size = sequence_lengths(sum(lengths), capacity, slack)
-    used, rooms, out = [0] * len(size), Rooms(capacity), []
+    used, rooms, out, waiting = [0] * len(size), Rooms(capacity), [], []
     for k, room in enumerate(size):
         rooms.put(room, 0.0, k)
+
+    def place(doc: int, start: int, most: int) -> int:
+        room, cost, k = rooms.take(min(most, capacity))
+        n = min(most, room)
+        out.append((doc, start, n, k, used[k]))
+        used[k] += n
+        if room > n:
+            rooms.put(room - n, cost + attention_cost(n, linear, quadratic), k)
+        return start + n
+
     for doc in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        start, left = 0, lengths[doc]
-        while left:
-            room, cost, k = rooms.take(min(left, capacity))
-            n = min(left, room)
-            out.append((doc, start, n, k, used[k]))
-            used[k] += n
-            start, left = start + n, left - n
-            if room > n:
-                rooms.put(room - n, cost + attention_cost(n, linear, quadratic), k)
+        start = 0
+        while lengths[doc] > start and rooms.fits(min(lengths[doc] - start, capacity)):
+            start = place(doc, start, lengths[doc] - start)
+        if start < lengths[doc]:
+            waiting.append((doc, start))
+    for doc, start in waiting:
+        while start < lengths[doc]:
+            start = place(doc, start, lengths[doc] - start)
     return out
 
 
