@@ -34,12 +34,14 @@ from .hashing import BASE, U, mix, window_hashes
 BATCH_BYTES = 4 << 20
 #: Bytes of the first buckets' q-grams, at most.
 FIRST = 8
+#: Longest strings that can be sought: a record holds the length of a run in 16 bits.
+LONGEST = 1 << 16
 #: Null ids are larger than all others; a real id of this value counts as equal to them.
 LAST_ID = (1 << 63) - 1
 MESSAGE = "bucket int, payload binary"
 FOUND = "doc_id long, row long, start int, stop int, kind int"
 REPEATED, UNLIKE = 1, 2
-RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("n", "u1"), ("settled", "?")])
+RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("n", "<u2"), ("settled", "?")])
 
 
 def smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -88,7 +90,7 @@ def suffix_runs(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple:
     stop[:-1] = (at[1:] != at[:-1]) | ~inside[1:n]
     last = np.flatnonzero(stop & inside[:n])
     place = at[first]
-    shape = ((last - first) << 8 | (place - first)).astype(U)
+    shape = ((last - first) << 16 | (place - first)).astype(U)
     later = length - q
     refined = mix(mix(string_buckets(grams, first, later)[2] * U(BASE) + string_buckets(grams, last, later)[2]) + shape)
     return first, last, grams[place], refined, np.searchsorted(offsets, first, "right") - 1
@@ -237,13 +239,13 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row.
 
-    Each byte goes that is covered by a string of ``length`` bytes (2 or more) that also starts in a
+    Each byte goes that is covered by a string of ``length`` bytes (2 to LONGEST) that also starts in a
     document with a smaller id; strings are judged on the input. A null text is empty; null ids are larger than
     all others and not smaller than each other; rows with one id don't remove from each other; other columns
     are ignored; no rows give no rows. ``kept`` has the remaining bytes.
     """
-    if length < 2:
-        raise ValueError("strings of 2 bytes or more are sought")
+    if not 2 <= length <= LONGEST:
+        raise ValueError(f"strings of 2 to {LONGEST} bytes are sought")
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     # Only where ids repeat does a row need more than its id to be told from others.
