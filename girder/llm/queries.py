@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, mixing, packing, private, quality, search, sstable, suffixes, token_counts
+from . import fingerprints, jaccard, line_dedup, mixing, packing, private, quality, search, sstable, suffixes, token_counts
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sstable": sstable.op8_sstable,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
 }
 
-ORACLE_SQL = {"op6_mixing": mixing.SQL}
+ORACLE_SQL = {"op6_mixing": mixing.SQL, "op11_line_dedup": line_dedup.SQL}
