@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, line_dedup, mixing, packing, private, quality, search, sstable, suffixes, token_counts
+from . import fingerprints, jaccard, line_dedup, mixing, packing, prefix_trie, private, quality, search, sstable, suffixes, token_counts
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
-ORACLE_SQL = {"op6_mixing": mixing.SQL, "op11_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op6_mixing": mixing.SQL, "op11_line_dedup": line_dedup.SQL, "op12_prefix_trie": prefix_trie.SQL}
