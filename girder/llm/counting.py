@@ -15,9 +15,11 @@ SLICES = 64
 SCHEMA = "part int, counts binary"
 
 
-def hashed_counts(df: DataFrame, features: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int) -> np.ndarray:
+def hashed_counts(df: DataFrame, features: Callable[[pa.RecordBatch], Iterator], size: int) -> np.ndarray:
     """How often each number below ``size`` (a multiple of 64) occurs among the features of all rows.
 
+    ``features`` yields arrays of numbers, or pairs of numbers and how often each is there.
+
     Each task adds up its own counts and sends them in slices, which are added up without being gathered; the
     driver gets ``size`` numbers, whatever the input.
     """
@@ -30,8 +32,10 @@ def hashed_counts(df: DataFrame, features: Callable[[pa.RecordBatch], Iterator[n
         total, most = np.zeros(size, np.uint32), 0
         for batch in batches:
             for x in features(batch):
-                total += np.bincount(x, minlength=size).astype(np.uint32)
-                most += len(x)
+                x, times = x if isinstance(x, tuple) else (x, None)
+                # As floating-point numbers, which count a group's features exactly.
+                total += np.bincount(x, times, minlength=size).astype(np.uint32)
+                most += len(x) if times is None else int(times.sum())
             if most > 1 << 30:
                 yield rows(total)
                 total, most = np.zeros(size, np.uint32), 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, line_dedup, mixing, packing, prefix_trie, private, quality, search, sstable, suffixes, token_counts
+from . import fingerprints, jaccard, line_dedup, mixing, packing, prefix_trie, private, quality, resampling, search, sstable, suffixes, token_counts
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op11_line_dedup": line_dedup.op11_line_dedup,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_resampling": resampling.op13_resampling,
 }
 
-ORACLE_SQL = {"op6_mixing": mixing.SQL, "op11_line_dedup": line_dedup.SQL, "op12_prefix_trie": prefix_trie.SQL}
+ORACLE_SQL = {"op6_mixing": mixing.SQL, "op11_line_dedup": line_dedup.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_resampling": resampling.SQL}
