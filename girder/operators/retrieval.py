@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,48 +14,67 @@ from pyspark.sql import functions as F
 from ..functions import questions
 from ..functions.text import revision_rank
 
-#: A line of a bill starts with a letter and numbers with points.
-BILL_LINE = re.compile(r"^\s*[A-Z]\s*\d+(?:\.\d+)+\b", re.MULTILINE)
+#: What the code at the start of a bill's line looks like, and the line below the names of a table's columns.
+BILL_CODE = r"[A-Z]\s*\d+(?:\.\d+)+\b"
 RULE = re.compile(r"\s*\|[\s:|-]+\|")
+ROW = re.compile(rf"^(?=[^\S\n]*{BILL_CODE})", re.MULTILINE)
+#: Ends of paragraphs, lines and sentences, the preferred first; a chunk ends at one that is no further than NEAR before its target.
+ENDS = tuple(re.compile(p) for p in (r"\n\n", r"\n", r"\. "))
+NEAR = 120
+
+
+class Boundaries:
+    """Where a text may be cut: starts of bill rows, and the ends that ENDS names, as ascending positions."""
+
+    def __init__(self, text: str):
+        self.rows = np.array([m.start() for m in ROW.finditer(text)], np.int64)
+        self.ends = [np.array([m.end() for m in p.finditer(text)], np.int64) for p in ENDS]
+
+    def cut(self, least: int, target: int, most: int) -> int:
+        """The first bill row from ``target`` on; else the last end of the best kind in (least, target]; else ``most``."""
+        row = int(np.searchsorted(self.rows, target))
+        if row < len(self.rows) and self.rows[row] < most:
+            return int(self.rows[row])
+        for ends in self.ends:
+            k = int(np.searchsorted(ends, target, "right"))
+            if k and ends[k - 1] > least:
+                return int(ends[k - 1])
+        return most
+
+
+def spans(text: str, target: int, overlap: int, most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the chunks of a text: each ends at a boundary, the last at the text's end; the next begins ``overlap`` before."""
+    marks, start = Boundaries(text), 0
+    while len(text) - start > most:
+        soft = start + target
+        stop = marks.cut(max(soft - NEAR, start + target // 2), soft, start + most)
+        yield start, stop
+        start = stop - overlap
+    yield start, len(text)
 
 
 def cut(text: str, target: int, overlap: int, most: int) -> Iterator[str]:
-    """Chunks of about ``target`` characters that end where a line of a bill, a paragraph, a line or a sentence does, ``most`` at most."""
-    at, end = 0, len(text)
-    while at < end:
-        hard = min(at + most, end)
-        if hard == end:
-            stop = end
-        else:
-            soft = at + target
-            row = next((k for m in BILL_LINE.finditer(text, soft, hard) if (k := text.rfind("\n", at, m.start()) + 1) > at), None)
-            found = (text.rfind(sign, max(soft - 120, at + target // 2), soft) + len(sign) for sign in ("\n\n", "\n", ". "))
-            stop = row or next((k for k, sign in zip(found, (2, 1, 2)) if k - sign > 0), hard)
-        if chunk := text[at:stop].strip():
-            yield chunk
-        if hard == end:
-            return
-        at = stop - overlap if stop - overlap > at else stop
+    return filter(None, (text[a:b].strip() for a, b in spans(text, target, overlap, most)))
 
 
 def sections(text: str) -> Iterator[tuple[bool, str]]:
-    """(whether it is a table, text) of each table, with the last heading before it, and of the prose between."""
-    lines, prose, heading, i = text.split("\n"), [], "", 0
-    while i < len(lines):
-        bare = lines[i].strip()
-        if bare.startswith("#"):
-            heading = bare
-        if bare.startswith("|") and i + 1 < len(lines) and RULE.match(lines[i + 1]):
-            yield False, "\n".join(prose)
-            prose, stop = [], i + 1
-            while stop < len(lines) and lines[stop].lstrip().startswith("|"):
-                stop += 1
-            yield True, "\n".join([heading] * bool(heading) + lines[i:stop])
-            i = stop
-        else:
-            prose.append(lines[i])
-            i += 1
-    yield False, "\n".join(prose)
+    """(whether it is a table, text) of the tables, each below the last heading before it, and of the prose between.
+
+    Lines that begin with a pipe form islands; a table is the part of an island from the line above its first rule.
+    """
+    lines = text.split("\n")
+    headings = list(accumulate((x.strip() if x.lstrip().startswith("#") else "" for x in lines), lambda last, x: x or last))
+    ruled = [bool(RULE.match(x)) for x in lines] + [False]
+    kind = np.zeros(len(lines), np.int64)  # 0: prose, else the number of a table's first line, from 1
+    for pipes, island in groupby(range(len(lines)), lambda i: lines[i].lstrip().startswith("|")):
+        island = list(island)
+        first = next((i for i in island if ruled[i + 1]), None) if pipes else None
+        if first is not None:
+            kind[first : island[-1] + 1] = first + 1
+    for table, part in groupby(range(len(lines)), lambda i: kind[i]):
+        part = list(part)
+        body = "\n".join(lines[part[0] : part[-1] + 1])
+        yield bool(table), f"{headings[part[0]]}\n{body}" if table and headings[part[0]] else body
 
 
 def chunked(docs: DataFrame, cutter) -> DataFrame:
@@ -61,30 +82,30 @@ def chunked(docs: DataFrame, cutter) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, c) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, c in enumerate(cutter(text or ""))]
+            rows = [(i, k, c) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, c in enumerate(filter(None, cutter(text or "")))]
             columns = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "chunk_index", "text"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, chunk_index int, text string")
 
 
+def checked(target: int, overlap: int, most: int) -> tuple[int, int, int]:
+    if not 0 <= overlap < target // 2:
+        raise ValueError("chunks advance only where the overlap is below half of the target")
+    return target, overlap, max(most, target)
+
+
 def boundary_chunks(docs: DataFrame, target: int = 500, overlap: int = 50, most: int = 800) -> DataFrame:
     """Chunks that end at boundaries and carry ``overlap`` characters on; texts of blanks have none."""
-    return chunked(docs, lambda text: cut(text, target, overlap, max(most, target)) if text.strip() else ())
+    sizes = checked(target, overlap, most)
+    return chunked(docs, lambda text: cut(text, *sizes))
 
 
 def markdown_chunks(docs: DataFrame, target: int = 500, overlap: int = 50, most: int = 800, table: int = 2200) -> DataFrame:
     """Tables of up to ``table`` characters as one chunk with their heading; all else as boundary_chunks."""
-
-    def run(text: str) -> Iterator[str]:
-        for is_table, part in sections(text):
-            part = part.strip()
-            if part and is_table and len(part) <= table:
-                yield part
-            elif part:
-                yield from cut(part, target, overlap, max(most, target))
-
-    return chunked(docs, run)
+    sizes = checked(target, overlap, most)
+    whole = lambda is_table, part: [part] if is_table and len(part) <= table else cut(part, *sizes)
+    return chunked(docs, lambda text: (c for is_table, part in sections(text) for c in whole(is_table, part.strip())))
 
 
 def markdown_rows(docs: DataFrame) -> DataFrame:

@@ -27,42 +27,50 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def header_name(header: str) -> str:
-    """A header without what it says in brackets and without a currency at the end, in lower case with single underscores."""
-    bare = re.sub(r"\([^)]*\)\s*$", "", header.strip()).rstrip()
-    bare = re.sub(rf"(?i)[\s,;:]+({CURRENCIES})\.?$", "", bare).rstrip(" .,:;")
-    return re.sub(r"[ /_-]+", "_", bare.lower()).strip("_")
+def words_of(name: str) -> tuple[str, ...]:
+    """The words of a header or of an alias in lower case, without what it says in brackets at its end and a currency last."""
+    words = [w.strip(".,:;") for w in re.split(r"[\s/_-]+", re.sub(r"\([^)]*\)\s*$", "", name).lower())]
+    words = [w for w in words if w]
+    return tuple(words[:-1] if len(words) > 1 and words[-1].upper() in CURRENCIES.split("|") else words)
+
+
+def holds(words: tuple[str, ...], part: tuple[str, ...]) -> bool:
+    return any(words[i : i + len(part)] == part for i in range(len(words) - len(part) + 1))
 
 
 def resolved(headers: list[str]) -> dict[str, str]:
-    """The header that stands for each column of a bill: one that is an alias, else one that holds the longest alias as a part."""
-    names = [header_name(h) for h in headers]
-    found = {}
-    for column, aliases in ALIASES.items():
-        part = lambda alias, name: alias in name.split("_") or name.startswith(f"{alias}_") or name.endswith(f"_{alias}")
-        exact = [(a, i) for a in aliases for i, name in enumerate(names) if name == a]
-        parts = [(a, i) for a in sorted(aliases, key=len, reverse=True) for i, name in enumerate(names) if part(a, name)]
-        if hits := exact or parts:
-            found[column] = headers[hits[0][1]]
-    return found
+    """The header that stands for each column of a bill: the best of all pairs of a header and an alias of the column.
+
+    A header that is an alias comes before one that only holds an alias as a part; of those that are, the alias
+    listed first counts, of parts the longest; then the header that stands first.
+    """
+    names = [words_of(h) for h in headers]
+    pairs = [
+        (column, (1, -k) if name == words_of(alias) else (0, len(alias)), -i)
+        for column, aliases in ALIASES.items()
+        for k, alias in enumerate(aliases)
+        for i, name in enumerate(names)
+        if holds(name, words_of(alias))
+    ]
+    return {column: headers[-max((score, i) for c, score, i in pairs if c == column)[1]] for column in dict.fromkeys(c for c, _, _ in pairs)}
 
 
 def bill(spark: SparkSession, path: str) -> DataFrame:
     """The columns of one bill in CSV that ALIASES know, figures as numbers (0 where they are none).
 
-    The header is the line with the most such columns among the first HEADER_LINES, which are all that the driver
-    reads; what stands above it is left out.
+    The header is the first line with two such columns among the first HEADER_LINES, which are all that the driver
+    reads; the lines up to it are left out by their numbers in the file.
     """
     lines = spark.read.option("multiLine", "true").option("escape", '"').option("header", "false").csv(path)
     first = [[v or "" for v in row] for row in lines.limit(HEADER_LINES).collect()]
-    at = max(range(len(first)), key=lambda i: (len(resolved(first[i])), -i), default=None)
+    at = next((i for i, row in enumerate(first) if len(resolved(row)) > 1), None)
     taken = resolved(first[at]) if at is not None else {}
     if "description" not in taken:
         raise ValueError("no line of the bill has a header that stands for a description")
     order = {column: first[at].index(header) for column, header in taken.items()}
-    head = F.array(*(F.coalesce(F.col(c), F.lit("")) for c in lines.columns))
-    above = F.array(*(F.array(*map(F.lit, row)) for row in first[: at + 1]))
-    named = lines.where(~F.array_contains(above, head)).select(*(F.col(lines.columns[i]).alias(c) for c, i in order.items()))
+    # A file of lines that can hold line breaks is one partition, in which these numbers count from 0.
+    numbered = lines.withColumn("__line", F.monotonically_increasing_id()).where(F.col("__line") > at)
+    named = numbered.select(*(F.col(lines.columns[i]).alias(c) for c, i in order.items()))
     figures = {c: F.coalesce(F.expr(f"try_cast(regexp_replace({c}, '[^0-9.-]', '') AS DOUBLE)"), F.lit(0.0)) for c in ("quantity", "rate", "total") if c in order}
     return named.withColumns(figures)
 

@@ -99,6 +99,10 @@ def test_bill_header_below_titles(spark, tmp_path):
     rows = [r.asDict() for r in files.bill(spark, str(at)).collect()]
     assert [(r["description"], r["quantity"], r["rate"]) for r in rows] == [("Slab", 3.0, 2.5), ("Wall", 4.0, 1.0)]
     assert files.resolved(["Unit Price SAR", "Extended Price", "UoM", "CSI Div"]) == {"rate": "Unit Price SAR", "total": "Extended Price", "unit": "UoM", "section": "CSI Div"}
+    at.write_text('Bill no 3,,\nDescription,Qty,Rate\n"Slab, ""thick""\nof two lines",3,2\nDescription,Qty,Rate\nWall,x,"1,000.5"\nBill no 3,,\n')
+    rows = [(r.description, r.quantity, r.rate) for r in files.bill(spark, str(at)).collect()]
+    assert rows == [('Slab, "thick"\nof two lines', 3.0, 2.0), ("Description", 0.0, 0.0), ("Wall", 0.0, 1000.5), ("Bill no 3", 0.0, 0.0)]
+    assert files.resolved(["Item", "Qty.", "Amount (SAR)", "Cost per unit"]) == {"description": "Item", "quantity": "Qty.", "total": "Amount (SAR)", "rate": "Cost per unit", "unit": "Cost per unit"}
     with pytest.raises(ValueError):
         at.write_text("a,b\n1,2\n")
         files.bill(spark, str(at))
