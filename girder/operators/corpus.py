@@ -73,22 +73,3 @@ def token_cap(ranked: DataFrame, cap: int) -> DataFrame:
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
     add = lambda a, x: F.when(a.used + x.tokens <= cap, F.struct((a.used + x.tokens).alias("used"), F.concat(a.kept, F.array(x.vec_id)).alias("kept"))).otherwise(a)
     return listed.select("query_id", F.explode(F.aggregate("items", start, add, lambda a: a.kept)).alias("vec_id"))
-
-
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank): the ``k`` best of ``docs`` (doc_id, text) by BM25 for each of ``queries`` (query_id, text).
-
-    Terms of no query are dropped before anything is shuffled but lengths and frequencies, which are partial sums. All
-    documents that share a term with a query are scored: this is for stated questions, not for whole texts as queries.
-    """
-    words = lambda df, key: df.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("term"))
-    asked, tokens = words(queries, "query_id").distinct(), words(docs, "doc_id")
-    lengths = tokens.groupBy("doc_id").agg(F.count("*").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
-    tf = tokens.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(stats.mean)))
-    scores = asked.join(tf, "term").join(df, "term").join(lengths, "doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)

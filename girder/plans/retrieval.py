@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import questions as qs
 from ..functions.text import revision_rank
 from ..operators import corpus, retrieval
+from ..operators import lexical as lexical_index
 from ..registry import Tables, query
 from .texts import COSINE, nearest
 from .works import LIST, PICK
@@ -186,7 +187,7 @@ def asked(t: Tables) -> DataFrame:
 
 
 def lexical(t: Tables) -> DataFrame:
-    return corpus.bm25_top(t.documents, asked(t), 50)
+    return lexical_index.bm25_top(t.documents, asked(t), 50)
 
 
 HYBRID = f"""(SELECT query_id, doc_id, rrf, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.vec_id, b.doc_id) AS doc_id,

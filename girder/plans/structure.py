@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing
-from ..operators import corpus, spatial
+from ..operators import lexical, spatial
 from ..registry import Tables, query
 from ..streaming import events as streams
 
@@ -103,4 +103,4 @@ def part_slugs(t: Tables) -> DataFrame:
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
 )
 def bm25_topk(t: Tables) -> DataFrame:
-    return corpus.bm25_top(t.documents, t.benchmark.withColumnRenamed("item_id", "query_id"), 10).withColumnRenamed("query_id", "item_id")
+    return lexical.bm25_top(t.documents, t.benchmark.withColumnRenamed("item_id", "query_id"), 10).withColumnRenamed("query_id", "item_id")
