@@ -80,6 +80,27 @@ class Index:
         return self.scores(pairs, asked).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 
+    def holding(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, doc_id, score, rank): the ``k`` documents with the largest share of a question's phrases, ties to the smaller id.
+
+        ``queries`` has query_id and phrases; a document has a phrase if it has each of its words. Of a phrase only
+        the list of its rarest word is read, the others are looked up; questions with the same phrases are asked once.
+        """
+        sets = cut(queries.select(F.array_sort(F.array_distinct("phrases")).alias("phrases")).where(F.size("phrases") > 0).distinct())
+        each = sets.select("phrases", F.explode("phrases").alias("phrase"))
+        words = cut(each.select("phrase").distinct().select("phrase", F.explode(F.array_distinct(terms_of("phrase"))).alias("term")))
+        need = words.groupBy("phrase").agg(F.count("*").alias("need"))
+        known = words.join(self.lexicon, "term").groupBy("phrase").agg(F.count("*").alias("known"), F.min_by("term", F.struct("df", "term")).alias("term"))
+        lists = known.join(need, "phrase").where("known = need").join(self.postings.select("term", "doc_id"), "term").select("phrase", "doc_id", "need")
+        both = lists.join(words, "phrase").join(self.postings.select("doc_id", "term"), ["doc_id", "term"])
+        full = both.groupBy("phrase", "doc_id", "need").agg(F.count("*").alias("have")).where("have = need")
+        hits = each.join(full, "phrase").groupBy("phrases", "doc_id").agg(F.count("*").alias("n")).select("phrases", "doc_id", (F.col("n") / F.size("phrases")).alias("score"))
+        best = Window.partitionBy("phrases").orderBy(F.desc("score"), "doc_id")
+        top = hits.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+        asked = queries.select("query_id", F.array_sort(F.array_distinct("phrases")).alias("phrases"))
+        return asked.join(top, "phrases").select("query_id", "doc_id", "score", "rank")
+
+
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): the ``k`` best of ``docs`` for each of ``queries``, over an index of the terms asked for."""
     queries = queries.select("query_id", "text")

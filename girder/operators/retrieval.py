@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import questions
-from ..functions.text import revision_rank
+from ..functions.text import identifiers, revision_rank
 
 #: What the code at the start of a bill's line looks like, and the line below the names of a table's columns.
 BILL_CODE = r"[A-Z]\s*\d+(?:\.\d+)+\b"
@@ -133,6 +133,17 @@ def fused(semantic: DataFrame, lexical: DataFrame, item: str, k: int, constant:
     return ranked(both.select("query_id", item, F.round(part("x") + part("y"), 9).alias("rrf")), "query_id", "rrf", item, k)
 
 
+def dual(search, asked: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of ``asked`` (query_id, text) as it stands and without what a question is wrapped in, each hit with its better score.
+
+    ``search`` gets both as one set of questions, so that one index serves them.
+    """
+    bare = asked.select((F.col("query_id") * 2 + 1).alias("query_id"), questions.unwrapped(F.col("text")).alias("text")).where("text IS NOT NULL")
+    hits = search(asked.select((F.col("query_id") * 2).alias("query_id"), "text").unionByName(bare))
+    best = hits.groupBy(F.floor(F.col("query_id") / 2).alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
+    return ranked(best, "query_id", "score", "doc_id", k)
+
+
 def within_margin(hits: DataFrame, own: Column, margin: float) -> DataFrame:
     """Background hits stay only where they beat the best own hit of their query by ``margin``."""
     best = F.max(F.when(own, F.col("score"))).over(Window.partitionBy("query_id"))
@@ -166,18 +177,60 @@ def current(names: DataFrame) -> DataFrame:
     return both.where(~F.coalesce(comparable, F.lit(False)) | (F.col("r.value") == F.col("__best"))).select(*names.columns)
 
 
-def identifier_hits(queries: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): the share of a query's identifiers of which the document has every token as a whole.
+def codes(question: Column) -> Column:
+    """The identifiers of a question in lower case."""
+    return F.transform(identifiers(F.coalesce(question, F.lit(""))), lambda c: F.lower(c))
+
+
+def share_of(phrases: Column, passage: Column) -> Column:
+    """The share of ``phrases`` of which the passage has each word, as part of a word at least; 0 where there are none."""
+    low = F.lower(passage)
+    has = lambda p: F.forall(F.filter(F.split(p, "[^a-z0-9]+"), lambda w: w != ""), lambda w: low.contains(w))
+    return F.when(F.size(phrases) > 0, F.size(F.filter(phrases, has)) / F.size(phrases)).otherwise(F.lit(0.0))
 
-    ``queries`` has query_id and identifier (several rows a query), ``tokens`` doc_id and token, in lower case. Equal
-    tokens meet by a join; an identifier counts where as many of its tokens are found as it has.
+
+def rescue_phrases(question: Column) -> Column:
+    return questions.pairs(questions.rescue_terms(question))
+
+
+def full_scores(
+    pool: DataFrame, fetched: DataFrame, k: int, by_code: float = 2.0, by_pair: float = 1.0, boost: float = 0.0, margin: float | None = None, fold: bool = False, cap: int | None = None, penalty: float = 0.5
+) -> DataFrame:
+    """(query_id, doc_id, score, rank): the ``k`` passages of each question after all bonuses, gates and caps.
+
+    ``pool`` and ``fetched`` have query_id, doc_id, score, question, passage, name, own, layer and authority; a pool is
+    what a search found, some dozens a question, and ``fetched`` what holds pairs of its words, which counts only where
+    the pool has no such passage. In order:
+
+    - a passage gets ``by_code`` times the share of the question's identifiers that it has;
+    - or, if more, ``by_pair`` times the share of the pairs of the question's telling words, unless one of the k
+      that lead so far has such a pair already;
+    - background passages (not ``own``) get the bonus for shared words, own ones ``boost``;
+    - background stays only ``margin`` above the best own one, by ``fold`` without its bonus for words;
+    - superseded names lose ``penalty``; authority and layer add a little; lower revisions of a drawing and noise go;
+    - no more than ``cap`` background passages while own ones are left.
     """
-    parts = queries.select("query_id", "identifier", F.explode(F.array_distinct(F.filter(F.split(F.lower("identifier"), "[^a-z0-9]+"), lambda w: w != ""))).alias("token"))
-    wanted = parts.groupBy("query_id", "identifier").agg(F.count("*").alias("need"))
-    asked = queries.groupBy("query_id").agg(F.countDistinct("identifier").alias("of"))
-    have = parts.join(tokens.distinct(), "token").groupBy("query_id", "identifier", "doc_id").agg(F.count("*").alias("have"))
-    full = have.join(wanted, ["query_id", "identifier"]).where("have = need").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
-    return full.join(asked, "query_id").select("query_id", "doc_id", (F.col("hits") / F.col("of")).alias("score"))
+    q = Window.partitionBy("query_id")
+    both = pool.withColumn("extra", F.lit(False)).unionByName(fetched.join(pool.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("extra", F.lit(True)))
+    told = both.withColumn("code", by_code * share_of(codes(F.col("question")), F.col("passage"))).withColumn("pair", share_of(rescue_phrases(F.col("question")), F.col("passage")))
+    led = told.withColumn("lead", F.row_number().over(q.orderBy("extra", F.desc(F.col("score") + F.col("code")), "doc_id")))
+    gated = led.withColumn("grounded", F.max((F.col("pair") > 0) & (F.col("lead") <= k) & ~F.col("extra")).over(q)).withColumn("there", F.max((F.col("pair") > 0) & ~F.col("extra")).over(q))
+    kept = gated.where(~F.col("extra") | ~F.col("there"))
+    rescued = F.when(F.col("extra"), by_pair * F.col("pair")).when(F.col("grounded"), F.col("code")).otherwise(F.greatest("code", by_pair * F.col("pair")))
+    words = F.when(F.col("own"), 0.0).otherwise(questions.lexical_bonus(questions.significant_terms(F.col("question")), F.col("passage")))
+    scored = kept.withColumn("words", words).withColumn("score", F.col("score") + rescued + F.col("words") + F.when(F.col("own"), boost).otherwise(0.0))
+    if margin is not None:
+        best = F.max(F.when(F.col("own"), F.col("score"))).over(q)
+        compared = F.col("score") - F.col("words") if fold else F.col("score")
+        scored = scored.withColumn("best", best).where(F.col("own") | F.col("best").isNull() | (compared >= F.col("best") + margin)).drop("best")
+    final = F.col("score") - F.when(questions.superseded(F.col("name")), penalty).otherwise(0.0) + questions.precedence_bonus(F.col("layer"), F.col("authority"))
+    scored = scored.withColumn("score", F.round(final, 9)).withColumn("drawing", questions.drawing_number(F.col("name"))).withColumn("r", revision_rank(F.nullif(questions.revision(F.col("name")), F.lit(""))))
+    comparable = (F.col("drawing") != "") & F.col("r").isNotNull()
+    newest = F.max(F.when(comparable, F.col("r.value"))).over(Window.partitionBy("query_id", "drawing", "r.kind"))
+    current = scored.withColumn("newest", newest).where(~F.coalesce(comparable, F.lit(False)) | (F.col("r.value") == F.col("newest"))).where(~F.col("name").rlike(questions.LOCK_FILE))
+    hits = current.select("query_id", F.col("doc_id").alias("item"), "score", "own")
+    top = capped(hits, ~F.col("own"), cap, k) if cap is not None else ranked(hits, "query_id", "score", "item", k)
+    return top.select("query_id", F.col("item").alias("doc_id"), "score", "rank")
 
 
 def with_context(turns: DataFrame, thin: int = 4, last: int = 2, most: int = 400) -> DataFrame:

@@ -149,18 +149,19 @@ def noise_filter(t: Tables) -> DataFrame:
 
 @query(
     "identifier_search",
-    f"""WITH q AS (SELECT doc_id AS query_id, unnest(['A-' || (doc_id % 40 + 100)::VARCHAR, 'rev B', 'BOQ ' || (doc_id % 40 + 101)::VARCHAR]) AS identifier FROM documents WHERE doc_id % 50 = 0),
-    p AS (SELECT DISTINCT query_id, identifier, unnest(list_filter(regexp_split_to_array(lower(identifier), '[^a-z0-9]+'), lambda w: w <> '')) AS token FROM q),
+    f"""WITH q AS (SELECT doc_id AS query_id, unnest(['a-' || (doc_id % 40 + 100)::VARCHAR, 'rev b', 'boq ' || (doc_id % 40 + 101)::VARCHAR]) AS identifier FROM documents WHERE doc_id % 50 = 0),
+    p AS (SELECT DISTINCT query_id, identifier, unnest(list_filter(regexp_split_to_array(identifier, '[^a-z0-9]+'), lambda w: w <> '')) AS token FROM q),
     k AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> '')) AS token FROM {NAMED}),
-    n AS (SELECT query_id, identifier, count(*) AS need FROM p GROUP BY ALL), h AS (SELECT query_id, identifier, doc_id, count(*) AS have FROM p JOIN k USING (token) GROUP BY ALL)
-    SELECT query_id, doc_id, count(*) / 3.0::DOUBLE AS score FROM h JOIN n USING (query_id, identifier) WHERE have = need GROUP BY ALL""",
+    n AS (SELECT query_id, identifier, count(*) AS need FROM p GROUP BY ALL), h AS (SELECT query_id, identifier, doc_id, count(*) AS have FROM p JOIN k USING (token) GROUP BY ALL),
+    s AS (SELECT query_id, doc_id, count(*) / 3.0::DOUBLE AS score FROM h JOIN n USING (query_id, identifier) WHERE have = need GROUP BY ALL)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20""",
 )
 def identifier_search(t: Tables) -> DataFrame:
+    """The twenty documents whose names have most of a question's identifiers, each as whole words in any order."""
     number = F.col("doc_id") % 40
-    asked = F.array(F.concat(F.lit("A-"), (number + 100).cast("string")), F.lit("rev B"), F.concat(F.lit("BOQ "), (number + 101).cast("string")))
-    queries = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(asked).alias("identifier"))
-    tokens = names(t).select("doc_id", F.explode(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != "")).alias("token"))
-    return retrieval.identifier_hits(queries, tokens)
+    asked = F.array(F.concat(F.lit("a-"), (number + 100).cast("string")), F.lit("rev b"), F.concat(F.lit("boq "), (number + 101).cast("string")))
+    queries = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), asked.alias("phrases"))
+    return lexical_index.Index(names(t).withColumnRenamed("name", "text")).holding(queries, 20)
 
 
 @query(
@@ -220,17 +221,22 @@ def lexical_search(t: Tables) -> DataFrame:
     return lexical(t).where("rank <= 10")
 
 
+DUAL = LEXICAL.replace(WORDS(QUESTIONS, "query_id"), WORDS("asks", "query_id"))
+BARE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(base, '(?i)^(?:in|from|under|per|according\s+to|based\s+on|as\s+per)\s+[^,]{1,60},\s*', ''),
+  '(?i)^(?:please\s+)?(?:tell\s+me|give\s+me|show\s+me|state|list|specify)\s+', ''), '(?i)\b(?:how\s+(?:many|much|long)|what|which|who|whose|when|why|does|did|please)\b', ' ', 'g'), '\s{2,}', ' ', 'g'), '^[ ,.;:]+|[ ,.;:]+$', '', 'g')"""
+
+
 @query(
     "dual_search",
-    f"""WITH a AS (SELECT query_id, doc_id, score FROM {LEXICAL}), b AS (SELECT query_id, vec_id AS doc_id, score * 10 AS score FROM {COSINE}),
-    m AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
+    rf"""WITH base AS (SELECT query_id, {LIST(ASKS)}[(query_id % 6)::INTEGER + 1] || text AS base FROM {QUESTIONS}), bare AS (SELECT query_id, base, {BARE} AS bare FROM base),
+    asks AS (SELECT 2 * query_id AS query_id, base || '?' AS text FROM base UNION ALL SELECT 2 * query_id + 1, bare FROM bare WHERE len(regexp_split_to_array(bare, '\s+')) >= 3 AND lower(bare) <> lower(trim(base))),
+    m AS (SELECT query_id // 2 AS query_id, doc_id, max(score) AS score FROM {DUAL} GROUP BY ALL)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m) WHERE rank <= 10""",
 )
 def dual_search(t: Tables) -> DataFrame:
-    """Two searches as one, each document with its better score."""
-    semantic = nearest(t).select("query_id", F.col("vec_id").alias("doc_id"), (F.col("score") * 10).alias("score"))
-    both = lexical(t).select("query_id", "doc_id", "score").unionByName(semantic).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return retrieval.ranked(both, "query_id", "score", "doc_id", 10)
+    """The question as it is asked and without its wrapper as two searches, each document with its better score."""
+    raw = asked(t).select("query_id", F.concat(PICK(ASKS, "query_id"), "text", F.lit("?")).alias("text"))
+    return retrieval.dual(lambda questions: lexical_index.bm25_top(t.documents, questions, 50), raw, 10)
 
 
 @query(
@@ -273,23 +279,48 @@ def background_cap(t: Tables) -> DataFrame:
     return retrieval.capped(hits, ~F.col("own"), 2, 10).select("query_id", F.col("item").alias("doc_id"), "own", "rank")
 
 
-BONUS_SQL = f"""least(1.2::DOUBLE, 0.25::DOUBLE * len(list_filter({TERMS.replace('text', 'question')}, lambda w: contains(lower(passage), w))))"""
-
-
-@query(
-    "full_retrieval",
-    f"""WITH h AS (SELECT h.query_id, h.doc_id, rrf, q.text AS question, d.text AS passage, c.name, c.layer, c.authority FROM {HYBRID} h JOIN {QUESTIONS} q USING (query_id) JOIN documents d USING (doc_id) JOIN {CLASSED} c USING (doc_id)
-      WHERE NOT regexp_matches(c.name, '^~') AND h.doc_id IN (SELECT doc_id FROM {CURRENT})),
-    s AS (SELECT query_id, doc_id, round(rrf + {BONUS_SQL} + {BONUS} - CASE WHEN regexp_matches(name, '(?i){qs.SUPERSEDED}') THEN 0.5 ELSE 0 END, 9) AS score FROM h)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""",
-)
+#: Questions about a drawing in the words of a document, and passages with the names of their documents.
+ASKED = rf"(SELECT doc_id AS query_id, {LIST(ASKS)}[(doc_id % 6)::INTEGER + 1] || array_to_string(list_slice(regexp_split_to_array(trim(text), '\s+'), 1, 10), ' ') || ' ' || drawing || '?' AS question FROM documents JOIN {MARKED} m USING (doc_id) WHERE doc_id % 50 = 0)"
+PASSAGES = f"(SELECT c.doc_id, c.name, layer, authority, c.lang = 'en' AS own, c.name || ': ' || text AS passage FROM {CLASSED} c JOIN documents d USING (doc_id))"
+SHARE = lambda phrases: f"CASE WHEN len({phrases}) > 0 THEN len(list_filter({phrases}, lambda x: len(list_filter(string_split(x, ' '), lambda w: NOT contains(lower(passage), w))) = 0)) / len({phrases})::DOUBLE ELSE 0 END"
+FULL_SQL = f"""WITH p AS MATERIALIZED (SELECT *, list_distinct(regexp_extract_all(lower(passage), '[a-z0-9]+')) AS toks FROM {PASSAGES}), q0 AS (SELECT * FROM {ASKED}),
+    w AS (SELECT query_id, unnest(regexp_extract_all(question, '[A-Za-z][A-Za-z0-9]{{3,}}')) AS w, generate_subscripts(regexp_extract_all(question, '[A-Za-z][A-Za-z0-9]{{3,}}'), 1) AS i FROM q0),
+    f AS (SELECT query_id, lower(w) AS term, arg_min(w, i) AS w, min(i) AS i FROM w GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (NOT regexp_matches(substr(w, 1, 1), '[A-Z]')), -length(w), i) AS r FROM f WHERE NOT list_contains({LIST((*qs.STOP_WORDS, *qs.MORE_STOP_WORDS))}, term)),
+    two AS (SELECT a.query_id, list(a.term || ' ' || b.term) AS pairs FROM r a JOIN r b ON a.query_id = b.query_id AND a.r < b.r AND b.r <= 5 GROUP BY 1),
+    q AS (SELECT q0.*, coalesce(pairs, []) AS pairs, list_transform(list_distinct(regexp_extract_all(question, '([A-Z]{{1,4}}-?[0-9]{{2,}})', 1)), lambda c: replace(lower(c), '-', ' ')) AS ids FROM q0 LEFT JOIN two USING (query_id)),
+    held AS (SELECT query_id, doc_id, len(list_filter(ids, lambda x: list_has_all(toks, string_split(x, ' ')))) AS n_ids, len(list_filter(pairs, lambda x: list_has_all(toks, string_split(x, ' ')))) AS n_pairs FROM q, p),
+    by_id AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_ids DESC, doc_id) AS k FROM held WHERE n_ids > 0),
+    by_pair AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_pairs DESC, doc_id) AS k FROM held WHERE n_pairs > 0),
+    pool AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(rrf, 0) AS score FROM {HYBRID} a FULL JOIN (SELECT * FROM by_id WHERE k <= 20) b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+    hits AS (SELECT *, false AS extra FROM pool UNION ALL SELECT query_id, doc_id, 0, true FROM by_pair WHERE k <= 20 AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM pool)),
+    told AS (SELECT b.*, question, p.* EXCLUDE (doc_id), 2 * {SHARE('ids')} AS code, {SHARE('pairs')} AS pair FROM hits b JOIN q USING (query_id) JOIN p USING (doc_id)),
+    led AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY extra, score + code DESC, doc_id) AS lead FROM told),
+    gated AS (SELECT *, max(pair > 0 AND lead <= 5 AND NOT extra) OVER (PARTITION BY query_id) AS grounded, max(pair > 0 AND NOT extra) OVER (PARTITION BY query_id) AS there FROM led),
+    scored AS (SELECT *, score + CASE WHEN extra THEN pair WHEN grounded THEN code ELSE greatest(code, pair) END + words + CASE WHEN own THEN 0.1::DOUBLE ELSE 0 END AS total
+      FROM (SELECT *, CASE WHEN own THEN 0 ELSE least(1.2::DOUBLE, 0.25::DOUBLE * len(list_filter({TERMS.replace('text', 'question')}, lambda w: contains(lower(passage), w)))) END AS words FROM gated WHERE NOT extra OR NOT there)),
+    above AS (SELECT *, max(total) FILTER (own) OVER (PARTITION BY query_id) AS best FROM scored),
+    final AS (SELECT query_id, doc_id, own, name, round(total - CASE WHEN regexp_matches(name, '(?i){qs.SUPERSEDED}') THEN 0.5 ELSE 0 END + {BONUS}, 9) AS score FROM above WHERE own OR best IS NULL OR total - words >= best + 0.15),
+    marked AS (SELECT f.*, drawing, kind, value, max(value) OVER (PARTITION BY query_id, drawing, kind) AS newest FROM final f JOIN {RANKED} m USING (doc_id)),
+    seen AS (SELECT *, NOT own AND sum((NOT own)::INTEGER) OVER (PARTITION BY query_id ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING) > 2 AS late FROM marked WHERE (drawing = '' OR kind IS NULL OR value = newest) AND NOT regexp_matches(name, '^~'))
+    SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, score DESC, doc_id) AS rank FROM seen) WHERE rank <= 5"""
+
+
+@query("full_retrieval", FULL_SQL)
 def full_retrieval(t: Tables) -> DataFrame:
-    """Fused hits without noise and old revisions, with bonuses for shared words and authority and a penalty for what is superseded."""
-    known = classed(t).where(~F.col("name").rlike(qs.LOCK_FILE)).join(retrieval.current(names(t)).select("doc_id"), "doc_id", "left_semi")
-    hits = hybrid(t).join(known, "doc_id").join(t.documents.select("doc_id", F.col("text").alias("passage")), "doc_id").join(asked(t).withColumnRenamed("text", "question"), "query_id")
-    bonus = qs.lexical_bonus(qs.significant_terms(F.col("question")), F.col("passage")) + qs.precedence_bonus(F.col("layer"), F.col("authority"))
-    score = F.round(F.col("rrf") + bonus - F.when(qs.superseded(F.col("name")), 0.5).otherwise(0.0), 9)
-    return retrieval.ranked(hits.select("query_id", "doc_id", score.alias("score")), "query_id", "score", "doc_id", 5)
+    """The fused search with identifiers and rescued words, all bonuses, the margin with fold, current revisions and the cap on background."""
+    drawing = qs.drawing_number(F.col("name"))
+    text = F.concat(PICK(ASKS, "doc_id"), qs.snippet(F.col("text"), 10), F.lit(" "), drawing, F.lit("?"))
+    wanted = t.documents.where("doc_id % 50 = 0").join(names(t), "doc_id").select(F.col("doc_id").alias("query_id"), text.alias("question"))
+    passages = classed(t).join(t.documents.select("doc_id", "text", (F.col("lang") == "en").alias("own")), "doc_id")
+    passages = passages.select("doc_id", "name", "layer", "authority", "own", F.concat("name", F.lit(": "), "text").alias("passage"))
+    phrases = wanted.select("query_id", retrieval.codes(F.col("question")).alias("codes"), retrieval.rescue_phrases(F.col("question")).alias("pairs"))
+    words = phrases.select(F.explode(F.concat("codes", "pairs")).alias("phrase")).select(F.explode(lexical_index.terms_of("phrase")).alias("term"))
+    index = lexical_index.Index(passages.select("doc_id", F.col("passage").alias("text")), words)
+    by_code, by_pair = (index.holding(phrases.select("query_id", F.col(c).alias("phrases")), 20).select("query_id", "doc_id") for c in ("codes", "pairs"))
+    found = hybrid(t).select("query_id", "doc_id", "rrf").join(by_code, ["query_id", "doc_id"], "full").select("query_id", "doc_id", F.coalesce("rrf", F.lit(0.0)).alias("score"))
+    known = lambda hits: hits.join(wanted, "query_id").join(passages, "doc_id")
+    return retrieval.full_scores(known(found), known(by_pair.withColumn("score", F.lit(0.0))), 5, boost=0.1, margin=0.15, fold=True, cap=2)
 
 
 @query(
