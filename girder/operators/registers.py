@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import schedule
+from . import networks
 
 
 def compressed(activities: DataFrame, edges: DataFrame, reduced: Column) -> DataFrame:
@@ -14,14 +14,12 @@ def compressed(activities: DataFrame, edges: DataFrame, reduced: Column) -> Data
     Both scenarios are networks of their own in one pass.
     """
     scenario = F.explode(F.array(F.lit("before"), F.lit("after"))).alias("scenario")
-    named = activities.select("*", scenario)
+    both = F.struct("network", "scenario").alias("network")
     duration = F.when(F.col("scenario") == "after", reduced).otherwise(F.col("duration"))
-    both = named.select(F.concat_ws("|", F.col("network").cast("string"), "scenario").alias("network"), "activity", duration.alias("duration"))
-    arcs = edges.select("*", scenario).withColumn("network", F.concat_ws("|", F.col("network").cast("string"), "scenario"))
-    ends = schedule.critical_path(both, arcs).groupBy("network").agg(F.max("early_finish").alias("finish"))
-    parts = F.split("network", r"\|")
-    named_ends = ends.select(F.element_at(parts, 1).alias("network"), F.element_at(parts, 2).alias("scenario"), "finish")
-    wide = named_ends.groupBy("network").agg(*(F.max(F.when(F.col("scenario") == s, F.col("finish"))).alias(s) for s in ("before", "after")))
+    acts = activities.select("*", scenario).select(both, "activity", duration.alias("duration"))
+    arcs = edges.select("*", scenario).select(both, "pred", "succ", "kind", "lag")
+    ends = networks.critical_path(acts, arcs).groupBy("network").agg(F.max("early_finish").alias("finish"))
+    wide = ends.groupBy(F.col("network.network").alias("network")).agg(*(F.max(F.when(F.col("network.scenario") == s, F.col("finish"))).alias(s) for s in ("before", "after")))
     return wide.withColumn("saved", F.col("before") - F.col("after"))
 
 

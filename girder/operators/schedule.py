@@ -34,10 +34,11 @@ def weighted(activities: DataFrame, edges: DataFrame) -> DataFrame:
 def longest(nodes: DataFrame, arcs: DataFrame, most: int) -> DataFrame:
     """(network, activity, at): the least values of ``at`` that are at least those given and ``at`` of source plus w along each arc.
 
-    Each round joins the nodes that moved with their arcs, and keeps the values of all nodes anew. Raises ValueError
-    if values still move after as many rounds as the largest network has activities: that takes a cycle.
+    Each round joins the nodes that moved with their arcs and keeps only what moves further; the values of all nodes are
+    put together at the end. Raises ValueError if values still move after as many rounds as the largest
+    network has activities: that takes a cycle.
     """
-    values, moved, rounds = nodes, nodes, 0
+    moved, told, rounds = nodes, nodes, 0
     while True:
         pushed = (
             moved.withColumnRenamed("activity", "source")
@@ -45,22 +46,19 @@ def longest(nodes: DataFrame, arcs: DataFrame, most: int) -> DataFrame:
             .groupBy("network", F.col("target").alias("activity"))
             .agg(F.max(F.col("at") + F.col("w")).alias("pushed"))
         )
-        both = cut(values.join(pushed, ["network", "activity"], "left"))
-        moved = both.where("pushed > at").select("network", "activity", F.col("pushed").alias("at"))
-        values = both.select("network", "activity", F.greatest("at", "pushed").alias("at"))
+        # Of what was told before, only the values of the nodes that are pushed now are looked at.
+        now = told.join(pushed, ["network", "activity"]).groupBy("network", "activity", "pushed").agg(F.max("at").alias("was"))
+        moved = cut(now.where("pushed > was").select("network", "activity", F.col("pushed").alias("at")))
         if moved.isEmpty():
-            return values
+            return told.groupBy("network", "activity").agg(F.max("at").alias("at"))
+        told = told.unionByName(moved)
         rounds += 1
         if rounds > most:
             raise ValueError("a schedule network has a cycle")
 
 
 def critical_path(activities: DataFrame, edges: DataFrame) -> DataFrame:
-    """Early and late dates, floats and criticality of (network, activity, duration) under (network, pred, succ, kind, lag).
-
-    ``kind`` is FS, SS, FF or SF; lags may be negative; nothing starts before day 0. Edges to unknown activities
-    are dropped. Free float is the least slack to a successor, 0 at least, and the total float where there is none.
-    """
+    """networks.critical_path by rounds of joins, for networks that no task should hold; as many rounds as the longest chain has links."""
     activities = cut(activities.select("network", "activity", F.col("duration").cast("long").alias("duration")))
     arcs = cut(weighted(activities, edges))
     most = activities.groupBy("network").count().agg(F.max("count")).first()[0] or 0

@@ -17,7 +17,7 @@ FAST = NETWORK.replace("max(l_quantity)::BIGINT % 10 + 1 AS duration", "greatest
 @query(
     "schedule_compression",
     f"""WITH a AS (WITH RECURSIVE {NETWORK} SELECT network, max(early_finish) AS before FROM cpm GROUP BY 1), b AS (WITH RECURSIVE {FAST} SELECT network, max(early_finish) AS after FROM cpm GROUP BY 1)
-    SELECT network::VARCHAR AS network, before, after, before - after AS saved FROM a JOIN b USING (network)""",
+    SELECT network, before, after, before - after AS saved FROM a JOIN b USING (network)""",
 )
 def schedule_compression(t: Tables) -> DataFrame:
     """Activities of over six days take three days less."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import networks as net
 from ..operators import schedule
 from ..operators.boq import exact_quantiles
 from ..registry import Tables, query
@@ -40,7 +41,7 @@ def networks(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query("cpm_schedule", f"WITH RECURSIVE {NETWORK} SELECT * FROM cpm")
 def cpm_schedule(t: Tables) -> DataFrame:
-    return schedule.critical_path(*networks(t))
+    return net.critical_path(*networks(t))
 
 
 @query(
@@ -50,7 +51,7 @@ def cpm_schedule(t: Tables) -> DataFrame:
 )
 def cpm_summary(t: Tables) -> DataFrame:
     near, critical = F.count_if(F.col("total_float").between(1, 4)), F.count_if("is_critical")
-    return schedule.critical_path(*networks(t)).groupBy("network").agg(
+    return net.critical_path(*networks(t)).groupBy("network").agg(
         F.max("early_finish").alias("finish"), F.count("*").alias("n"), critical.alias("n_critical"), near.alias("n_near"), (critical * 100.0 / F.count("*")).alias("critical_pct")
     )
 
