@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .schedule import cut
 
 def section_totals(lines: DataFrame, section: str = "section", total: str = "total_cost") -> DataFrame:
     """(section, n_lines, section_total, share_pct) of each section; share_pct is null where all totals are 0."""
@@ -31,42 +32,58 @@ def merge_lines(lines: DataFrame, description: str, quantity: str, total: str, o
     )
 
 
-def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], count: str | None = None, least: int = 1) -> DataFrame:
+#: Ranges of about equally many distinct values into which each group is cut.
+RANGES = 64
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], count: str | None = None, least: int = 1, times: str | None = None) -> DataFrame:
     """Interpolated quantiles of each group, exactly, and n; ``shares`` tells which by name. Null values don't count but in ``count="*"``.
 
-    Values are counted per group first, so that what meets are distinct values and their counts. A sort within ranges
-    of each group then finds the two values around each place: no task holds all values of a large group.
+    Values are counted per group first (``times``: each row stands for so many), so that what meets are distinct
+    values and their counts. Approximate quantiles of these cut each group into ranges of about equal size, whatever
+    the values; the counts of the ranges tell in which of them the places sought lie, and only the values of those are
+    put in order. No task holds all values of a large group.
     """
     keys = [F.col(c).alias(f"__{c}") for c in by]
-    counted = rows.groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__k"))
-    sizes = counted.groupBy(*(f"__{c}" for c in by)).agg(
-        F.sum(F.when(F.col("__v").isNotNull(), F.col("__k"))).alias("__n"), F.sum("__k").alias("__all"), F.min("__v").alias("__low"), F.max("__v").alias("__high")
+    groups = [f"__{c}" for c in by]
+    same = lambda a, b: [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in groups]
+    counted = rows.groupBy(*keys, F.col(value).alias("__v")).agg((F.sum(times) if times else F.count("*")).alias("__k"))
+    cuts = F.percentile_approx("__v", [i / RANGES for i in range(1, RANGES)], 20 * RANGES)
+    sizes = counted.groupBy(*groups).agg(
+        F.sum(F.when(F.col("__v").isNotNull(), F.col("__k"))).alias("__n"), F.sum("__k").alias("__all"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), cuts.alias("__cuts")
     )
-    buckets = 64
-    same = lambda a, b: [F.col(f"{a}.__{c}").eqNullSafe(F.col(f"{b}.__{c}")) for c in by]
-    width = (F.col("s.__high") - F.col("s.__low")) / buckets
-    part = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("c.__v") - F.col("s.__low")) / width))).otherwise(0)
+    n = F.col("__all") if count == "*" else F.coalesce("__n", F.lit(0))
+    sizes = sizes.where(n >= least)
+    part = F.size(F.filter("s.__cuts", lambda x: x < F.col("c.__v")))
     placed = counted.where("__v IS NOT NULL").alias("c").join(sizes.alias("s"), same("c", "s")).select("c.*", "s.__n", part.alias("__part"))
-    groups = [f"__{c}" for c in by]
-    parts = placed.groupBy(*groups, "__part").agg(F.sum("__k").alias("__of"))
-    before = F.coalesce(F.sum("__of").over(Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = parts.withColumn("__before", before)  # at most ``buckets`` rows a group
+    # At most RANGES rows a group.
+    upto = F.sum("__of").over(Window.partitionBy(*groups).orderBy("__part"))
+    parts = placed.groupBy(*groups, "__part").agg(F.sum("__k").alias("__of"), F.first("__n").alias("__n")).withColumn("__before", upto - F.col("__of"))
+    place = lambda share: (F.col("__n") - 1) * F.lit(float(share))
+    holds = [(at >= F.col("__before")) & (at < F.col("__before") + F.col("__of")) for share in shares.values() for at in (F.floor(place(share)), F.ceil(place(share)))]
+    wanted = parts.where(F.greatest(*(h.cast("int") for h in holds)) == 1).select(*groups, "__part", "__before") if len(holds) > 1 else parts.where(holds[0])
     running = F.sum("__k").over(Window.partitionBy(*(f"c.{g}" for g in groups), "c.__part").orderBy("c.__v"))
-    ranked = placed.alias("c").join(offsets.alias("s"), [*same("c", "s"), F.col("c.__part") == F.col("s.__part")]).select("c.*", (running + F.col("s.__before")).alias("__upto"))
+    ranked = placed.alias("c").join(wanted.alias("s"), [*same("c", "s"), F.col("c.__part") == F.col("s.__part")]).select("c.*", (running + F.col("s.__before")).alias("__upto"))
     picks = []
     for name, share in shares.items():
-        at = (F.col("__n") - 1) * F.lit(float(share))
-        pick = lambda place: F.min(F.when(F.col("__upto") > place, F.col("__v")))
+        at = place(share)
+        pick = lambda where: F.min(F.when(F.col("__upto") > where, F.col("__v")))
         low, high = pick(F.floor(at)), pick(F.ceil(at))
         weight = F.max(at - F.floor(at))
         picks.append(F.when(weight == 0, low).otherwise(low * (1 - weight) + high * weight).alias(name))
     found = ranked.groupBy(*groups).agg(*picks)
     joined = sizes.alias("s").join(found.alias("f"), same("s", "f"), "left")
-    n = F.col("s.__all") if count == "*" else F.coalesce("s.__n", F.lit(0))
-    out = joined.where(n >= least).select(*(F.col(f"s.__{c}").alias(c) for c in by), n.alias("n"), *(F.col(f"f.{name}") for name in shares), F.col("s.__low").alias("low"), F.col("s.__high").alias("high"))
+    out = joined.select(*(F.col(f"s.{g}").alias(c) for g, c in zip(groups, by, strict=True)), n.alias("n"), *(F.col(f"f.{name}") for name in shares), F.col("s.__low").alias("low"), F.col("s.__high").alias("high"))
     return out if count is None else out.drop("low", "high")
 
 
+def rate_cards(lines: DataFrame, cards: dict[tuple[str, ...], int], rate: str) -> list[DataFrame]:
+    """The median ``rate`` by each tuple of columns, of groups with so many lines; all are rolled up from one count of the lines."""
+    most = list(dict.fromkeys(c for by in cards for c in by))
+    counts = cut(lines.groupBy(*most, rate).agg(F.count("*").alias("lines")))
+    return [exact_quantiles(counts, list(by), rate, {"rate": 0.5}, count="*", least=least, times="lines").drop("n") for by, least in cards.items()]
+
+
 def unit_rates(lines: DataFrame, by: list[str], rate: str, least: int = 2) -> DataFrame:
     """n, median, quartiles, lowest and highest rate of each group with ``least`` rates or more."""
     return exact_quantiles(lines, by, rate, {"p25": 0.25, "median": 0.5, "p75": 0.75}, least=least)

@@ -117,11 +117,10 @@ def rate_card_grouping_sets(t: Tables) -> DataFrame:
 )
 def rate_card_reconcile(t: Tables) -> DataFrame:
     """The card of finished lines against that of open ones."""
-    rate = lambda cond, name: boq.exact_quantiles(lines(t).where(cond), ["category"], "unit_cost", {name: 0.5}, count="*")
-    x, y = rate("status = 'F'", "rate_a").alias("x"), rate("status <> 'F'", "rate_b").alias("y")
-    side = F.when(F.col("y.category").isNull(), "left").when(F.col("x.category").isNull(), "right").otherwise("both")
-    both = x.join(y, F.col("x.category") == F.col("y.category"), "full")
-    return both.select(F.coalesce("x.category", "y.category").alias("category"), "rate_a", "rate_b", boq.variance(F.col("rate_b"), F.col("rate_a")).alias("diff_pct"), side.alias("side"))
+    cards = boq.exact_quantiles(lines(t).withColumn("done", F.col("status") == "F").where("done IS NOT NULL"), ["category", "done"], "unit_cost", {"rate": 0.5}, count="*")
+    both = cards.groupBy("category").agg(*(F.max(F.when(F.col("done") == d, F.col("rate"))).alias(name) for d, name in ((True, "rate_a"), (False, "rate_b"))), F.max("done").alias("a"), F.max(~F.col("done")).alias("b"))
+    side = F.when(~F.col("b"), "left").when(~F.col("a"), "right").otherwise("both")
+    return both.select("category", "rate_a", "rate_b", boq.variance(F.col("rate_b"), F.col("rate_a")).alias("diff_pct"), side.alias("side"))
 
 
 TIERS = f"""e AS (SELECT section, category, median(unit_cost) AS rate FROM {LINES} GROUP BY ALL HAVING count(*) >= 8),
@@ -132,9 +131,7 @@ WHEN s.rate IS NOT NULL THEN 'section' ELSE 'no rate' END AS rate_source FROM {L
 
 
 def priced(t: Tables) -> DataFrame:
-    all_lines = lines(t)
-    card = lambda by, least, of: boq.exact_quantiles(of, by, "unit_cost", {"rate": 0.5}, count="*", least=least).drop("n")
-    return boq.tiered_price(all_lines, card(["section", "category"], 8, all_lines), card(["category"], 200, all_lines), card(["section"], 1, all_lines))
+    return boq.tiered_price(lines(t), *boq.rate_cards(lines(t), {("section", "category"): 8, ("category",): 200, ("section",): 1}, "unit_cost"))
 
 
 @query("price_tiered_fallback", f"WITH {TIERS} SELECT order_id, line_no, rate, rate_source FROM priced")
