@@ -32,56 +32,56 @@ def merge_lines(lines: DataFrame, description: str, quantity: str, total: str, o
     )
 
 
-#: Ranges of about equally many distinct values into which each group is cut.
-RANGES = 64
+#: Approximate quantiles are off by one in ACCURACY of a group's rows at most; exact ones are sought NEAR of these steps around.
+ACCURACY, NEAR = 2000, 4
 
 
-def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], count: str | None = None, least: int = 1, times: str | None = None) -> DataFrame:
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], count: str | None = None, least: int = 1) -> DataFrame:
     """Interpolated quantiles of each group, exactly, and n; ``shares`` tells which by name. Null values don't count but in ``count="*"``.
 
-    Values are counted per group first (``times``: each row stands for so many), so that what meets are distinct
-    values and their counts. Approximate quantiles of these cut each group into ranges of about equal size, whatever
-    the values; the counts of the ranges tell in which of them the places sought lie, and only the values of those are
-    put in order. No task holds all values of a large group.
+    Approximate quantiles bracket each place in a first pass, whatever the values. The second counts what lies below
+    each bracket, and each value inside one: everything else is added up where it is read. Only the values inside, less
+    than a hundredth of a large group, are put in order.
     """
-    keys = [F.col(c).alias(f"__{c}") for c in by]
     groups = [f"__{c}" for c in by]
     same = lambda a, b: [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in groups]
-    counted = rows.groupBy(*keys, F.col(value).alias("__v")).agg((F.sum(times) if times else F.count("*")).alias("__k"))
-    cuts = F.percentile_approx("__v", [i / RANGES for i in range(1, RANGES)], 20 * RANGES)
-    sizes = counted.groupBy(*groups).agg(
-        F.sum(F.when(F.col("__v").isNotNull(), F.col("__k"))).alias("__n"), F.sum("__k").alias("__all"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), cuts.alias("__cuts")
-    )
-    n = F.col("__all") if count == "*" else F.coalesce("__n", F.lit(0))
-    sizes = sizes.where(n >= least)
-    part = F.size(F.filter("s.__cuts", lambda x: x < F.col("c.__v")))
-    placed = counted.where("__v IS NOT NULL").alias("c").join(sizes.alias("s"), same("c", "s")).select("c.*", "s.__n", part.alias("__part"))
-    # At most RANGES rows a group.
-    upto = F.sum("__of").over(Window.partitionBy(*groups).orderBy("__part"))
-    parts = placed.groupBy(*groups, "__part").agg(F.sum("__k").alias("__of"), F.first("__n").alias("__n")).withColumn("__before", upto - F.col("__of"))
-    place = lambda share: (F.col("__n") - 1) * F.lit(float(share))
-    holds = [(at >= F.col("__before")) & (at < F.col("__before") + F.col("__of")) for share in shares.values() for at in (F.floor(place(share)), F.ceil(place(share)))]
-    wanted = parts.where(F.greatest(*(h.cast("int") for h in holds)) == 1).select(*groups, "__part", "__before") if len(holds) > 1 else parts.where(holds[0])
-    running = F.sum("__k").over(Window.partitionBy(*(f"c.{g}" for g in groups), "c.__part").orderBy("c.__v"))
-    ranked = placed.alias("c").join(wanted.alias("s"), [*same("c", "s"), F.col("c.__part") == F.col("s.__part")]).select("c.*", (running + F.col("s.__before")).alias("__upto"))
+    plain = rows.select(*(F.col(c).alias(g) for c, g in zip(by, groups, strict=True)), F.col(value).alias("__v"))
+    near = NEAR / ACCURACY
+    around = [x for s in shares.values() for x in (max(0.0, s - near), min(1.0, s + near))]
+    sizes = plain.groupBy(*groups).agg(F.count("__v").alias("__n"), F.count("*").alias("__all"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.percentile_approx("__v", around, ACCURACY).alias("__cuts"))
+    n = F.col("__all") if count == "*" else F.col("__n")
+    sizes = cut(sizes.where(n >= least))
+    names = list(shares)
+    # Of a small group all values are inside.
+    edge = lambda end, at: F.when(F.col("__n") <= ACCURACY, F.col(end)).otherwise(F.col("__cuts")[at])
+    low, high = ({s: edge(end, 2 * i + k) for i, s in enumerate(names)} for k, end in enumerate(("__low", "__high")))
+    inside = F.greatest(*((F.col("__v") >= low[s]) & (F.col("__v") <= high[s]) for s in names), F.lit(False))
+    met = plain.where("__v IS NOT NULL").alias("c").join(sizes.alias("s"), same("c", "s")).select("c.*", "s.__n", "s.__cuts", "s.__low", "s.__high").withColumn("__in", F.when(inside, F.col("__v")))
+    below = [F.sum((F.col("__v") < low[s]).cast("long")).alias(f"__b{i}") for i, s in enumerate(names)]
+    counted = met.groupBy(*groups, "__in").agg(F.count("*").alias("__k"), *below, *(F.first(c).alias(c) for c in ("__n", "__cuts", "__low", "__high")))
+    whole = Window.partitionBy(*groups)
     picks = []
-    for name, share in shares.items():
-        at = place(share)
-        pick = lambda where: F.min(F.when(F.col("__upto") > where, F.col("__v")))
-        low, high = pick(F.floor(at)), pick(F.ceil(at))
+    ranked = counted
+    for i, s in enumerate(names):
+        running = F.sum(F.when(F.col("__in") >= low[s], F.col("__k"))).over(whole.orderBy("__in"))
+        ranked = ranked.withColumn(f"__u{i}", running + F.sum(f"__b{i}").over(whole)).withColumn(f"__w{i}", F.sum(f"__b{i}").over(whole))
+        at = (F.col("__n") - 1) * F.lit(float(shares[s]))
+        upto = F.when((F.col("__in") >= low[s]) & (F.col(f"__w{i}") <= F.floor(at)), F.col(f"__u{i}"))
+        pick = lambda where, upto=upto: F.min(F.when(upto > where, F.col("__in")))
+        first, second = pick(F.floor(at)), pick(F.ceil(at))
         weight = F.max(at - F.floor(at))
-        picks.append(F.when(weight == 0, low).otherwise(low * (1 - weight) + high * weight).alias(name))
-    found = ranked.groupBy(*groups).agg(*picks)
+        exact = F.when(weight == 0, first).otherwise(first * (1 - weight) + second * weight)
+        picks.append(F.when(second.isNull(), F.raise_error(F.lit("a bracket of approximate quantiles misses its place"))).otherwise(exact).alias(s))
+    found = ranked.where("__in IS NOT NULL").groupBy(*groups).agg(*picks)
     joined = sizes.alias("s").join(found.alias("f"), same("s", "f"), "left")
-    out = joined.select(*(F.col(f"s.{g}").alias(c) for g, c in zip(groups, by, strict=True)), n.alias("n"), *(F.col(f"f.{name}") for name in shares), F.col("s.__low").alias("low"), F.col("s.__high").alias("high"))
+    out = joined.select(*(F.col(f"s.{g}").alias(c) for g, c in zip(groups, by, strict=True)), n.alias("n"), *(F.col(f"f.{s}") for s in names), F.col("s.__low").alias("low"), F.col("s.__high").alias("high"))
     return out if count is None else out.drop("low", "high")
 
 
 def rate_cards(lines: DataFrame, cards: dict[tuple[str, ...], int], rate: str) -> list[DataFrame]:
-    """The median ``rate`` by each tuple of columns, of groups with so many lines; all are rolled up from one count of the lines."""
-    most = list(dict.fromkeys(c for by in cards for c in by))
-    counts = cut(lines.groupBy(*most, rate).agg(F.count("*").alias("lines")))
-    return [exact_quantiles(counts, list(by), rate, {"rate": 0.5}, count="*", least=least, times="lines").drop("n") for by, least in cards.items()]
+    """The median ``rate`` by each tuple of columns, of groups with so many lines; the lines are read once for all."""
+    kept = cut(lines.select(*dict.fromkeys(c for by in cards for c in by), rate))
+    return [exact_quantiles(kept, list(by), rate, {"rate": 0.5}, count="*", least=least).drop("n") for by, least in cards.items()]
 
 
 def unit_rates(lines: DataFrame, by: list[str], rate: str, least: int = 2) -> DataFrame:

@@ -13,6 +13,11 @@ Scoring looks postings up by document and term, so no list of a common term is r
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,25 +37,50 @@ def level(impact: Column) -> Column:
     return F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.floor(impact / MOST * LEVELS))).cast("int")
 
 
+COUNTED = "doc_id long, term string, tf int, len int"
+WORD = re.compile("[a-z0-9]+")
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """COUNTED rows of each document and term, and for each batch one without a term: the number of documents with terms, and of their terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[], [], [], []]
+            some = total = 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                times = Counter(WORD.findall((text or "").lower()))
+                n = times.total()
+                some, total = some + bool(n), total + n
+                for column, values in zip(columns, ([doc_id] * len(times), times.keys(), times.values(), [n] * len(times)), strict=True):
+                    column.extend(values)
+            for column, value in zip(columns, (None, None, some, total), strict=True):
+                column.append(value)
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in COUNTED.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COUNTED)
+
+
 class Index:
     """Postings (term, level, doc_id, impact) of ``docs`` (doc_id, text) and the lexicon (term, df, top).
 
-    With ``terms`` (term) only their lists are built. Rows with one doc_id are one document; a null text has no terms.
+    With ``terms`` (term) only their lists are built. Each row is a document; a null text has no terms. Words are
+    counted in one pass, in Arrow batches, so that no document is shuffled.
     """
 
     def __init__(self, docs: DataFrame, terms: DataFrame | None = None):
-        lengths = docs.select("doc_id", F.size(terms_of("text")).alias("len")).where("len > 0").groupBy("doc_id").agg(F.sum("len").alias("len"))
-        lengths = cut(lengths)
-        n, mean = lengths.agg(F.count("*"), F.avg("len")).first()
-        tokens = docs.select("doc_id", F.explode(terms_of("text")).alias("term"))
+        rows = counted(docs)
         if terms is not None:
-            tokens = tokens.join(terms.distinct(), "term", "left_semi")
-        tf = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
-        postings = tf.join(lengths, "doc_id").select("term", "doc_id", impact.alias("impact"))
-        self.postings = cut(postings.withColumn("level", level(F.col("impact"))))
+            rows = rows.join(cut(terms.distinct()).withColumn("__asked", F.lit(True)), "term", "left").where("__asked OR term IS NULL").select("doc_id", "term", "tf", "len")
+        rows = cut(rows)
+        n, total = rows.where("term IS NULL").agg(F.sum("tf"), F.sum("len")).first()
+        n, mean = n or 0, (total or 0) / (n or 1)
+        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
+        postings = rows.where("term IS NOT NULL").select("term", "doc_id", impact.alias("impact"))
+        self.postings = postings.withColumn("level", level(F.col("impact")))
         lexicon = self.postings.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("top"))
-        self.lexicon = lexicon.withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        self.lexicon = cut(lexicon.withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))))
 
     def scores(self, pairs: DataFrame, asked: DataFrame) -> DataFrame:
         """(query_id, doc_id, score) of pairs of a question and a document."""
@@ -66,6 +96,7 @@ class Index:
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         first = asked.where(F.col("before") < 4 * k).join(self.postings, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * F.col("impact")).alias("score"))
         first = first.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * k).select("query_id", "doc_id")
+        first = cut(first)
         floors = self.scores(first, asked).withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", (F.col("score") - SLACK).alias("floor"))
 
         longest = Window.partitionBy("query_id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,6 +108,7 @@ class Index:
         hits = blocks.join(self.postings, ["term", "level"]).where("idf * impact >= least")
         reach = F.sum(F.col("idf") * F.col("impact") - F.col("unseen")) + F.first("all_unseen")
         pairs = hits.groupBy("query_id", "doc_id").agg(reach.alias("reach"), F.first(F.coalesce("floor", F.lit(0.0))).alias("floor")).where("reach >= floor").select("query_id", "doc_id")
+        pairs = cut(pairs)
         return self.scores(pairs, asked).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
 
 

@@ -4,21 +4,29 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, kept in the folder that spark.checkpoint.dir names (a local one where it is unset and all run in one process)."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.match(r"local(\[|:|$)", context.master):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a local one where it is unset and all run in one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|:|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage: written to the shared folder and read again. Spark then knows its size, and broadcasts it where that is small."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def weighted(activities: DataFrame, edges: DataFrame) -> DataFrame:

@@ -18,5 +18,3 @@ def test_quantiles_of_uneven_groups(spark):
         assert got[g].n == len(values) and (got[g].low, got[g].high) == (min(values), max(values))
         for name, share in shares.items():
             assert np.isclose(got[g][name], np.quantile(values, share), rtol=1e-12), (g, name)
-    counted = spark.createDataFrame([("a", 1.0, 5), ("a", 3.0, 4), ("a", 9.0, 1)], "g string, v double, k long")
-    assert boq.exact_quantiles(counted, ["g"], "v", {"m": 0.5}, times="k").first()["m"] == 2.0
