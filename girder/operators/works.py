@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import works
+from .schedule import cut
 
 CREW, HOURS = 4, 8.0
 
@@ -19,9 +20,12 @@ def programme(lines: DataFrame, norms: dict[str, float], crew: int = CREW, hours
     the package before. ``norms`` are man-hours a unit by category; missing_norms() tells which are needed.
     """
     same = F.trim(F.regexp_replace(F.lower(F.trim("description")), r"\s+", " "))
+    # Each distinct description is classified once, however many lines have it.
+    texts = lines.select("description").distinct().withColumn("category", works.category(same))
+    texts = texts.withColumn("stage", works.stage(F.col("description"), F.col("category"))).withColumn("place", works.site_rank(F.col("description"), F.col("category")))
+    classes = cut(texts.withColumnRenamed("description", "name"))
     merged = lines.groupBy("bill", same.alias("work")).agg(F.min_by("description", "line").alias("name"), F.min("line").alias("line"), F.sum("quantity").alias("quantity"), F.count("*").alias("n_lines"))
-    placed = merged.where("quantity > 0").withColumn("category", works.category(F.col("work")))
-    placed = placed.withColumn("stage", works.stage(F.col("name"), F.col("category"))).withColumn("place", works.site_rank(F.col("name"), F.col("category")))
+    placed = merged.where("quantity > 0").join(classes, "name")
     package = ["stage", "place", "category"]  # substructure sorts before superstructure
     of_bill, of_package = Window.partitionBy("bill"), Window.partitionBy("bill", *package)
     number = F.concat_ws(".", F.dense_rank().over(of_bill.orderBy(*package)).cast("string"), F.row_number().over(of_package.orderBy("line")).cast("string"))
@@ -37,8 +41,9 @@ def programme(lines: DataFrame, norms: dict[str, float], crew: int = CREW, hours
 
 def missing_norms(lines: DataFrame, norms: dict[str, float]) -> DataFrame:
     """(category, unit, n) of the lines whose category has no norm: what has to be asked for."""
-    placed = lines.where("quantity > 0").withColumn("category", works.category(F.col("description")))
-    return placed.where(~F.col("category").isin(*norms)).groupBy("category").agg(F.min("unit").alias("unit"), F.count("*").alias("n"))
+    texts = lines.where("quantity > 0").groupBy("description").agg(F.min("unit").alias("unit"), F.count("*").alias("n"))
+    placed = texts.withColumn("category", works.category(F.col("description")))
+    return placed.where(~F.col("category").isin(*norms)).groupBy("category").agg(F.min("unit").alias("unit"), F.sum("n").alias("n"))
 
 
 def planned_share(t: Column) -> Column:

@@ -14,11 +14,12 @@ from .works import LIST, PICK
 
 @query(
     "duplicate_strings",
-    "SELECT text, n FROM (SELECT substr(text, 1, 60) AS text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1) ORDER BY n DESC, text NULLS LAST LIMIT 20",
+    "SELECT hash, left(text, 60) AS opening, n FROM (SELECT sha256(text) AS hash, any_value(text) AS text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1) ORDER BY n DESC, hash LIMIT 20",
 )
 def duplicate_strings(t: Tables) -> DataFrame:
-    found = t.documents.groupBy(F.substring("text", 1, 60).alias("text")).agg(F.count("*").alias("n")).where("n > 1")
-    return found.orderBy(F.desc("n"), F.asc_nulls_last("text")).limit(20)
+    """The twenty texts that repeat most, compared whole by their hashes and shown by their openings."""
+    found = t.documents.where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min(F.substring("text", 1, 60)).alias("opening"), F.count("*").alias("n")).where("n > 1")
+    return found.orderBy(F.desc("n"), "hash").limit(20).select("hash", "opening", "n")
 
 
 @query(
@@ -124,12 +125,12 @@ def knowledge_rules(t: Tables) -> DataFrame:
 
 @query(
     "shared_tokens",
-    """SELECT l.doc_id, array_to_string(list_sort(list_intersect(list_distinct(regexp_extract_all(lower(substr(d.text, 1, 400)), '[a-z]{4,}')), list_distinct(regexp_extract_all(lower(substr(e.text, 1, 400)), '[a-z]{4,}')))), ' ') AS shared
+    """SELECT l.doc_id, array_to_string(list_sort(list_intersect(list_distinct(regexp_extract_all(lower(d.text), '[a-z]{4,}')), list_distinct(regexp_extract_all(lower(e.text), '[a-z]{4,}')))), ' ') AS shared
     FROM labels l JOIN documents d USING (doc_id) JOIN documents e ON e.doc_id = l.doc_id + 1""",
 )
 def shared_tokens(t: Tables) -> DataFrame:
-    """Words that a labelled document shares with the next one in their openings."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.substring("text", 1, 400)), F.lit("([a-z]{4,})"), F.lit(1)))
+    """Words that a labelled document shares with the next one."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)))
     bags = t.documents.select("doc_id", words.alias("bag"))
     following = bags.select((F.col("doc_id") - 1).alias("doc_id"), F.col("bag").alias("other"))
     both = t.labels.select("doc_id").join(bags, "doc_id").join(following, "doc_id")
@@ -211,14 +212,14 @@ def number_words(t: Tables) -> DataFrame:
 @query(
     "text_predicates",
     r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents)
-    SELECT doc_id, len(list_filter(range(3, len(w) + 1), lambda i: w[i] = w[i - 1] AND w[i] = w[i - 2])) > 0 AS repeated_run, regexp_full_match(trim(substr(coalesce(array_to_string(w, ' '), ''), 1, 6)), '[a-z]{1,3}-?[0-9]+') AS tag FROM w""",
+    SELECT doc_id, len(list_filter(range(3, len(w) + 1), lambda i: w[i] = w[i - 1] AND w[i] = w[i - 2])) > 0 AS repeated_run, len(list_filter(w, lambda x: regexp_full_match(x, '[a-z]{1,3}-?[0-9]+[a-z]?'))) AS n_tags FROM w""",
 )
 def text_predicates(t: Tables) -> DataFrame:
-    """Whether a word stands three times in a row, and whether a text opens with a tag."""
+    """Whether a word stands three times in a row, and how many words are tags of drawings."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     held = t.documents.select("doc_id", words.alias("w"))
-    tag = F.trim(F.substring(F.array_join("w", " "), 1, 6)).rlike("^[a-z]{1,3}-?[0-9]+$")
-    return held.select("doc_id", mining.repeated_run(F.col("w"), 3).alias("repeated_run"), tag.alias("tag"))
+    tags = F.size(F.filter("w", lambda w: w.rlike("^[a-z]{1,3}-?[0-9]+[a-z]?$"))).cast("long")
+    return held.select("doc_id", mining.repeated_run(F.col("w"), 3).alias("repeated_run"), tags.alias("n_tags"))
 
 
 @query(
