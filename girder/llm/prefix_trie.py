@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import map_batches, saved
 from .mixing import n_words
 from .screening import CountMin, asked, may_repeat
@@ -229,6 +230,7 @@ def prefix_nodes(conversations: DataFrame) -> DataFrame:
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return prefix_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
