@@ -97,3 +97,41 @@ def mean_of(*signals: Column) -> Column:
     """The mean of those that aren't null."""
     there = F.filter(F.array(*signals), lambda x: x.isNotNull())
     return F.try_divide(F.aggregate(there, F.lit(0.0), lambda a, x: a + x), F.size(there))
+
+
+# Who owes what in a contract, and the words that tell an obligation's field and weight, the first match counts.
+OBLIGED = (
+    (r"(?:contractor|builder)[\s\w]{0,50}(?:shall|must|will|agrees to)[\s\w]{0,100}(?:\.)", "contractor_obligation"),
+    (r"(?:employer|owner|client)[\s\w]{0,50}(?:shall|must|will|agrees to)[\s\w]{0,100}(?:\.)", "employer_obligation"),
+    (r"(?:both parties|each party)[\s\w]{0,50}(?:shall|must|will)[\s\w]{0,100}(?:\.)", "mutual_obligation"),
+    (r"(?:architect|engineer|supervisor)[\s\w]{0,50}(?:shall|must|will)[\s\w]{0,100}(?:\.)", "consultant_obligation"),
+)
+OBLIGATION_FIELDS = {
+    "safety": ["safety", "health", "protect"],
+    "risk": ["insurance", "indemnif", "liability"],
+    "financial": ["payment", "invoice", "cost"],
+    "quality": ["quality", "defect", "warranty", "guarantee"],
+    "schedule": ["time", "schedule", "milestone", "delay", "completion"],
+}
+OBLIGATION_WEIGHTS = {"high": ["shall", "must", "required", "mandatory"], "medium": ["will", "agrees to", "responsible for"]}
+
+
+def first_with(text: Column, table: dict[str, list[str]], otherwise: str) -> Column:
+    """The first entry of ``table`` one of whose words the text has as a part."""
+    low, out = F.lower(text), F.lit(otherwise)
+    for name, words in reversed(table.items()):
+        out = F.when(sum((low.contains(w).cast("int") for w in words), F.lit(0)) > 0, name).otherwise(out)
+    return out
+
+
+def obligations(text: Column, most: int = 20) -> Column:
+    """(type, text, category, priority) of the obligations in a text, by who owes them, then as they come, ``most`` at most."""
+    found = []
+    for pattern, kind in OBLIGED:
+        hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?i){pattern}"), F.lit(0))
+        found.append(F.transform(hits, _telling(kind)))
+    return F.slice(F.concat(*found), 1, most)
+
+
+def _telling(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("type"), x.alias("text"), first_with(x, OBLIGATION_FIELDS, "general").alias("category"), first_with(x, OBLIGATION_WEIGHTS, "low").alias("priority"))

@@ -147,3 +147,29 @@ def measured_quantities(measures: DataFrame, slab: float = 0.15, rebar: float =
     sums = measures.groupBy("project").agg(area.alias("floor_area"), volume.alias("volume"))
     concrete = F.least(F.when(F.col("volume") > 0, F.col("volume")).otherwise(F.col("floor_area") * slab), F.lit(750_000.0))
     return sums.select("project", "floor_area", concrete.alias("concrete"), (concrete * rebar).alias("steel"), (concrete * 250).alias("concrete_co2"), (concrete * rebar * 2.3).alias("steel_co2"))
+
+
+def deviations(built: DataFrame, design: DataFrame, tolerance: float) -> DataFrame:
+    """``built`` (with type and value) with design_value, deviation and severity where it is off by more than ``tolerance`` thousandths.
+
+    Each is held against the first of the design's rows (type, value, seq) of its type; off by over twice that is major.
+    First rows are partial minima, so that no window has all rows of a type.
+    """
+    first = design.groupBy("type").agg(F.min_by("value", "seq").cast("double").alias("design_value"))
+    off = F.abs(F.col("value").cast("double") - F.col("design_value"))
+    found = built.join(first, "type").where(off > tolerance / 1000)
+    return found.withColumn("deviation", F.round(off, 3)).withColumn("severity", F.when(off > tolerance / 500, "major").otherwise("minor"))
+
+
+def head_counts(spans: DataFrame, length: int, labour: list[str] | None = None) -> DataFrame:
+    """(network, period, heads, by_resource): who works in each period of ``length`` days, by the early dates of (network, start, finish, resource, crew).
+
+    An activity's crew counts in each period that it touches; with ``labour`` only these resources do. Crews are
+    summed for each resource before the map of a period is made of the sums.
+    """
+    kept = spans.where(F.col("resource").isin(*labour)) if labour else spans
+    last = F.greatest(F.col("start"), F.col("finish") - 1)
+    each = kept.withColumn("period", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor(last / length))))
+    sums = each.groupBy("network", "period", "resource").agg(F.sum("crew").alias("crew"))
+    entries = F.array_sort(F.collect_list(F.struct("resource", "crew")))
+    return sums.groupBy("network", "period").agg(F.sum("crew").alias("heads"), F.map_from_entries(entries).alias("by_resource"))
