@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .schedule import cut
+
 
 def word_chunks(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, chunk_index, text) of each run of ``size`` words."""
@@ -26,6 +29,8 @@ def sliding_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 BLOCK_ROWS = 2048
+#: Bytes of query matrices that one round sends to all tasks.
+ROUND_BYTES = 32 << 20
 
 
 def vector_blocks(vectors: DataFrame) -> DataFrame:
@@ -47,7 +52,8 @@ def vector_blocks(vectors: DataFrame) -> DataFrame:
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank) of the ``k`` nearest vectors of each query in a stated query set.
 
-    Blocks of queries meet blocks of vectors as matrices, and each two leave ``k`` rows a query.
+    Blocks of queries meet blocks of vectors as matrices, and each two leave ``k`` rows a query. Queries go in rounds
+    of ROUND_BYTES, so that what is broadcast is bounded however many there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,9 +65,17 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 query = np.repeat(asked, order.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], names=["query_id", "vec_id", "score"])
 
-    asked = vector_blocks(queries.where("embedding IS NOT NULL").select("vec_id", "embedding")).toDF("asked", "wanted")
-    blocks = vector_blocks(vectors.where("embedding IS NOT NULL").select("vec_id", "embedding")).crossJoin(asked)
-    scored = blocks.mapInArrow(run, "query_id long, vec_id long, score double")
+    blocks = vector_blocks(vectors.where("embedding IS NOT NULL").select("vec_id", "embedding"))
+    asked = cut(vector_blocks(queries.where("embedding IS NOT NULL").select("vec_id", "embedding")).toDF("asked", "wanted").withColumn("no", F.monotonically_increasing_id()))
+    rounds, size = [[]], 0
+    for no, n in asked.select("no", F.length("wanted")).collect():  # two numbers for BLOCK_ROWS queries
+        if size + n > ROUND_BYTES and rounds[-1]:
+            rounds, size = [*rounds, []], 0
+        rounds[-1].append(no)
+        size += n
+    # Each round takes query blocks of a checked size to all vectors, whose blocks stay where they are.
+    met = [blocks.crossJoin(F.broadcast(asked.where(F.col("no").isin(part)).select("asked", "wanted"))).mapInArrow(run, "query_id long, vec_id long, score double") for part in rounds]
+    scored = reduce(DataFrame.unionByName, met)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -18,3 +18,22 @@ def test_quantiles_of_uneven_groups(spark):
         assert got[g].n == len(values) and (got[g].low, got[g].high) == (min(values), max(values))
         for name, share in shares.items():
             assert np.isclose(got[g][name], np.quantile(values, share), rtol=1e-12), (g, name)
+
+
+def test_nearest_vectors_in_rounds(spark, monkeypatch):
+    from girder.operators import corpus
+
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(300, 6))
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)] + [(900, None)], "vec_id long, embedding array<double>").repartition(4)
+    unit = rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    want = {}
+    for q in range(0, 300, 7):
+        score = np.round(unit @ unit[q], 6)
+        want[q] = np.lexsort((np.arange(300), -score))[:4].tolist()
+    for size in (32 << 20, 100):  # all queries at once, and each block alone
+        monkeypatch.setattr(corpus, "ROUND_BYTES", size)
+        got = {}
+        for r in corpus.cosine_top(table, table.where("vec_id % 7 = 0 AND vec_id < 300"), 4).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+        assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == want
