@@ -88,3 +88,27 @@ def schedule_tables(spark: SparkSession, path: str) -> DataFrame:
     rows = filled.where("mark = '%R' AND fields IS NOT NULL")
     pairs = F.filter(F.arrays_zip(F.col("fields").alias("k"), rest.alias("v")), lambda x: x.k.isNotNull())
     return rows.select("path", "table", F.col("line").alias("row"), F.map_from_entries(pairs).alias("values"))
+
+
+def networks_of(tables: DataFrame, hours: float = 8.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(activities, links, assignments) of schedule_tables(), with activities by their codes, a network for each file.
+
+    Rows name tasks by internal ids, which two joins turn into codes. Durations are working days by the calendar of the
+    task (``hours`` a day where it has none), lags days of ``hours``. Assignments have the resource's name, whether
+    it is labour, and its units. Links and assignments of tasks that the file lacks are left out.
+    """
+    rows = lambda name: tables.where(F.col("table") == name).select(F.col("path").alias("network"), "values")
+    field = lambda name: F.col("values")[name]
+    number = lambda name: F.coalesce(field(name).try_cast("double"), F.lit(0.0))
+    calendars = rows("CALENDAR").select("network", field("clndr_id").alias("clndr"), number("day_hr_cnt").alias("day")).where("day > 0").dropDuplicates(["network", "clndr"])
+    tasks = rows("TASK").select("network", field("task_id").alias("task"), field("task_code").alias("activity"), field("clndr_id").alias("clndr"), number("target_drtn_hr_cnt").alias("h"))
+    days = F.round(F.col("h") / F.coalesce("day", F.lit(hours))).cast("long")
+    activities = tasks.join(calendars, ["network", "clndr"], "left").select("network", "activity", days.alias("duration"))
+    code = lambda name, at: tasks.select("network", F.col("task").alias(at), F.col("activity").alias(name))
+    kind = F.substring(F.coalesce(field("pred_type"), F.lit("PR_FS")), -2, 2)
+    given = rows("TASKPRED").select("network", field("pred_task_id").alias("p"), field("task_id").alias("s"), kind.alias("kind"), F.round(number("lag_hr_cnt") / hours).cast("long").alias("lag"))
+    links = given.join(code("pred", "p"), ["network", "p"]).join(code("succ", "s"), ["network", "s"]).select("network", "pred", "succ", "kind", "lag")
+    kinds = rows("RSRC").select("network", field("rsrc_id").alias("r"), field("rsrc_short_name").alias("resource"), (field("rsrc_type") == "RT_Labor").alias("labour"))
+    used = rows("TASKRSRC").select("network", field("task_id").alias("t"), field("rsrc_id").alias("r"), number("target_qty").alias("units"))
+    assignments = used.join(code("activity", "t"), ["network", "t"]).join(kinds, ["network", "r"]).select("network", "activity", "resource", "labour", "units")
+    return activities, links, assignments
