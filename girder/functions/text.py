@@ -9,10 +9,6 @@ def tokens(text: Column, least: int = 1) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: F.length(x) >= least)
 
 
-def estimated_tokens(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("int"))
-
-
 def earliest(text: Column, patterns: dict[str, str], otherwise: str) -> Column:
     """The name whose pattern matches first in the text; at equal places, the first in the table."""
     at = [F.struct(F.regexp_instr(F.lower(text), F.lit(p)).alias("at"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, p) in enumerate(patterns.items())]

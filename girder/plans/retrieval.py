@@ -251,10 +251,13 @@ def candidate_pool(t: Tables) -> DataFrame:
 
 @query(
     "confidence_gate",
-    f"SELECT query_id, max(score) AS top, count(*) AS n, max(score) >= 20 AS kept FROM {LEXICAL} GROUP BY 1",
+    f"SELECT query_id, max(score) AS top, count(*) AS n, max(score) >= 20 OR bool_or(regexp_matches(q.text, '[A-Z]{{1,4}}-?[0-9]{{2,}}')) AS kept FROM {LEXICAL} JOIN {QUESTIONS} q USING (query_id) GROUP BY 1",
 )
 def confidence_gate(t: Tables) -> DataFrame:
-    return lexical(t).groupBy("query_id").agg(F.max("score").alias("top"), F.count("*").alias("n"), (F.max("score") >= 20).alias("kept"))
+    """What is kept of the questions: those with a good enough hit, and those that name an identifier."""
+    best = lexical(t).groupBy("query_id").agg(F.max("score").alias("top"), F.count("*").alias("n"))
+    named = asked(t).select("query_id", (F.size(retrieval.codes(F.col("text"))) > 0).alias("named"))
+    return best.join(named, "query_id").select("query_id", "top", "n", ((F.col("top") >= 20) | F.col("named")).alias("kept"))
 
 
 OWN = f"(SELECT l.query_id, doc_id, l.score, lang = 'en' AS own FROM {LEXICAL} l JOIN documents USING (doc_id))"

@@ -82,10 +82,12 @@ def latest_per_scope(t: Tables) -> DataFrame:
 
 @query(
     "last_k_messages",
-    "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 3",
+    "SELECT conv_id, turn, role, (least(n, 3) - k + 1)::BIGINT AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE k <= 3",
 )
 def last_k_messages(t: Tables) -> DataFrame:
-    return ranking.top(t.conversations.select("conv_id", "turn", "role"), ["conv_id"], [F.desc("turn")], 3).drop("rank")
+    """The last three turns of each conversation, the oldest in place 1."""
+    last = ranking.top(t.conversations.select("conv_id", "turn", "role"), ["conv_id"], [F.desc("turn")], 3)
+    return last.withColumn("place", F.max("rank").over(Window.partitionBy("conv_id")) - F.col("rank") + 1).drop("rank")
 
 
 @query(
