@@ -156,3 +156,51 @@ def goods(name: Column) -> Column:
     low = F.lower(name)
     row = lambda c, weeks, who: F.struct(F.lit(c).alias("category"), F.lit(weeks).alias("lead_weeks"), F.lit(who).alias("supplier"))
     return F.coalesce(*(F.when(low.rlike(words), row(*rest)) for words, *rest in GOODS), row(*REST_OF_GOODS))
+
+
+# Indicative base rates in USD by item, first match first, with unit and what they include.
+BASE_RATES = {
+    "concrete": ("m3", 150.0, "material"), "ready-mix concrete": ("m3", 150.0, "material"), "steel": ("kg", 1.0, "material"), "rebar": ("kg", 1.0, "material"),
+    "reinforcing steel": ("kg", 1.0, "material"), "structural steel": ("kg", 2.5, "material"), "formwork": ("m2", 35.0, "all_in"), "blockwork": ("m2", 45.0, "all_in"),
+    "plaster": ("m2", 18.0, "all_in"), "paint": ("m2", 12.0, "all_in"), "tiles": ("m2", 60.0, "all_in"), "backfill": ("m3", 20.0, "all_in"),
+    "asphalt": ("m2", 40.0, "all_in"), "excavation": ("m3", 15.0, "plant_labour"), "earthworks": ("m3", 15.0, "plant_labour"),
+}
+# What places cost against the base, and what kinds of projects do.
+LOCATION_FACTORS = {
+    "us national average": 1.0, "united states": 1.0, "usa": 1.0, "us": 1.0, "us nyc": 1.35, "new york": 1.35, "us sf": 1.40, "san francisco": 1.40, "canada": 1.15, "toronto": 1.20, "vancouver": 1.22,
+    "saudi arabia": 0.85, "saudi": 0.85, "ksa": 0.85, "riyadh": 0.85, "jeddah": 0.88, "dammam": 0.84, "neom": 0.95, "uae": 0.95, "united arab emirates": 0.95, "dubai": 0.95, "abudhabi": 0.95, "abu dhabi": 0.95,
+    "sharjah": 0.92, "qatar": 0.98, "doha": 0.98, "kuwait": 0.92, "bahrain": 0.90, "oman": 0.82, "muscat": 0.82, "jordan": 0.70, "amman": 0.70, "lebanon": 0.72, "iraq": 0.80, "baghdad": 0.80,
+    "egypt": 0.55, "cairo": 0.55, "morocco": 0.60, "casablanca": 0.60, "algeria": 0.58, "tunisia": 0.55, "libya": 0.62,
+    "south africa": 0.65, "johannesburg": 0.65, "cape town": 0.66, "nigeria": 0.70, "lagos": 0.70, "kenya": 0.60, "nairobi": 0.60, "ghana": 0.65, "ethiopia": 0.55, "tanzania": 0.58,
+    "uk": 1.25, "united kingdom": 1.25, "london": 1.35, "ireland": 1.20, "dublin": 1.22, "germany": 1.30, "france": 1.25, "paris": 1.32, "netherlands": 1.30, "spain": 1.00, "madrid": 1.02, "italy": 1.05,
+    "poland": 0.80, "switzerland": 1.70, "zurich": 1.75, "sweden": 1.35, "norway": 1.55, "portugal": 0.95, "turkey": 0.65, "istanbul": 0.65,
+    "australia": 1.30, "sydney": 1.35, "melbourne": 1.30, "new zealand": 1.20, "singapore": 1.20, "japan": 1.25, "tokyo": 1.35, "south korea": 1.00, "seoul": 1.02, "hong kong": 1.45,
+    "china": 0.60, "shanghai": 0.70, "beijing": 0.68, "malaysia": 0.55, "kuala lumpur": 0.55, "indonesia": 0.50, "jakarta": 0.50, "philippines": 0.50, "manila": 0.50, "thailand": 0.55, "bangkok": 0.55,
+    "vietnam": 0.45, "india": 0.35, "mumbai": 0.35, "delhi": 0.35, "pakistan": 0.35, "bangladesh": 0.35, "sri lanka": 0.40,
+    "brazil": 0.65, "sao paulo": 0.68, "mexico": 0.60, "mexico city": 0.62, "argentina": 0.55, "chile": 0.75, "colombia": 0.58, "peru": 0.55,
+}
+PROJECT_FACTORS = {
+    "general_building": 1.0, "building": 1.0, "data_center": 1.15, "solar_plant": 0.95, "wind_farm": 1.05, "infrastructure": 0.95, "industrial": 1.10, "residential": 0.95, "commercial": 1.0, "healthcare": 1.20,
+}
+
+
+def spoken(text: Column) -> Column:
+    """Lower case, with blanks for slashes, hyphens and underscores."""
+    return F.trim(F.replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "/-_", "   "), F.lit("  "), F.lit(" ")))
+
+
+def benchmark_rate(item: Column, location: Column, project: Column) -> Column:
+    """(item, unit, basis, base, adjusted, location_known): the indicative rate of an item, null where none is known.
+
+    An item is the base item of its very name, else the first that is part of its name or has it as a part; a blank
+    one is none. Places and kinds of projects that aren't known count 1. Names are compared as ``spoken``, so kinds
+    written with an underscore are met by their factor only if the table has them as one word.
+    """
+    name = spoken(item)
+    keys = F.array(*map(F.lit, BASE_RATES))
+    found = F.filter(keys, lambda k: (name != "") & (F.contains(name, k) | F.contains(k, name)))
+    key = F.when(F.array_contains(keys, name), name).otherwise(F.get(found, F.lit(0)))
+    entry = F.element_at(F.create_map(*(x for k, (u, r, b) in BASE_RATES.items() for x in (F.lit(k), F.struct(F.lit(u).alias("unit"), F.lit(r).alias("rate"), F.lit(b).alias("basis"))))), key)
+    place, kind = lookup(LOCATION_FACTORS, spoken(location)), lookup(PROJECT_FACTORS, spoken(project))
+    adjusted = F.round(entry.rate * F.coalesce(place, F.lit(1.0)) * F.coalesce(kind, F.lit(1.0)), 2)
+    return F.struct(key.alias("item"), entry.unit.alias("unit"), entry.basis.alias("basis"), entry.rate.alias("base"), adjusted.alias("adjusted"), place.isNotNull().alias("location_known"))
