@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import mining
-from ..operators import curation, ranking
+from ..operators import curation, overlap, ranking
 from ..registry import Tables, query
 from .retrieval import CLASSED, NAMED, classed, names
 from .works import LIST, PICK
@@ -117,10 +117,12 @@ def near_names(t: Tables) -> DataFrame:
     s AS (SELECT conv_id, turn, item_id, count(*)::DOUBLE AS score FROM q JOIN r USING (w) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 3""",
 )
 def knowledge_rules(t: Tables) -> DataFrame:
-    """The rules that share most words with a message: words meet by a join, not texts."""
-    words = lambda df, *keys: df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1)))).alias("w"))
-    hits = words(t.conversations.where("role = 'user'"), "conv_id", "turn").join(words(t.benchmark, "item_id"), "w").groupBy("conv_id", "turn", "item_id").agg(F.count("*").cast("double").alias("score"))
-    return ranking.top(hits, ["conv_id", "turn"], [F.desc("score"), F.col("item_id")], 3)
+    """The rules that share most words with a message."""
+    words = lambda df, *keys: df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1)))).alias("term"))
+    messages = words(t.conversations.where("role = 'user'"), F.struct("conv_id", "turn").alias("query_id"))
+    rules = words(t.benchmark, F.col("item_id").alias("doc_id"), F.lit(0).alias("chunk_index"))
+    best = overlap.overlap_top(messages, rules, 3)
+    return best.select("query_id.*", F.col("doc_id").alias("item_id"), F.col("score").cast("double").alias("score"), "rank")
 
 
 @query(

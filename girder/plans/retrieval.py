@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import questions as qs
 from ..functions.text import revision_rank
-from ..operators import corpus, retrieval
+from ..operators import corpus, overlap, retrieval
 from ..operators import lexical as lexical_index
 from ..registry import Tables, query
 from .texts import COSINE, nearest
@@ -339,8 +339,7 @@ def best_chunks(t: Tables) -> DataFrame:
     terms = asked(t).select("query_id", F.explode(qs.significant_terms(F.col("text"))).alias("term"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{4,})"), F.lit(1)))
     held = corpus.word_chunks(t.documents, 100).select("doc_id", "chunk_index", F.explode(words).alias("term"))
-    hits = terms.join(held, "term").groupBy("query_id", "doc_id", "chunk_index").agg(F.count("*").alias("score"))
-    return retrieval.best_chunks(hits, 5)
+    return overlap.overlap_top(terms, held, 5)
 
 
 @query(
