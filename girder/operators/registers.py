@@ -77,3 +77,32 @@ def augmented(rows: DataFrame, label: str, text: str, templates: list[str], targ
 def first_failure(stages: dict[str, Column]) -> Column:
     """The name of the first stage that a row fails; null where it passes all, and a stage that can't be judged is passed."""
     return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(True)), name) for name, ok in stages.items()))
+
+
+# Phrases around a text, and other verbs for the one that it begins with.
+PHRASES = ["how do I {}", "can you {}", "please {}", "I need to {}", "{} please", "help me {}"]
+SYNONYMS = {
+    "extract": ["pull", "get", "grab", "retrieve"], "estimate": ["calculate", "compute", "work out"], "analyze": ["review", "check", "examine"], "process": ["handle", "deal with", "work on"],
+    "generate": ["create", "produce", "make"], "optimize": ["improve", "tune", "refine"], "schedule": ["plan", "timetable", "sequence"], "check": ["verify", "validate", "audit"],
+}
+
+
+def paraphrased(rows: DataFrame, target: int, weight: float = 0.3) -> DataFrame:
+    """(label, text, weight) of new texts for each label with fewer than ``target`` rows (label, text, seq).
+
+    Texts are taken by ``seq``; of each come the phrases around it, then its leading verb's synonyms, with its words
+    one blank apart. What the label has already, and what was made before, is left out; a label gets what it lacks
+    and no more. Null texts count as rows and make nothing. Labels with enough rows are dropped before any text is
+    made, so that a label has fewer than ``target`` of them.
+    """
+    short = rows.groupBy("label").agg(F.count("*").alias("__n")).where(F.col("__n") < target)
+    few = rows.join(short, "label").where("text IS NOT NULL")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    verbs = F.element_at(F.create_map(*(x for verb, others in SYNONYMS.items() for x in (F.lit(verb), F.array(*map(F.lit, others))))), F.lower(F.get("__w", F.lit(0))))
+    around = [F.concat(F.lit(a), F.col("text"), F.lit(b)) for a, b in (p.split("{}") for p in PHRASES)]
+    swapped = F.transform(F.coalesce(verbs, F.array().cast("array<string>")), lambda v: F.array_join(F.concat(F.array(v), F.slice("__w", 2, F.greatest(F.size("__w"), F.lit(1)))), " "))
+    made = few.withColumn("__w", words).select("label", "__n", "seq", F.posexplode(F.concat(F.array(*around), swapped)).alias("__k", "text"))
+    first = made.groupBy("label", "text").agg(F.min(F.struct("seq", "__k")).alias("__at"), F.first("__n").alias("__n"))
+    new = first.join(few.select("label", "text"), ["label", "text"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("__at", "text"))
+    return new.withColumn("__p", place).where(F.col("__p") <= target - F.col("__n")).select("label", "text", F.lit(weight).alias("weight"))

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import prose, works
-from ..operators import gates, networks, summaries
+from ..functions import catalog, prose, works
+from ..operators import gates, networks, registers, summaries
 from ..registry import Tables, query
 from .drawings import sheets
 from .networks import BREAKDOWN, template
@@ -241,3 +241,64 @@ def benchmark_rates(t: Tables) -> DataFrame:
     """Indicative rates of all works, at several places and kinds of projects."""
     named = work_categories(t).select("p_partkey", "description").join(t.part.select("p_partkey", PICK(PLACES, "p_size").alias("place"), PICK(PROJECTS, "p_partkey").alias("project")), "p_partkey")
     return named.withColumn("r", works.benchmark_rate(F.col("description"), F.col("place"), F.col("project"))).select("p_partkey", "r.item", "r.adjusted", "r.location_known")
+
+
+#: A catalog of works: kind and keywords of each group.
+GROUPS = {
+    "earthworks": ("labour", ["excavation", "bulk excavation", "topsoil", "trench", "reduced level"]),
+    "concrete": ("material", ["concrete", "reinforced concrete", "lean concrete", "raft", "column", "blinding"]),
+    "rebar": ("material", ["rebar", "high yield rebar", "reinforcing bar", "bend"]),
+    "formwork": ("labour", ["formwork", "soffit of slab", "shutter"]),
+    "masonry": ("material", ["blockwork", "block wall", "brick"]),
+    "waterproofing": ("material", ["waterproofing membrane", "waterproof", "tanking", "wet area"]),
+    "piping": ("material", ["upvc pipe", "pipe", "sprinkler", "sanitary fittings"]),
+    "piling rig": ("equipment", ["bored piling", "pile", "rig"]),
+    "chillers": ("equipment", ["chiller", "ahu", "cooling tower"]),
+    "finishes": ("labour", ["plaster", "painting", "painting to ceiling", "render"]),
+    "hoists": ("equipment", ["hoist", "crane", "steel truss", "large gear"]),
+}
+STOPS = ["and", "for", "the", "with"]
+KEYWORDS = "(VALUES " + ", ".join(f"({i}, '{g}', '{k}', '{w}', {len(ws)})" for i, (g, (k, ws)) in enumerate(GROUPS.items()) for w in ws) + ") v(place, grp, kind, word, n)"
+
+
+def catalog_sql(where: str) -> str:
+    return f"""WITH d AS (SELECT DISTINCT lower(description) AS low, description FROM {CATEGORY}), w AS (SELECT *, list_filter(regexp_extract_all(low, '[a-z]+'), lambda x: length(x) >= 3 AND x NOT IN ('and', 'for', 'the', 'with')) AS words FROM d),
+    s AS (SELECT description, place, grp, kind, n, sum(CASE WHEN contains(low, word) THEN CASE WHEN contains(word, ' ') THEN 6 ELSE 2 END WHEN len(list_filter(words, lambda x: contains(word, x) OR contains(x, word))) > 0 THEN 1 ELSE 0 END)::BIGINT AS score FROM w, {KEYWORDS} WHERE {where} GROUP BY ALL),
+    b AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY description ORDER BY score DESC, place) = 1)
+    SELECT p_partkey, grp, kind, score, CASE WHEN score >= 0.7 * n THEN 'high' WHEN score >= 0.36 * n THEN 'medium' WHEN score > 0 THEN 'low' END AS confidence FROM {CATEGORY} LEFT JOIN b USING (description)"""
+
+
+def grouped(t: Tables, kind: str | None) -> DataFrame:
+    """Each part's group; a description is scored once."""
+    parts = work_categories(t).select("p_partkey", "description")
+    best = parts.select("description").distinct().withColumn("b", catalog.best_group(F.col("description"), GROUPS, STOPS, kind))
+    return parts.join(best, "description").select("p_partkey", F.col("b.group").alias("grp"), "b.kind", F.col("b.score").cast("long").alias("score"), "b.confidence")
+
+
+@query("catalog_best_group", catalog_sql("true"))
+def catalog_best_group(t: Tables) -> DataFrame:
+    return grouped(t, None)
+
+
+@query("catalog_equipment", catalog_sql("kind = 'equipment'"))
+def catalog_equipment(t: Tables) -> DataFrame:
+    return grouped(t, "equipment")
+
+
+OPENINGS = ("Extract", "estimate", "price", "check", "process", "the", "generate")
+REQUESTS = f"(SELECT p_brand || '/' || p_size AS label, p_partkey AS seq, {LIST(OPENINGS)}[(p_partkey % {len(OPENINGS)})::INTEGER + 1] || '  ' || p_name AS text FROM part)"
+SWAPS = "(VALUES " + ", ".join(f"('{verb}', {6 + i}, '{other}')" for verb, others in registers.SYNONYMS.items() for i, other in enumerate(others)) + ") v(verb, k, other)"
+WRAPS = "(VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(registers.PHRASES)) + ") v(k, phrase)"
+
+
+@query(
+    "paraphrased_requests",
+    f"""WITH r AS {REQUESTS}, c AS (SELECT label, count(*) AS n FROM r GROUP BY 1 HAVING count(*) < 20), few AS (SELECT * FROM r JOIN c USING (label)),
+    m AS (SELECT label, n, seq, k, replace(phrase, '{{}}', text) AS text FROM few, {WRAPS} UNION ALL SELECT label, n, seq, k, other || ' ' || split_part(text, '  ', 2) FROM few JOIN {SWAPS} ON verb = lower(split_part(text, '  ', 1))),
+    f AS (SELECT label, text, any_value(n) AS n, min((seq, k)) AS place FROM m GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY place, text) AS p FROM f WHERE NOT EXISTS (SELECT 1 FROM few WHERE few.label = f.label AND few.text = f.text))
+    SELECT label, text, 0.3::DOUBLE AS weight FROM p WHERE p <= 20 - n""",
+)
+def paraphrased_requests(t: Tables) -> DataFrame:
+    """Requests by brand and size, until each has twenty."""
+    label = F.concat_ws("/", "p_brand", F.col("p_size").cast("string"))
+    return registers.paraphrased(t.part.select(label.alias("label"), F.col("p_partkey").alias("seq"), F.concat(PICK(OPENINGS, "p_partkey"), F.lit("  "), "p_name").alias("text")), 20)

@@ -112,3 +112,21 @@ def networks_of(tables: DataFrame, hours: float = 8.0) -> tuple[DataFrame, DataF
     used = rows("TASKRSRC").select("network", field("task_id").alias("t"), field("rsrc_id").alias("r"), number("target_qty").alias("units"))
     assignments = used.join(code("activity", "t"), ["network", "t"]).join(kinds, ["network", "r"]).select("network", "activity", "resource", "labour", "units")
     return activities, links, assignments
+
+
+#: Fields of an activity in an XML schedule, and what they are called here.
+XML_FIELDS = {"ID": "activity", "Name": "name", "Start": "start", "Finish": "finish", "Duration": "duration", "TotalFloat": "total_float", "PercentComplete": "percent_complete"}
+XML_FIGURES = ("Duration", "TotalFloat", "PercentComplete")
+
+
+def xml_schedule(spark: SparkSession, path: str) -> DataFrame:
+    """(network, activity, name, start, finish, duration, total_float, percent_complete) of the activities in XML schedules, a network for each file.
+
+    Activities are found at any depth and read in parallel with a stated schema; other elements aren't parsed. Absent
+    texts are blank, figures that are absent or no numbers are 0.
+    """
+    fields = ", ".join(f"{f} STRING" for f in XML_FIELDS)
+    read = spark.read.format("xml").option("rowTag", "Activity").schema(fields).load(path)
+    figure = lambda f: F.coalesce(F.expr(f"try_cast({f} AS DOUBLE)"), F.lit(0.0))
+    columns = ((figure(f) if f in XML_FIGURES else F.coalesce(f, F.lit(""))).alias(name) for f, name in XML_FIELDS.items())
+    return read.select(F.input_file_name().alias("network"), *columns)

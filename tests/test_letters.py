@@ -4,8 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from girder.functions import prose, works
-from girder.operators import gates, summaries
+from girder.functions import catalog, prose, works
+from girder.operators import gates, registers, summaries
+from girder.sources import files
 
 TEXTS = [
     (1, "The load is < 3.5 % at 60 MW. Completion within 14 Months.\u2028RFS by Décembre 2026, chillers take\n9 weeks; UPS units need 5 days, 2 weeks"),
@@ -105,3 +106,35 @@ def test_base_items_by_name_then_part(spark):
     assert [(r.r.item, r.r.adjusted, r.r.location_known) for r in got] == [
         ("rebar", 1.38, True), ("structural steel", 2.5, False), ("asphalt", 54.0, True), ("plaster", 18.0, False), (None, None, True), (None, None, False), (None, None, True),
     ]
+
+
+def test_catalog_points(spark):
+    groups = {"walls": ("material", ["block wall", "brick", "mortar"]), "crew": ("labour", ["mason", "bricklayer"]), "none": ("equipment", ["crane"])}
+    rows = [("Block WALL of bricks",), ("Masonry",), ("an or ran",), ("the crane and mason",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(catalog.best_group(F.col("t"), groups, ["the", "and"]).alias("b")).collect()
+    assert [r.b and (r.b.group, r.b.score, r.b.confidence, r.b.matched) for r in got] == [
+        ("walls", 8, "high", ["block wall", "brick"]), ("crew", 2, "high", ["mason"]), ("none", 1, "high", ["crane"]), ("crew", 2, "high", ["mason"]), None, None,
+    ]
+    only = spark.createDataFrame([("Brick wall",)], "t string").select(catalog.best_group(F.col("t"), groups, kind="labour").alias("b")).first().b
+    assert (only.group, only.score, only.confidence) == ("crew", 1, "medium")
+
+
+def test_paraphrases_stop_at_what_is_lacking(spark):
+    rows = [("a", "Check  the bill", 2), ("a", "please go", 1), ("a", "go", 3), ("a", None, 0), ("b", "x", 1), ("b", "y", 2), ("c", "", 1)]
+    df = spark.createDataFrame(rows, "label string, text string, seq int")
+    got = {}
+    for r in registers.paraphrased(df, 20).collect():
+        got.setdefault(r.label, set()).add(r.text)
+    made = [p.format(x) for x in ("please go", "Check  the bill") for p in registers.PHRASES]
+    made += ["verify the bill", "validate the bill", "audit the bill"] + ["how do I go"]
+    assert got["a"] == set(made) and len(got["a"]) == 16 and len(got["b"]) == 12 and len(got["c"]) == 6
+    assert registers.paraphrased(df, 2).where("label = 'b'").count() == 0 and registers.paraphrased(df.limit(0), 9).count() == 0
+
+
+def test_xml_schedules(spark, tmp_path):
+    (tmp_path / "p.xml").write_text(
+        "<?xml version='1.0'?><Project><Name>Tower</Name><WBS><Activity><ID>A1</ID><Name>Dig &amp; fill</Name><Duration>5</Duration><Start>2024-01-01</Start></Activity>"
+        "<Activity><ID>A2</ID><TotalFloat>2.5</TotalFloat><Duration>x</Duration><Odd>1</Odd></Activity></WBS><Activity/></Project>"
+    )
+    got = sorted(tuple(r)[1:] for r in files.xml_schedule(spark, str(tmp_path)).collect())
+    assert got[-2:] == [("A1", "Dig & fill", "2024-01-01", "", 5.0, 0.0, 0.0), ("A2", "", "", "", 0.0, 2.5, 0.0)]
