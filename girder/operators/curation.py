@@ -46,7 +46,7 @@ def near_strings(strings: DataFrame, column: str, most: int) -> DataFrame:
     shapes = keyed.select("n", "at", "size").distinct()
     moves = F.explode(F.sequence(F.lit(-most), F.lit(most)))
     other = strings.select(s.alias("b"), n.alias("m"))
-    near = other.join(F.broadcast(shapes), F.abs(F.col("m") - F.col("n")) <= most)  # a few rows for each length of strings
+    near = other.withColumn("n", F.explode(F.sequence(F.col("m") - most, F.col("m") + most))).join(shapes, "n")  # a few rows for each length of strings
     probes = near.select("b", "n", "size", F.col("at"), moves.alias("move")).select("b", "n", "at", F.substring("b", F.greatest(F.lit(1), F.col("at") + F.col("move")), F.col("size")).alias("piece")).distinct()
     met = keyed.join(probes, ["n", "at", "piece"]).select("a", "b")
     short = strings.where(n <= most).select(s.alias("a"), F.explode(F.sequence(F.greatest(F.lit(0), n - most), n + most)).alias("m")).join(other, "m").select("a", "b")

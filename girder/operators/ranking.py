@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .schedule import cut
+
 
 def top(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group; Spark drops later ones before the shuffle."""
@@ -12,6 +14,22 @@ def top(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str =
     return rows.withColumn(name, rank).where(F.col(name) <= k)
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their place in their group, for groups of any size: no task has a whole group.
+
+    Rows are cut into ranges of (by, order), numbered in each, and moved on by what the ranges before hold of their
+    group. The ranges are written before they are counted, so that a task that runs again finds the same ones. Rows
+    that ``order`` doesn't tell apart stand in any order.
+    """
+    at = cut(rows.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sizes = at.groupBy(*by, "__range").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    keys = F.struct(*by)  # so that groups by null are met, too
+    local = at.withColumn("__place", F.row_number().over(Window.partitionBy("__range", *by).orderBy(*order))).withColumn("__key", keys)
+    met = local.join(sizes.select("__range", keys.alias("__key"), "__before"), ["__range", "__key"])
+    return met.withColumn(name, (F.col("__place") + F.col("__before")).cast("long")).drop("__range", "__key", "__place", "__before")
+
+
 def rolling(by: list[str], order: list[str], last: int) -> Window:
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(-(last - 1), 0)
 

@@ -40,11 +40,13 @@ def numbered(rows: DataFrame, by: str, order: list[str], prefix: str) -> DataFra
 def capable(items: DataFrame, suppliers: DataFrame, k: int) -> DataFrame:
     """(item, supplier, rank): the ``k`` best suppliers of an item's material, those with an empty list of capabilities among them.
 
-    Suppliers are ranked for each material once, and items take the ranks: no item meets all suppliers.
+    Suppliers are ranked for each material once, and items take the ranks: no item meets all suppliers. Of those with
+    an empty list only the ``k`` best of all can be among the best for a material, so each material meets k rows of them.
     """
     materials = items.select("material").distinct()
-    named = suppliers.select("supplier", "score", F.explode("can").alias("material"))
-    open_ones = F.broadcast(materials).join(suppliers.where(F.size("can") == 0).select("supplier", "score"))  # few materials
+    named = suppliers.select("supplier", "score", F.explode("can").alias("material")).join(materials, "material", "left_semi")
+    best_open = suppliers.where(F.size("can") == 0).select("supplier", "score").orderBy(F.desc("score"), "supplier").limit(k)
+    open_ones = materials.join(F.broadcast(best_open))
     order = Window.partitionBy("material").orderBy(F.desc("score"), "supplier")
     best = named.unionByName(open_ones.select("supplier", "score", "material")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
     return items.join(best, "material").select("item", "supplier", "rank")

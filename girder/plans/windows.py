@@ -19,13 +19,13 @@ MONEY = "decimal(38,4)"
     SELECT s_nationkey AS tender, s_suppkey AS bidder, price_score::INTEGER AS price_score, row_number() OVER (PARTITION BY s_nationkey ORDER BY price_score DESC, price, s_suppkey) AS rank FROM s""",
 )
 def tender_rank(t: Tables) -> DataFrame:
-    tender = Window.partitionBy("s_nationkey")
-    mean = F.sum(F.col("s_acctbal").cast(MONEY)).over(tender).cast("double") / F.count("*").over(tender)
+    """Bids by score, then price. Bounds are summed before they are moved, and places counted in ranges, as a tender may hold most bids."""
     price = F.col("s_acctbal")
-    score = F.when(price == F.min(price).over(tender), 100).when(price <= mean, 80).when(price <= 1.1 * mean, 60).otherwise(40)
-    scored = t.supplier.withColumn("price_score", score)
-    rank = F.row_number().over(tender.orderBy(F.desc("price_score"), "s_acctbal", "s_suppkey")).cast("long")
-    return scored.select(F.col("s_nationkey").alias("tender"), F.col("s_suppkey").alias("bidder"), "price_score", rank.alias("rank"))
+    bounds = t.supplier.groupBy("s_nationkey").agg(F.min(price).alias("low"), (F.sum(price.cast(MONEY)).cast("double") / F.count("*")).alias("mean"))
+    score = F.when(price == F.col("low"), 100).when(price <= F.col("mean"), 80).when(price <= 1.1 * F.col("mean"), 60).otherwise(40)
+    scored = t.supplier.select("s_nationkey", "s_suppkey", "s_acctbal").join(bounds, "s_nationkey").withColumn("price_score", score)
+    placed = ranking.numbered(scored, ["s_nationkey"], [F.desc("price_score"), F.col("s_acctbal"), F.col("s_suppkey")])
+    return placed.select(F.col("s_nationkey").alias("tender"), F.col("s_suppkey").alias("bidder"), "price_score", "rank")
 
 
 @query(

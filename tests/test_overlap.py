@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from girder.operators import overlap, retrieval
+from girder.operators import overlap, ranking, retrieval
 
 
 def plain(asked, held, k):
@@ -25,3 +25,15 @@ def test_overlap_equals_scoring_all_pairs(spark):
         want = rows(plain(asked, held, k))
         assert rows(overlap.overlap_top(asked, held, k)) == want and len(want) > 40 * k
     assert overlap.overlap_top(asked, held.limit(0), 3).count() == 0 and overlap.overlap_top(asked.limit(0), held, 3).count() == 0
+
+
+def test_places_of_hot_groups(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(50)]), i) for i in range(3_000)] + [(9, 1, -1)]
+    df = spark.createDataFrame(rows, "g int, v int, i int").repartition(5)
+    got = {r.i: (r.g, r["rank"]) for r in ranking.numbered(df, ["g"], [F.desc("v"), F.col("i")]).collect()}
+    want = {}
+    for g in (1, 2, None, 9):
+        of = sorted((r for r in rows if r[0] == g), key=lambda r: (-(r[1] if r[1] is not None else -1), r[2]))
+        want |= {r[2]: (g, n) for n, r in enumerate(of, 1)}
+    assert got == want and ranking.numbered(df.limit(0), ["g"], [F.col("v")]).count() == 0
