@@ -301,11 +301,13 @@ def daily_budgets(t: Tables) -> DataFrame:
 
 @query(
     "health_aggregate",
-    """WITH s AS (SELECT user_id, event_type, CASE WHEN avg(value) >= 60 THEN 100 WHEN avg(value) >= 40 THEN 60 ELSE 20 END AS score FROM events GROUP BY ALL), a AS (SELECT user_id, sum(score)::DOUBLE / count(*) AS score FROM s GROUP BY 1)
+    """WITH s AS (SELECT user_id, event_type, CASE WHEN m >= 60 THEN 100 WHEN m >= 40 THEN 60 ELSE 20 END AS score FROM (SELECT user_id, event_type, sum(value::DECIMAL(38,6))::DOUBLE / count(value) AS m FROM events GROUP BY ALL)), a AS (SELECT user_id, sum(score)::DOUBLE / count(*) AS score FROM s GROUP BY 1)
     SELECT *, CASE WHEN score >= 80 THEN 'healthy' WHEN score >= 60 THEN 'warning' ELSE 'critical' END AS band FROM a""",
 )
 def health_aggregate(t: Tables) -> DataFrame:
-    domains = t.events.groupBy("user_id", "event_type").agg(F.avg("value").alias("m"))
+    """Bands by means of exact decimals, so that one on a limit does not depend on the order of its values."""
+    mean = F.sum(F.col("value").cast("decimal(38,6)")).cast("double") / F.count("value")
+    domains = t.events.groupBy("user_id", "event_type").agg(mean.alias("m"))
     score = F.when(F.col("m") >= 60, 100).when(F.col("m") >= 40, 60).otherwise(20)
     both = domains.groupBy("user_id").agg((F.sum(score).cast("double") / F.count("*")).alias("score"))
     return both.withColumn("band", F.when(F.col("score") >= 80, "healthy").when(F.col("score") >= 60, "warning").otherwise("critical"))

@@ -6,3 +6,18 @@ from girder.operators import retrieval
 def test_scores_of_contexts_are_rounded_from_their_binary_value(spark):
     hits = spark.createDataFrame([(1, 5, 53.3525, "a b"), (1, 6, 2.0625, "c"), (1, 7, 1.9996, "d")], "query_id long, doc_id long, score double, text string")
     assert retrieval.as_context(hits, 3).first().context == "[5 53.352] a b\n[6 2.062] c\n[7 2.000] d"
+
+
+def test_means_on_a_limit_do_not_depend_on_order(spark, tmp_path):
+    import duckdb
+
+    from girder import registry
+
+    registry.load()
+    # The mean is 60 exactly; added up as doubles in this order it is less.
+    values = [(i, 1, "click", v) for i, v in enumerate([59.3] * 500 + [60.7] * 500)]
+    spark.createDataFrame(values, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(registry.ORACLES["health_aggregate"]).fetchall()
+    assert [tuple(r) for r in registry.QUERIES["health_aggregate"](spark, str(tmp_path)).collect()] == want == [(1, 100.0, "healthy")]
