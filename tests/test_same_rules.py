@@ -21,3 +21,26 @@ def test_means_on_a_limit_do_not_depend_on_order(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     want = con.execute(registry.ORACLES["health_aggregate"]).fetchall()
     assert [tuple(r) for r in registry.QUERIES["health_aggregate"](spark, str(tmp_path)).collect()] == want == [(1, 100.0, "healthy")]
+
+
+def test_question_words_end_at_letters_of_any_script(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from girder.functions import questions
+    from girder.plans.retrieval import ASKING, LED
+
+    asked = {"one doesíque two three four": None, "what which long sum of days does": "long sum of days", "List íwhat is what due": "íwhat is due", "how many_days are left now": None}
+    df = spark.createDataFrame(list(asked.items()), "q string, bare string")
+    assert all(r.bare == r.got for r in df.withColumn("got", questions.unwrapped(F.col("q"))).collect())
+    sql = f"SELECT trim(regexp_replace({ASKING(ASKING(LED))}, '\\s+', ' ', 'g')) FROM (SELECT ? AS base)"
+    got = [duckdb.execute(sql, [q]).fetchall()[0][0] for q in asked]
+    assert got == [bare or q for q, bare in asked.items()]
+
+
+def test_defects_rank_all_trades(spark):
+    from girder import registry
+
+    registry.load()
+    rows = registry.QUERIES["defect_ranking"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, 101)) and [r.trade for r in sorted(rows, key=lambda r: (-r.risk, r.trade))] == [r.trade for r in sorted(rows, key=lambda r: r["rank"])]
