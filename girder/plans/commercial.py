@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calculators as calc
-from ..operators import commercial
+from ..operators import commercial, ranking
 from ..registry import Tables, query
 
 MONEY = "decimal(38,4)"
@@ -96,15 +96,15 @@ def correction_fit(t: Tables) -> DataFrame:
     "defect_ranking",
     """WITH x AS (SELECT l_suppkey AS trade, count(*) AS n, sum(CASE l_returnflag WHEN 'R' THEN 5 WHEN 'A' THEN 3 ELSE 1 END)::BIGINT AS weighted,
       count_if(l_linestatus = 'F') * 100.0::DOUBLE / count(*) AS fail_pct FROM lineitem GROUP BY 1 HAVING count(*) >= 3)
-    SELECT *, row_number() OVER (ORDER BY risk DESC, trade) AS rank FROM (SELECT *, weighted + fail_pct AS risk FROM x) ORDER BY rank LIMIT 25""",
+    SELECT *, row_number() OVER (ORDER BY risk DESC, trade) AS rank FROM (SELECT *, weighted + fail_pct AS risk FROM x)""",
 )
 def defect_ranking(t: Tables) -> DataFrame:
-    """The 25 trades of the highest risk, highest first."""
+    """All trades with their place by risk, the highest first."""
     weight = F.when(F.col("l_returnflag") == "R", 5).when(F.col("l_returnflag") == "A", 3).otherwise(1)
     failed = F.count_if(F.col("l_linestatus") == "F") * 100.0 / F.count("*")
     found = t.lineitem.groupBy(F.col("l_suppkey").alias("trade")).agg(F.count("*").alias("n"), F.sum(weight).alias("weighted"), failed.alias("fail_pct")).where("n >= 3")
-    worst = found.withColumn("risk", F.col("weighted") + F.col("fail_pct")).orderBy(F.desc("risk"), "trade").limit(25)
-    return worst.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("risk"), "trade")).cast("long"))
+    risky = found.withColumn("risk", F.col("weighted") + F.col("fail_pct")).withColumn("all", F.lit(0))
+    return ranking.numbered(risky, ["all"], [F.desc("risk"), F.col("trade")]).drop("all")
 
 
 @query(
