@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .schedule import cut
-
 
 def word_chunks(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, chunk_index, text) of each run of ``size`` words."""
@@ -28,54 +23,48 @@ def sliding_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return docs.where(F.length("text") > 0).select("doc_id", F.explode(windows).alias("c")).select("doc_id", F.col("c.i").alias("chunk_index"), F.col("c.text").alias("text"))
 
 
-BLOCK_ROWS = 2048
-#: Bytes of query matrices that one round sends to all tasks.
+#: Vectors of a block, and queries that it meets at a time as a matrix.
+BLOCK_ROWS, MET = 16_384, 512
+#: Bytes of query vectors that a task holds beside a block.
 ROUND_BYTES = 32 << 20
 
 
-def vector_blocks(vectors: DataFrame) -> DataFrame:
-    """(ids, matrix) of each BLOCK_ROWS vectors or fewer, normalised; nothing is shuffled. A zero vector stays."""
+def units(rows: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of normalised vectors in order of id; a zero vector stays."""
+    rows = rows.sort_by(key).combine_chunks()
+    matrix = rows["embedding"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(rows.num_rows, -1)
+    norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    return rows[key].to_numpy(), np.divide(matrix, norm, out=matrix.copy(), where=norm > 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(lo, BLOCK_ROWS)
-                rows = np.array(part.column(1).to_pylist(), np.float64)
-                norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-                rows = np.divide(rows, norm, out=rows.copy(), where=norm > 0)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([rows.tobytes()])], names=["ids", "matrix"])
 
-    return vectors.mapInArrow(run, "ids binary, matrix binary")
+def best_of_block(held: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """(query_id, vec_id, score): the ``k`` nearest of a block's vectors for each of the vectors asked."""
+    if not held.num_rows or not asked.num_rows:
+        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    (ids, matrix), (queries, wanted), parts = units(held, "vec_id"), units(asked, "query_id"), []
+    for lo in range(0, len(queries), MET):
+        score = np.round(wanted[lo : lo + MET] @ matrix.T, 6)
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller one
+        parts.append((np.repeat(queries[lo : lo + MET], order.shape[1]), ids[order].ravel(), np.take_along_axis(score, order, 1).ravel()))
+    return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank) of the ``k`` nearest vectors of each query in a stated query set.
 
-    Blocks of queries meet blocks of vectors as matrices, and each two leave ``k`` rows a query. Queries go in rounds
-    of ROUND_BYTES, so that what is broadcast is bounded however many there are.
+    Vectors are dealt out to blocks of some BLOCK_ROWS, and queries to parts of ROUND_BYTES; each two meet as matrices in
+    one task and leave ``k`` rows a query, so that what a task holds is bounded however many there are of both.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, matrix, asked, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, asked = np.frombuffer(ids, np.int64), np.frombuffer(asked, np.int64)
-                score = np.round(np.frombuffer(wanted).reshape(len(asked), -1) @ np.frombuffer(matrix).reshape(len(ids), -1).T, 6)
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                query = np.repeat(asked, order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], names=["query_id", "vec_id", "score"])
-
-    blocks = vector_blocks(vectors.where("embedding IS NOT NULL").select("vec_id", "embedding"))
-    asked = cut(vector_blocks(queries.where("embedding IS NOT NULL").select("vec_id", "embedding")).toDF("asked", "wanted").withColumn("no", F.monotonically_increasing_id()))
-    rounds, size = [[]], 0
-    for no, n in asked.select("no", F.length("wanted")).collect():  # two numbers for BLOCK_ROWS queries
-        if size + n > ROUND_BYTES and rounds[-1]:
-            rounds, size = [*rounds, []], 0
-        rounds[-1].append(no)
-        size += n
-    # Each round takes query blocks of a checked size to all vectors, whose blocks stay where they are.
-    met = [blocks.crossJoin(F.broadcast(asked.where(F.col("no").isin(part)).select("asked", "wanted"))).mapInArrow(run, "query_id long, vec_id long, score double") for part in rounds]
-    scored = reduce(DataFrame.unionByName, met)
+    held = vectors.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asked = queries.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("query_id"), "embedding")
+    size = asked.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
+    blocks, parts = (max(1, -(-total // most)) for total, most in ((held.count(), BLOCK_ROWS), (size, ROUND_BYTES)))
+    dealt = lambda rows, key, name, n: rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    spread = lambda rows, name, n: rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = spread(dealt(held, "vec_id", "block", blocks), "part", parts).groupBy("block", "part")
+    right = spread(dealt(asked, "query_id", "part", parts), "block", blocks).groupBy("block", "part")
+    run = lambda a, b: best_of_block(a.select(["vec_id", "embedding"]), b.select(["query_id", "embedding"]), k)
+    scored = left.cogroup(right).applyInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
