@@ -39,3 +39,20 @@ def test_long_batches_are_counted_in_parts(spark, monkeypatch):
     rows = lexical.counted(docs)
     assert rows.where("term IS NULL").agg(F.sum("tf"), F.sum("len")).first()[:] == (500, 2_500) and rows.where("term IS NOT NULL").count() == 2_000
     assert rows.where("term IS NULL").count() > 100
+
+
+def test_phrases_held_equal_looking_into_each_text(spark, monkeypatch):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{int(rng.paretovariate(0.5)) % 40}" for _ in range(n))
+    texts = [words(rng.randint(1, 20)) for _ in range(600)] + [None, ""]
+    asked = [(q, [words(rng.randint(1, 2)) for _ in range(rng.randint(1, 4))]) for q in range(40)] + [(40, ["nowhere w1", "w1"]), (41, ["nowhere"]), (42, []), (43, ["w1", "nowhere w1"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = spark.createDataFrame(asked, "query_id long, phrases array<string>")
+    index = lexical.Index(docs)
+    monkeypatch.setattr(lexical, "SHARD", 700)
+    for k in (4, None):
+        want = []
+        for q, phrases in asked:
+            shares = [(-sum(set(p.split()) <= set((x or "").split()) for p in set(phrases)) / max(1, len(set(phrases))), i) for i, x in enumerate(texts)]
+            want += [(q, i, -s, r) for r, (s, i) in enumerate(sorted(x for x in shares if x[0])[:k], 1)]
+        assert sorted(tuple(r) for r in index.holding(queries, k).collect()) == sorted(want)
