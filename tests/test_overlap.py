@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from girder.operators import overlap, ranking, retrieval
+from girder.operators import lexical, overlap, ranking, retrieval
 
 
 def plain(asked, held, k):
@@ -37,3 +37,16 @@ def test_places_of_hot_groups(spark):
         of = sorted((r for r in rows if r[0] == g), key=lambda r: (-(r[1] if r[1] is not None else -1), r[2]))
         want |= {r[2]: (g, n) for n, r in enumerate(of, 1)}
     assert got == want and ranking.numbered(df.limit(0), ["g"], [F.col("v")]).count() == 0
+
+
+def test_overlap_writes_postings_and_no_pairs(spark, monkeypatch):
+    """Every question has the words of every chunk in common: only postings and questions are written, whatever their product."""
+    written, cut = [], overlap.cut
+    monkeypatch.setattr(overlap, "cut", lambda df: written.append(out := cut(df)) or out)
+    monkeypatch.setattr(lexical, "SHARD", 100)
+    held = spark.range(400).select((F.col("id") / 4).cast("long").alias("doc_id"), (F.col("id") % 4).cast("int").alias("chunk_index"), F.explode(F.array(F.lit("the"), F.lit("and"))).alias("term"))
+    held = held.unionByName(held.limit(50)).unionByName(spark.createDataFrame([(70, 2, "rare")], "doc_id long, chunk_index int, term string"))
+    asked = spark.range(300).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit("the"), F.lit("and"), F.lit("rare"))).alias("term"))
+    got = sorted(tuple(r) for r in overlap.overlap_top(asked, held, 2).collect())
+    assert got == sorted(r for q in range(300) for r in ((q, 70, 2, 3, 1), (q, 0, 0, 2, 2)))
+    assert max(df.count() for df in written) <= 900
