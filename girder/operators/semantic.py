@@ -12,7 +12,9 @@ That is a fold over all vectors, which is made in three steps, each exact:
   next round. Each round decides the smallest id that is left, and mostly whole chains.
 
 No pair is ever written. Where vectors have no clusters (all far from each other in many dimensions), no pivot can
-rule a cell out: cells then compare blocks with everything, which is what exactness costs there.
+rule a cell out. Then every vector has to meet all that stay before it, which is what exactness costs there: the next
+PANEL ids are folded by themselves, and one scan takes from the rest what is near one of them that stayed. Nothing is
+shuffled, and there are as many rounds as panels, whatever hangs on what.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ PREFIX, SAMPLE, CELL = 4096, 4096, 4096
 #: Undecided vectors that a cell compares in one round; later ones wait for the next.
 WAITING = 16_384
 BLOCK = 256
+#: Ids that are folded by themselves where no cell can be ruled out, and the share of cells that a vector goes to from which that is done.
+PANEL, SPREAD = 16_384, 0.25
 UNIT = "vec_id long, unit binary"
 DEALT = "cell int, vec_id long, home boolean, stays boolean, unit binary"
 #: Cosines that differ by less are taken for equal to the threshold.
@@ -51,12 +55,27 @@ def packed(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
 
+def near_any(rows: np.ndarray, kept: np.ndarray, kept32: np.ndarray, least: float) -> np.ndarray:
+    """Which of ``rows`` have a cosine of ``least`` with one of ``kept``: single precision where that decides it, double for the others."""
+    if not len(kept):
+        return np.zeros(len(rows), bool)
+    off = 1.2e-7 * (rows.shape[1] + 8)  # more than what units lose by single precision
+    found = np.zeros(len(rows), bool)
+    for lo in range(0, len(rows), BLOCK):
+        top = (rows[lo : lo + BLOCK].astype(np.float32) @ kept32.T).max(axis=1).astype(np.float64)
+        found[lo : lo + BLOCK] = top >= least + off
+        open_ = lo + np.flatnonzero((top >= least - off) & (top < least + off))
+        if len(open_):
+            found[open_] = (rows[open_] @ kept.T >= least).any(axis=1)
+    return found
+
+
 def fold(rows: np.ndarray, threshold: float) -> np.ndarray:
     """Which rows, in order, stay: those with no row before that stays and is near."""
-    stays = np.zeros(len(rows), bool)
+    stays, single = np.zeros(len(rows), bool), rows.astype(np.float32)
     for lo in range(0, len(rows), BLOCK):
-        block = rows[lo : lo + BLOCK]
-        free = ~(block @ rows[:lo][stays[:lo]].T >= threshold - EXACT).any(axis=1)
+        block, before = rows[lo : lo + BLOCK], np.flatnonzero(stays[:lo])
+        free = ~near_any(block, rows[before], single[before], threshold - EXACT)
         near = block @ block.T >= threshold - EXACT
         for i in np.flatnonzero(free).tolist():
             stays[lo + i] = not near[i, :i][stays[lo : lo + i]].any()
@@ -74,10 +93,12 @@ class Undecided:
         """0: near a kept one; 1: kept; 2: waits, or belongs to another cell."""
         self.kept = np.concatenate([self.kept, rows[stays]])
         gone, waits = (rows @ self.kept.T >= self.least).any(axis=1), (rows @ self.waiting.T >= self.least).any(axis=1)
-        near = rows @ rows.T >= self.least
-        state = np.where(stays, 1, 2)
-        for i in np.flatnonzero(~gone & ~stays).tolist():
-            before = near[i, :i] & ~stays[:i]
+        near = np.tril(rows @ rows.T >= self.least, -1) & ~stays
+        # What is near nothing before it in the block hangs on no other row of it; only the others go one by one.
+        hangs = near.any(axis=1)
+        state = np.where(stays | (~hangs & ~gone & ~waits & home & (not self.full)), 1, 2)
+        for i in np.flatnonzero(hangs & ~gone & ~stays).tolist():
+            before = near[i, :i]
             if (before & (state[:i] == 1)).any():
                 gone[i] = True
             elif home[i] and not self.full and not waits[i] and not (before & (state[:i] == 2) & ~gone[:i]).any():
@@ -109,9 +130,10 @@ def away_from(units: DataFrame, kept: np.ndarray, threshold: float) -> DataFrame
     """The vectors that are near none of ``kept``, which are few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept32 = kept.astype(np.float32)
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(~(rows_of(batch.column(1)) @ kept.T >= threshold - EXACT).any(axis=1)))
+                yield batch.filter(pa.array(~near_any(rows_of(batch.column(1)), kept, kept32, threshold - EXACT)))
 
     return units.mapInArrow(run, UNIT)
 
@@ -153,19 +175,42 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
         raise ValueError("the threshold is a cosine above 0")
     spark = vectors.sparkSession
     units = cut(unit_vectors(vectors))
-    n = units.count()
-    first = units.orderBy("vec_id").limit(PREFIX).toArrow().sort_by("vec_id")
-    rows = rows_of(first.column("unit")) if n else np.zeros((0, 1))
-    kept_first = fold(rows, threshold)
-    ids = first.column("vec_id").to_numpy()
-    kept = spark.createDataFrame([(int(i),) for i in ids[kept_first]], "vec_id long")
-    if n > PREFIX:
-        kept = kept.unionByName(in_cells(cut(away_from(units.where(F.col("vec_id") > int(ids[-1])), rows[kept_first], threshold)), threshold))
+    kept, left = first_folded(units, PREFIX, threshold)
+    if left is not None:
+        kept = kept.unionByName(in_panels(left, threshold) if spread_out(left, threshold) else in_cells(left, threshold))
     plain = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     pointless = F.col("embedding").isNull() | ~F.exists("embedding", lambda x: x != 0)
     return plain.join(kept.withColumn("found", F.lit(True)), "vec_id", "left").select("vec_id", (pointless | F.coalesce("found", F.lit(False))).alias("kept"))
 
 
+def first_folded(units: DataFrame, most: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """(vec_id) of those that stay of the ``most`` smallest ids, and all later vectors that are near none of them; None where there are none."""
+    first = units.orderBy("vec_id").limit(most).toArrow().sort_by("vec_id")
+    rows, ids = rows_of(first.column("unit")) if first.num_rows else np.zeros((0, 1)), first.column("vec_id").to_numpy()
+    stays = fold(rows, threshold)
+    kept = units.sparkSession.createDataFrame([(int(i),) for i in ids[stays]], "vec_id long")
+    if len(ids) < most:
+        return kept, None
+    left = cut(away_from(units.where(F.col("vec_id") > int(ids[-1])), rows[stays], threshold))
+    return kept, None if left.isEmpty() else left
+
+
+def spread_out(units: DataFrame, threshold: float) -> bool:
+    """Whether a vector would go to so many cells that meeting all that stay costs no more."""
+    sample = rows_of(units.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toArrow().column("unit"))
+    pivots = chosen_pivots(sample, units.count(), threshold, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cells_of(sample[-512:], pivots, threshold)[1].mean() > SPREAD
+
+
+def in_panels(units: DataFrame, threshold: float) -> DataFrame:
+    """(vec_id) of the vectors that stay, by rounds over the next PANEL ids."""
+    kept, left = first_folded(units, PANEL, threshold)
+    while left is not None:
+        more, left = first_folded(left, PANEL, threshold)
+        kept = kept.unionByName(more)
+    return kept
+
+
 def in_cells(units: DataFrame, threshold: float) -> DataFrame:
     """(vec_id) of the vectors that stay, by rounds over cells."""
     spark = units.sparkSession

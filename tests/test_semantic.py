@@ -67,3 +67,35 @@ def test_pivots_rule_cells_out_where_there_are_clusters():
     pivots = semantic.chosen_pivots(rows[rng.permutation(2000)], 2000, 0.97, 8)
     _, sent = semantic.cells_of(rows, pivots, 0.97)
     assert sent.sum(axis=1).mean() < 0.5 * len(pivots)
+
+
+def test_vectors_without_clusters_go_by_panels(spark, monkeypatch):
+    """Where a vector would go to every cell, none is dealt out; before, rounds over cells sent each vector to all of them."""
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(700, 48))
+    rows[300:500] = rows[:200] + rng.normal(size=(200, 48)) * 0.3
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>").repartition(5)
+    monkeypatch.setattr(semantic, "PREFIX", 20)
+    monkeypatch.setattr(semantic, "PANEL", 90)
+    monkeypatch.setattr(semantic, "CELL", 40)
+    monkeypatch.setattr(semantic, "in_cells", lambda *_: pytest.fail("dealt to cells"))
+    want = dict(enumerate(folded(rows, 0.85)))
+    assert 0.5 < sum(want.values()) / 700 < 0.9
+    assert {r.vec_id: r.kept for r in semantic.near_duplicates(table, 0.85).collect()} == want
+
+
+def test_single_precision_never_decides_a_close_call():
+    least, kept = 0.85 - semantic.EXACT, np.array([[1.0, 0.0]])
+    cosines = 0.85 + np.array([-1e-3, -1e-8, -2e-12, 0, 1e-8, 1e-3])
+    rows = np.stack([cosines, np.sqrt(1 - cosines**2)], axis=1)
+    assert semantic.near_any(rows, kept, kept.astype(np.float32), least).tolist() == [False, False, False, True, True, True]
+
+
+def test_cells_equal_the_fold(spark, monkeypatch):
+    """Clusters by cells, in blocks in which only some rows hang on others."""
+    rows = vectors(21, 500, 6)
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>").repartition(4)
+    for name, value in (("PREFIX", 20), ("CELL", 40), ("SPREAD", 2), ("WAITING", 40)):
+        monkeypatch.setattr(semantic, name, value)
+    monkeypatch.setattr(semantic, "in_panels", lambda *_: pytest.fail("went by panels"))
+    assert {r.vec_id: r.kept for r in semantic.near_duplicates(table, 0.9).collect()} == dict(enumerate(folded(rows, 0.9)))
