@@ -95,3 +95,18 @@ def test_breakdown_is_a_network(spark):
     # The last zone is critical; its chain is days longer than the others'.
     assert all(dated[a].is_critical == a.endswith(".3") for a in dated if a.count(".") == 3)
     assert not networks.ordered(acts, links).where("problem IS NOT NULL OR n_unknown > 0").count()
+
+
+@pytest.mark.parametrize("together", [10, 50_000])
+def test_networks_together_equal_one_by_one(spark, monkeypatch, together):
+    """Dates and order of many networks as arrays against one network at a time; parts have a bounded number of rows."""
+    acts, edges = both_ways(spark, *some_networks(7, n=60))
+    loops = edges.unionByName(edges.where("network % 5 = 1 AND lag = 2").selectExpr("network", "succ AS pred", "pred AS succ", "kind", "lag"))
+    monkeypatch.setattr(networks, "TOGETHER", together)
+    told = lambda: (sorted(map(tuple, networks.critical_path(acts, edges).collect())), sorted(map(tuple, networks.ordered(acts, loops).collect()), key=str))
+    many = told()
+    monkeypatch.setattr(networks, "SMALL", 0)
+    assert many == told() and {r[5] for r in many[1]} == {None, "cycle", "behind a cycle"}
+    monkeypatch.setattr(networks, "PART_ROWS", 20)
+    rows = acts.count() + edges.count()
+    assert networks.critical_path(acts, edges).rdd.getNumPartitions() == -(-rows // 20)
