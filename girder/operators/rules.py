@@ -1,4 +1,4 @@
-"""Rules as data: formulas with guards, checked and turned into columns, all rules in one projection."""
+"""Rules as data: formulas with guards, checked and turned into columns, each row meets each rule once."""
 
 from __future__ import annotations
 
@@ -95,9 +95,9 @@ def evaluated(rows: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
     A rule that isn't a formula, or whose text or guard isn't allowed, has the same error for every row; so has one that
     needs values that the rows haven't. A row's own errors are a guard that doesn't hold and a result that is no number.
     """
-    have, told = set(rows.columns), []
-    for rule in rules:
-        result, error = F.lit(None).cast("double"), F.lit(None).cast("string")
+    have, told, values, guards = set(rows.columns), [], F, F
+    for k, rule in enumerate(rules):
+        wrong, of = F.lit(None).cast("string"), F.col("__r.k") == k
         try:
             if rule.kind != "formula":
                 raise RuleError(f"only formulas have results, not a {rule.kind}")
@@ -105,16 +105,20 @@ def evaluated(rows: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
             missing = formula.missing + [n for n in (guard.missing if guard else []) if n not in formula.missing]
             if missing:
                 raise RuleError(f"missing: {', '.join(missing)}")
-            holds = F.coalesce(guard.column, F.lit(False)) if guard else F.lit(True)
-            value = formula.column.cast("double")
-            number = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
-            result = F.when(holds & number, value)
-            error = F.when(~holds, F.lit("guard")).when(~F.coalesce(number, F.lit(False)), F.lit("no number"))
-        except RuleError as wrong:
-            error = F.lit(str(wrong))
+            values = values.when(of, formula.column.cast("double"))
+            guards = guards.when(of, F.coalesce(guard.column, F.lit(False))) if guard else guards
+        except RuleError as error:
+            wrong = F.lit(str(error))
         told.append(
             F.struct(
-                F.lit(rule.rule_id).alias("rule_id"), result.alias("result"), F.lit(rule.unit).cast("string").alias("unit"), F.lit(rule.tier).cast("int").alias("tier"), F.lit("; ".join(warnings_of(rule))).alias("warnings"), error.alias("error")
+                F.lit(k).alias("k"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.unit).cast("string").alias("unit"), F.lit(rule.tier).cast("int").alias("tier"), F.lit("; ".join(warnings_of(rule))).alias("warnings"), wrong.alias("wrong")
             )
         )
-    return rows.select(*keys, F.explode(F.array(*told)).alias("r")).select(*keys, "r.*")
+    # A row meets the rules first, as constants, and then only the formula of its rule: all formulas as one array of structs are too much code for Java to compile.
+    value = values.otherwise(F.lit(None)) if values is not F else F.lit(None)
+    holds = guards.otherwise(F.lit(True)) if guards is not F else F.lit(True)
+    each = rows.select("*", F.explode(F.array(*told)).alias("__r")).select(*keys, "__r", value.cast("double").alias("__value"), holds.alias("__holds"))
+    number = F.col("__value").isNotNull() & ~F.isnan("__value") & (F.abs("__value") != float("inf"))
+    error = F.coalesce("__r.wrong", F.when(~F.col("__holds"), F.lit("guard")).when(~number, F.lit("no number")))
+    result = F.when(F.col("__holds") & number, F.col("__value"))
+    return each.select(*keys, "__r.rule_id", result.alias("result"), "__r.unit", "__r.tier", "__r.warnings", error.alias("error"))

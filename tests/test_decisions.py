@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -73,3 +74,15 @@ def test_keywords_overlap_and_merge(spark):
     assert sorted(got[1]) == [(1, "a", 0.6, ["cost", "cost plan"]), (2, "b", 0.2, ["plan"])]
     assert sorted(got[2]) == [(1, "a", 0.8, []), (2, "b", 0.2, ["co"]), (3, "c", 0.2, ["co-op"])]
     assert got[3] == [(1, "a", 0.8, [])] and 4 not in got and got[5] == [(1, "a", 0.2, ["c++"])] and got[6] == [(1, "b", 0.2, ["plan"])]
+
+
+def test_rules_stay_small_enough_to_compile(spark):
+    """Java leaves methods of over 8,000 bytes to its interpreter, which made each row many times as dear."""
+    from girder.operators.rules import evaluated as told
+    from girder.plans.decisions import RULES
+
+    columns = ("order_id", "linenumber", "part_id", "quantity", "extendedprice", "discount", "tax")
+    rows = spark.range(10).select(*(F.col("id").cast("double").alias(c) for c in columns))
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(told(rows, RULES, ["order_id"])._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) < 8000
