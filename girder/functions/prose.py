@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # What is looked for, by kind; how many characters around it are kept.
 PATTERNS = {
@@ -27,6 +29,15 @@ PATTERNS = {
     ],
     "risk": [r"\b(winter|supply chain|Indigenous|TFO|blast radius|load.shed|permit delay|weather|labour shortage)\b"],
 }
+#: A match of a pattern has one of these, in lower case; texts without any are not searched for it.
+NEEDED = {
+    "constraint": [(), ("≤", "≥", "<", ">", "=")],
+    "target": [("operational", "rfs", "completion"), ("eoy",), ("target", "milestone", "rfs"), ("complet", "hand", "duration")],
+    "lead_time": [("generator", "chiller", "switchgear", "transformer", "ups", "crah")] * 2,
+    "risk": [("winter", "supply chain", "indigenous", "tfo", "blast radius", "load", "permit delay", "weather", "labour shortage")],
+}
+#: Characters that match i, k or s whatever their case, though not by their lower case: texts with one are searched for all.
+ODD = re.compile("[\u0130\u0131\u017f\u212a]")
 AROUND = {"constraint": 60, "target": 80, "lead_time": 50, "risk": 80}
 SEVERITIES = {"high": ["blast radius", "winter", "supply chain", "permit delay", "labour shortage"], "medium": ["tfo", "indigenous", "load shed", "weather"]}
 OUTSIDE = ["tfo", "permit", "indigenous", "supply"]
@@ -41,7 +52,9 @@ RULES = {
     }
 }
 
-MENTION = "array<struct<kind:string,place:int,start:long,raw:string,context:string,groups:map<string,string>>>"
+MENTION = "kind string, place int, start long, raw string, context string, groups map<string, string>"
+#: Characters of texts whose mentions leave together.
+CHARS = 4 << 20
 
 
 def mentions(docs: DataFrame, kinds: list[str] | None = None, key: str = "doc_id") -> DataFrame:
@@ -54,19 +67,54 @@ def mentions(docs: DataFrame, kinds: list[str] | None = None, key: str = "doc_id
     # Java's classes are a little narrower than Python's.
     plain = "|".join(re.sub(r"\?P<\w+>", "?:", p).replace(r"\s", r"[\s\x1c-\x1f]").replace(r"\w", r"[\w\p{N}]") for _, _, p in wanted)
 
-    @F.pandas_udf(MENTION)
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ready = [(k, i, re.compile(p, re.IGNORECASE), AROUND[k]) for k, i, p in wanted]
-        for texts in batches:
-            yield pd.Series([[told(k, i, m, n, x) for k, i, p, n in ready for m in p.finditer(x)] for x in texts])
-
-    held = docs.where(F.col("text").rlike(f"(?idU)(?:{plain})"))
-    return held.select(key, F.inline(found("text")))
-
-
-def told(kind: str, place: int, m: re.Match, around: int, text: str) -> dict:
-    context = text[max(0, m.start() - around) : m.end() + around].strip()
-    return {"kind": kind, "place": place, "start": m.start(), "raw": m.group(), "context": context, "groups": {k: v for k, v in m.groupdict().items() if v is not None}}
+    schema = StructType([docs.select(key).schema[0], *StructType.fromDDL(MENTION).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A word is never given back to blanks after it, so it may be taken for good.
+        ready = [(k, i, re.compile(re.sub(r"(\\w[+*])(?=\)?\\s)", r"\1+", p), re.IGNORECASE), AROUND[k], NEEDED[k][i]) for k, i, p in wanted]
+        for batch in batches:
+            out, held = Mentions(), 0
+            for row, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                low, every = text.lower(), ODD.search(text)
+                for k, i, p, n, needed in ready:
+                    if needed and not every and not any(x in low for x in needed):
+                        continue
+                    names = tuple(p.groupindex)
+                    for m in p.finditer(text):
+                        out.add(row, k, i, m, n, text, names)
+                held += len(text)
+                if held >= CHARS:
+                    yield out.told(batch.column(0), arrow)
+                    out, held = Mentions(), 0
+            yield out.told(batch.column(0), arrow)
+
+    return docs.where(F.col("text").rlike(f"(?idU)(?:{plain})")).select(key, "text").mapInArrow(run, schema)
+
+
+class Mentions:
+    """Mentions as columns, with the rows of the texts that they are in."""
+
+    def __init__(self):
+        self.columns: tuple[list, ...] = ([], [], [], [], [], [])
+        self.names, self.values, self.ends = [], [], [0]
+
+    def add(self, row: int, kind: str, place: int, m: re.Match, around: int, text: str, names: tuple[str, ...]) -> None:
+        start, end = m.span()
+        for column, value in zip(self.columns, (row, kind, place, start, m.group(), text[max(0, start - around) : end + around].strip()), strict=True):
+            column.append(value)
+        for name in names:
+            if (value := m.group(name)) is not None:
+                self.names.append(name)
+                self.values.append(value)
+        self.ends.append(len(self.names))
+
+    def told(self, keys: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
+        row, *rest = self.columns
+        columns = [keys.take(pa.array(row, pa.int64())), *(pa.array(c, f.type) for c, f in zip(rest, list(schema)[1:-1], strict=True))]
+        groups = pa.MapArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.names, pa.string()), pa.array(self.values, pa.string()))
+        return pa.RecordBatch.from_arrays([*columns, groups.cast(schema[-1].type)], schema=schema)
 
 
 def group(name: str) -> Column:

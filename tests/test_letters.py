@@ -138,3 +138,13 @@ def test_xml_schedules(spark, tmp_path):
     )
     got = sorted(tuple(r)[1:] for r in files.xml_schedule(spark, str(tmp_path)).collect())
     assert got[-2:] == [("A1", "Dig & fill", "2024-01-01", "", 5.0, 0.0, 0.0), ("A2", "", "", "", 0.0, 2.5, 0.0)]
+
+
+def test_texts_are_searched_only_for_what_they_can_hold(spark, monkeypatch):
+    """Texts without what a pattern needs skip it, odd letters that match whatever their case don't; texts leave in bounded parts."""
+    texts = ["EOY 2024 ſupply chain and Wınter", "Load-shed in May 2025 milestone", "MAY  2025 RFS by", "completed in 5 WeeKs", "generator  of 12 days", "nothing"]
+    plain = [(n, k, i, m.start(), m.group()) for n, x in enumerate(texts) for k, ps in prose.PATTERNS.items() for i, p in enumerate(ps) for m in re.finditer(p, x, re.IGNORECASE)]
+    monkeypatch.setattr(prose, "CHARS", 30)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = prose.mentions(docs).select("doc_id", "kind", "place", "start", "raw").collect()
+    assert sorted(map(tuple, got)) == sorted(plain) and len(plain) >= 7
