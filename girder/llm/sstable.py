@@ -171,10 +171,11 @@ class Reader:
         return None
 
 
-def write_shards(docs: DataFrame, folder: str, encode: Callable[[], Callable[[str], bytes]], width: int, end_id: int) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, encode: Callable[[], Callable], width: int, end_id: int, together: bool = False) -> DataFrame:
     """Write all documents in ascending id order; (shard, path, n_docs, n_tokens), a row per shard, shards in key order.
 
-    ``docs`` has doc_id and text (see id_and_text). Null ids come first, repeated ids stay side by side. Each
+    ``docs`` has doc_id and text (see id_and_text). What ``encode`` returns makes a text's ids, or with ``together`` those
+    of a list of texts one after the other. Null ids come first, repeated ids stay side by side. Each
     range of ids becomes one shard, or several where it is larger than SHARD_BYTES. ``folder`` is one that
     executors can write to through pyarrow's file systems.
     """
@@ -192,11 +193,11 @@ def write_shards(docs: DataFrame, folder: str, encode: Callable[[], Callable[[st
             rows.append((shard, path, len(writer.keys), writer.tokens))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, value in zip(batch.column(0).to_pylist(), ids(batch.column(1).to_pylist()) if together else map(ids, batch.column(1).to_pylist()), strict=True):
                 if writer.size() >= SHARD_BYTES:
                     close()
                     shard, writer = shard + 1, Writer(width)
-                writer.add(key_of(doc_id), ids(text) + end)
+                writer.add(key_of(doc_id), value + end)
         if writer.keys:
             close()
         if rows:
@@ -238,5 +239,5 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     folder = new_dir(spark, "sst")
-    manifest = write_shards(id_and_text(documents(spark, sf_dir)), folder, lambda: encoder(path).ids, 2, 0)
+    manifest = write_shards(id_and_text(documents(spark, sf_dir)), folder, lambda: encoder(path).many, 2, 0, together=True)
     return read_shards(manifest, folder)
