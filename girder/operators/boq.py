@@ -36,9 +36,11 @@ def merge_lines(lines: DataFrame, description: str, quantity: str, total: str, o
 ACCURACY, NEAR = 2000, 4
 
 
-def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], count: str | None = None, least: int = 1) -> DataFrame:
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], count: str | None = None, least: int = 1, places: dict[str, float] | None = None) -> DataFrame:
     """Interpolated quantiles of each group, exactly, and n; ``shares`` tells which by name. Null values don't count but in ``count="*"``.
 
+    ``places`` names values at the index floor(share * n), the last at most, which are not interpolated; all are found at once.
+
     Approximate quantiles bracket each place in a first pass, whatever the values. The second counts what lies below
     each bracket, and each value inside one: everything else is added up where it is read. Only the values inside, less
     than a hundredth of a large group, are put in order.
@@ -46,6 +48,7 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str
     groups = [f"__{c}" for c in by]
     same = lambda a, b: [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in groups]
     plain = rows.select(*(F.col(c).alias(g) for c, g in zip(by, groups, strict=True)), F.col(value).alias("__v"))
+    interpolated, shares = set(shares), shares | (places or {})
     near = NEAR / ACCURACY
     around = [x for s in shares.values() for x in (max(0.0, s - near), min(1.0, s + near))]
     sizes = plain.groupBy(*groups).agg(F.count("__v").alias("__n"), F.count("*").alias("__all"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.percentile_approx("__v", around, ACCURACY).alias("__cuts"))
@@ -58,19 +61,21 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str
     inside = F.greatest(*((F.col("__v") >= low[s]) & (F.col("__v") <= high[s]) for s in names), F.lit(False))
     met = plain.where("__v IS NOT NULL").alias("c").join(sizes.alias("s"), same("c", "s")).select("c.*", "s.__n", "s.__cuts", "s.__low", "s.__high").withColumn("__in", F.when(inside, F.col("__v")))
     below = [F.sum((F.col("__v") < low[s]).cast("long")).alias(f"__b{i}") for i, s in enumerate(names)]
-    counted = met.groupBy(*groups, "__in").agg(F.count("*").alias("__k"), *below, *(F.first(c).alias(c) for c in ("__n", "__cuts", "__low", "__high")))
+    # Numbers only, so that rows are added up as they are read: with an array among the sums Spark would sort all of them.
+    counted = met.groupBy(*groups, "__in").agg(F.count("*").alias("__k"), *below)
+    counted = counted.alias("c").join(F.broadcast(sizes).alias("s"), same("c", "s")).select("c.*", "s.__n", "s.__cuts", "s.__low", "s.__high")
     whole = Window.partitionBy(*groups)
     picks = []
     ranked = counted
     for i, s in enumerate(names):
         running = F.sum(F.when(F.col("__in") >= low[s], F.col("__k"))).over(whole.orderBy("__in"))
         ranked = ranked.withColumn(f"__u{i}", running + F.sum(f"__b{i}").over(whole)).withColumn(f"__w{i}", F.sum(f"__b{i}").over(whole))
-        at = (F.col("__n") - 1) * F.lit(float(shares[s]))
+        at = (F.col("__n") - 1) * F.lit(float(shares[s])) if s in interpolated else F.least(F.floor(F.col("__n") * F.lit(float(shares[s]))), F.col("__n") - 1)
         upto = F.when((F.col("__in") >= low[s]) & (F.col(f"__w{i}") <= F.floor(at)), F.col(f"__u{i}"))
         pick = lambda where, upto=upto: F.min(F.when(upto > where, F.col("__in")))
         first, second = pick(F.floor(at)), pick(F.ceil(at))
         weight = F.max(at - F.floor(at))
-        exact = F.when(weight == 0, first).otherwise(first * (1 - weight) + second * weight)
+        exact = F.when(weight == 0, first).otherwise(first * (1 - weight) + second * weight) if s in interpolated else first
         picks.append(F.when(second.isNull(), F.raise_error(F.lit("a bracket of approximate quantiles misses its place"))).otherwise(exact).alias(s))
     found = ranked.where("__in IS NOT NULL").groupBy(*groups).agg(*picks)
     joined = sizes.alias("s").join(found.alias("f"), same("s", "f"), "left")

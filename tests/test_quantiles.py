@@ -20,6 +20,33 @@ def test_quantiles_of_uneven_groups(spark):
             assert np.isclose(got[g][name], np.quantile(values, share), rtol=1e-12), (g, name)
 
 
+def test_places_are_found_inside_brackets(spark):
+    """A value at an index, found without a window over a whole group's values."""
+    from girder.operators import schedule
+
+    rng = random.Random(4)
+    rows = [("many", rng.randrange(10**9)) for _ in range(30_000)] + [("few", 4), ("few", 9), ("few", 9), ("one", 7), (None, 1), (None, 5), ("none", None)]
+    table = spark.createDataFrame(rows, "g string, v long").repartition(3)
+    for share in (0.0, 0.25, 0.5, 0.8, 1.0):
+        found = schedule.index_quantile(table, "g", "v", share)
+        assert found.columns == ["g", "n", "at"] and dict(found.dtypes)["at"] == "bigint"
+        got = {r.g: (r.n, r["at"]) for r in found.collect()}
+        for g in {r[0] for r in rows} - {"none"}:
+            values = sorted(v for k, v in rows if k == g and v is not None)
+            assert got.pop(g) == (len(values), values[min(int(share * len(values)), len(values) - 1)])
+        assert not got
+    both = boq.exact_quantiles(table, ["g"], "v", {"median": 0.5}, places={"low": 0.25, "high": 0.75}).where("g = 'many'").drop("n").collect()[0]
+    values = sorted(v for g, v in rows if g == "many")
+    assert both.median == np.quantile(values, 0.5) and both[2:4] == (values[7500], values[22500])
+
+
+def test_rows_are_not_sorted_to_be_counted(spark):
+    """Rows outside the brackets are added up where they are read: no sort stands before the last scan's sums."""
+    table = spark.createDataFrame([(f"g{i % 3}", float(i)) for i in range(200)], "g string, v double")
+    plan = boq.exact_quantiles(table, ["g"], "v", {"median": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def test_nearest_vectors_in_rounds(spark, monkeypatch):
     from girder.operators import corpus
 
