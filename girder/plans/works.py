@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing, works
 from ..operators import works as ops
+from ..operators.schedule import cut
 from ..registry import Tables, query
 
 MONEY = "decimal(38,4)"
@@ -25,7 +26,9 @@ PARTS = f"(SELECT p_partkey, {LIST(WORKS)}[(p_partkey % {len(WORKS)})::INTEGER +
 
 
 def parts(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.concat_ws(" ", PICK(WORKS, "p_partkey"), "p_name").alias("description"), PICK(UNITS, "p_size").alias("unit"))
+    """Parts with the works they stand for, dealt out to all tasks: the table is one small file, and its texts meet many patterns."""
+    dealt = t.part.select("p_partkey", "p_name", "p_size").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return dealt.select("p_partkey", F.concat_ws(" ", PICK(WORKS, "p_partkey"), "p_name").alias("description"), PICK(UNITS, "p_size").alias("unit"))
 
 
 def category_sql(x: str) -> str:
@@ -146,7 +149,7 @@ def procurement_groups(t: Tables) -> DataFrame:
 )
 def unit_class_rates(t: Tables) -> DataFrame:
     """Median rate of each category and class of unit: a rate a metre never prices a lump sum."""
-    classed = parts(t).select("p_partkey", works.category(F.col("description")).alias("category"), works.unit_class(parsing.unit(F.col("unit"))).alias("class"))
+    classed = cut(parts(t).select("p_partkey", works.category(F.col("description")).alias("category"), works.unit_class(parsing.unit(F.col("unit"))).alias("class")))  # read by both passes
     from ..operators.boq import exact_quantiles
 
     rates = t.lineitem.join(classed, F.col("l_partkey") == F.col("p_partkey")).withColumn("rate", F.try_divide("l_extendedprice", "l_quantity"))

@@ -56,3 +56,11 @@ def test_obligations(spark):
         ("mutual_obligation", "Both parties must keep time.", "schedule", "high"), ("consultant_obligation", "engineer will decide.", "general", "medium"),
     ]
     assert spark.createDataFrame([(None,)], "t string").select(mining.obligations(F.col("t")).alias("o")).first().o == []
+
+
+def test_parts_are_dealt_out_before_their_texts_are_read(spark):
+    """One small file must not mean one task for all patterns."""
+    from girder.plans.works import parts
+    from girder.registry import Tables
+
+    assert parts(Tables(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
