@@ -56,3 +56,32 @@ def test_phrases_held_equal_looking_into_each_text(spark, monkeypatch):
             shares = [(-sum(set(p.split()) <= set((x or "").split()) for p in set(phrases)) / max(1, len(set(phrases))), i) for i, x in enumerate(texts)]
             want += [(q, i, -s, r) for r, (s, i) in enumerate(sorted(x for x in shares if x[0])[:k], 1)]
         assert sorted(tuple(r) for r in index.holding(queries, k).collect()) == sorted(want)
+
+
+def test_a_shard_holds_few_copies():
+    """Numbers of documents and terms take four bytes a row; numpy's arrays stay below nine times that."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from girder.operators import lexical
+
+    rng, n = np.random.default_rng(1), 400_000
+    pair = rng.choice(4000 * 1000, n, replace=False)
+    held = pa.table({"doc_id": pair // 1000 * 7 - 9, "no": (pair % 1000) << 33, "impact": rng.random(n)})
+    asked = pa.table({"query_id": np.repeat([3, 5], 4), "no": np.array([1, 2, 3, 999, 4, 5, 6, 5000]) << 33, "idf": np.linspace(1, 2, 8)})
+    tracemalloc.start()
+    got = lexical.best_of_shard(held, asked, 5).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36 * n
+    for q in (3, 5):
+        idf = {r["no"]: r["idf"] for r in asked.to_pylist() if r["query_id"] == q}
+        score = {}
+        for r in held.filter(pc.is_in(held["no"], pa.array(list(idf)))).to_pylist():
+            score[r["doc_id"]] = score.get(r["doc_id"], 0) + idf[r["no"]] * r["impact"]
+        want = sorted(((-round(s, 6), d) for d, s in score.items()))[:5]
+        assert [(r["doc_id"], round(r["score"], 6)) for r in got if r["query_id"] == q] == [(d, -s) for s, d in want]
+    assert lexical.best_of_shard(held.slice(0, 0), asked, 5).num_rows == 0 == lexical.best_of_shard(held, asked.slice(0, 0), 5).num_rows
