@@ -79,6 +79,33 @@ def test_bills_tell_totals_or_are_guarded(spark):
     assert got[1, "line", 1].endswith("Foul drain: total quantity 2.0 m, unit price (rate) 1.00, total price (amount) 2.00 SAR")
 
 
+def test_lines_of_bills_are_moved_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    # A large bill, one whose positions repeat, one of a bill that no line has, lines of no bill.
+    rows = [(1, i, [None, "A", "B"][i % 3], "Sewer" if i == 2999 else "Door", 1.0, "m", "0.01", None if i % 3 == 2 else "0.01") for i in range(3_000)]
+    rows += [(2, 1, "A", f"d{i}", 1.0, "", None, "2.00") for i in range(3)] + [(None, 1, "A", "x", 1.0, "m", "1.00", "1.00")] * 5
+    lines = spark.createDataFrame(rows, "bill int, position int, section string, description string, quantity double, unit string, rate string, amount string")
+    bills = spark.createDataFrame([(1, "Big", "SAR", 0), (2, "Ties", None, 0), (3, "None", None, 0), (None, "Lost", None, 0)], "bill int, name string, currency string, skipped int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        chunks = summaries.bill_chunks(bills, lines.mapInArrow(counted, lines.schema))
+        got = [tuple(r) for r in chunks.collect()]
+        assert read.value == len(rows) and chunks._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") <= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    whole = {(b, k): text for b, k, _, text in got if k != "line"}
+    assert len(whole) == sum(k != "line" for _, k, _, _ in got) and set(whole) == {(1, "total"), (1, "sections"), (1, "terms"), (2, "total"), (2, "sections"), (3, "guard"), (None, "guard")}
+    assert whole[1, "total"].endswith("20.00 SAR") and whole[1, "sections"].endswith("—  10.00 SAR (50.0%); A 10.00 SAR (50.0%)") and whole[2, "sections"].endswith("— A 6.00  (100.0%)")
+    assert sorted((b, place) for b, k, place, _ in got if k == "line") == sorted((r[0], r[1]) for r in rows if r[0]) and len({text for b, k, _, text in got if (b, k) == (2, "line")}) == 3
+
+
 def test_sheets_tell_tables_or_are_guarded(spark):
     sheets = spark.createDataFrame([(1, "S-1"), (2, "S-2"), (3, None)], "sheet int, name string")
     tables = spark.createDataFrame([(1, 0, 2, "door_schedule", ["Mark", "Size"], [["D1", None], ["D2", "900"]]), (1, 1, 2, "odd", None, [["a"]]), (2, 0, 1, "legend", [], None)], "sheet int, place int, page int, kind string, header array<string>, rows array<array<string>>")
