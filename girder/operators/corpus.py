@@ -44,8 +44,13 @@ def best_of_block(held: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     (ids, matrix), (queries, wanted), parts = units(held, "vec_id"), units(asked, "query_id"), []
     for lo in range(0, len(queries), MET):
         score = np.round(wanted[lo : lo + MET] @ matrix.T, 6)
-        order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller one
-        parts.append((np.repeat(queries[lo : lo + MET], order.shape[1]), ids[order].ravel(), np.take_along_axis(score, order, 1).ravel()))
+        least = np.partition(score, -k, axis=1)[:, -k:].min(axis=1) if score.shape[1] > k else np.full(len(score), -np.inf)
+        query, place = np.nonzero(score >= least[:, None])  # the k best and ties with the last of them
+        order = np.lexsort((place, -score[query, place], query))  # ids ascend, so ties go to the smaller one
+        query, place = query[order], place[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+        query, place = query[kept], place[kept]
+        parts.append((queries[lo + query], ids[place], score[query, place]))
     return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
 
