@@ -59,3 +59,12 @@ def test_the_nearest_of_a_block_are_found_without_ordering_it(monkeypatch):
         want = [(q, ids[j], score[n, j]) for n, q in enumerate(queries) for j in sorted(range(len(ids)), key=lambda j: (-score[n, j], ids[j]))[:10]]
         assert list(zip(*corpus.best_of_block(held.slice(0, rows), asked, 10).to_pydict().values())) == want
     assert max(ordered, default=0) < 500
+
+
+def test_words_of_names_add_to_those_of_texts(spark):
+    texts = [(1, "plan a-100 of the house"), (2, "house"), (3, None), (None, "plan house"), (4, "nothing")]
+    names = [(1, "A-100 plan"), (2, "Plan 100 a"), (4, "House plan, plan")]
+    asked = [(10, ["a 100", "plan house"]), (11, ["house"]), (12, ["plan"])]
+    index = lexical.Index(spark.createDataFrame(texts, "doc_id long, text string")).with_words(spark.createDataFrame(names, "doc_id long, text string"))
+    got = sorted(tuple(r) for r in index.holding(spark.createDataFrame(asked, "query_id long, phrases array<string>"), 2).collect())
+    assert got == [(10, 1, 1.0, 1), (10, 2, 1.0, 2), (11, 1, 1.0, 1), (11, 2, 1.0, 2), (12, 1, 1.0, 1), (12, 2, 1.0, 2)]
